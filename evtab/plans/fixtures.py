@@ -152,3 +152,31 @@ def with_views(sql: str, *views: str, extra: list[str] | None = None) -> str:
                 order.append(d)
     ctes = [DUCK_VIEWS[v].strip() for v in order] + [e.strip() for e in (extra or [])]
     return "WITH " + ",\n".join(ctes) + "\n" + sql.strip()
+
+
+def col_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column-format file texts rebuilt from ``documents`` (one file per
+    document, one sentence per non-empty line, the token rows of ``col_rows``
+    with 'O' in the event cell of non-events; 'es' uses the sentence-first layout; every third file has a DCT line)."""
+    from pyspark.sql import functions as F
+
+    from evtab.functions.text import ws_tokens
+
+    d = table(spark, sf_dir, "documents")
+
+    def token_line(i, t, j):
+        eid = (F.when(j % 7 == 3, F.concat(F.lit("e"), i.cast("string"), F.lit("_"), j.cast("string")))
+               .when((j % 7 == 4) & (i % 2 == 0),
+                     F.concat(F.lit("e"), i.cast("string"), F.lit("_"), (j - 1).cast("string")))
+               .otherwise(F.lit("O")))
+        full = F.concat_ws("\t", t, (j + 1).cast("string"), i.cast("string"), eid)
+        shrinked = F.concat_ws("\t", i.cast("string"), (j + 1).cast("string"), t, eid)
+        return F.when(F.col("lang") == "es", shrinked).otherwise(full)
+
+    blocks = F.transform(F.split("text", "\n"),
+                         lambda line, i: F.array_join(F.transform(ws_tokens(line), lambda t, j: token_line(i, t, j)), "\n"))
+    body = F.array_join(F.filter(blocks, lambda b: b != ""), "\n\n")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("DCT\t2020-01-01\n"), body)).otherwise(body)
+    return d.select(F.concat(F.lit("d"), F.col("doc_id")).alias("docid"), "lang",
+                    F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"),
+                    text.alias("text"))
