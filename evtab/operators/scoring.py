@@ -29,10 +29,12 @@ def cross_entropy(logits: str = "logits", label: str = "label") -> Column:
 def weighted_log_loss(df: DataFrame, logits: str = "logits", label: str = "label",
                       weight: str | None = None, by=()) -> DataFrame:
     """mean(weight x cross-entropy) over rows -- divided by the row count,
-    not the weight sum (as the reference); plain mean without weights."""
+    not the weight sum (as the reference); plain mean without weights.
+    With weights, ``loss_plain`` (the unweighted mean) comes in the same pass."""
     ce = cross_entropy(logits, label)
-    term = ce * F.col(weight) if weight else ce
-    return df.groupBy(*by).agg(F.avg(term).alias("loss"))
+    if not weight:
+        return df.groupBy(*by).agg(F.avg(ce).alias("loss"))
+    return df.groupBy(*by).agg(F.avg(ce * F.col(weight)).alias("loss"), F.avg(ce).alias("loss_plain"))
 
 
 def score_head(df: DataFrame, vector: str, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray,

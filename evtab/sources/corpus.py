@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evtab.functions.text import py_strip, strip_header
 
@@ -23,7 +24,7 @@ LAYOUT_CELLS = {"full": (0, 1, 2, 3), "shrinked": (2, 1, 0, 3)}
 # ------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_lenient(content: pd.Series) -> pd.Series:
     """UTF-8 decode that drops undecodable bytes (Python ``errors='ignore'``)."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
