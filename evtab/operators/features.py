@@ -223,10 +223,10 @@ def class_weights(rows: DataFrame, label: str = "label", sample_weight: str | No
     weight when given."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     every = Window.partitionBy()   # one row per class: a tiny, bounded window
-    cw = counts.select(label, (F.sum("_c").over(every) / (F.count(F.lit(1)).over(every) * F.col("_c"))).alias("_cw"))
+    cw = counts.select(label, (F.sum("_c").over(every) / (F.count(F.lit(1)).over(every) * F.col("_c"))).alias("__cw"))
     out_df = rows.join(cw, label)
-    w = F.col("_cw") * F.col(sample_weight) if sample_weight else F.col("_cw")
-    return out_df.withColumn(out, w).drop("_cw")
+    w = F.col("__cw") * F.col(sample_weight) if sample_weight else F.col("__cw")
+    return out_df.withColumn(out, w).drop("__cw")
 
 
 def predict_linear(rows: DataFrame, cells: DataFrame, weights: DataFrame, bias: float) -> DataFrame:

@@ -145,3 +145,22 @@ def q_predict_linear(spark, sf_dir):
     cells = pf.transform(rows, fit)
     p = FE.predict_linear(rows.select("row", "split"), cells, linear_weights(fit.kept), BIAS)
     return p.select(F.col("row").alias("eventid"), "split", F.round("score", 6).alias("score"), "pred")
+
+
+SVM_C, SVM_PENALTY, SVM_ITER = 1.0, "l1", 100
+
+
+@register("fit_linear_svc")
+def q_fit_linear_svc(spark, sf_dir):
+    """Squared-hinge l1 SVM with balanced, confidence-weighted classes (the
+    documented run), fitted once on train and scored on dev and test."""
+    from evtab.operators.svm import fit_linear_svc
+    rows, pf, fit = fitted(spark, sf_dir)
+    cells = pf.transform(rows, fit)
+    train = rows.filter(F.col("split") == "train").select("row", "label", "label_confidence")
+    n_cols = fit.kept.count()
+    model = fit_linear_svc(cells.join(train.select("row"), "row", "left_semi"), train, n_cols, SVM_C,
+                           SVM_PENALTY, True, "label_confidence", SVM_ITER)
+    held = rows.filter(F.col("split") != "train").select("row", "split", "label")
+    p = FE.predict_linear(held, cells, model.weights_df(spark), model.bias)
+    return p.select(F.col("row").alias("eventid"), "split", "label", "pred")
