@@ -92,19 +92,53 @@ def prepare_rows(df: DataFrame, tagger: Callable[[Column], Column], row: str = "
                      F.size(ws_tokens(F.coalesce(F.col("before"), F.lit("")))).alias("verb_idx"))
 
 
+BROADCAST_MAX_ROWS = 2_000_000   # a vocabulary up to this many rows is shipped whole to tasks
+
+
+def _small(df: DataFrame, n_rows: int | None) -> DataFrame:
+    """Broadcast hint only behind a size check; larger tables take a shuffle join."""
+    return F.broadcast(df) if n_rows is not None and n_rows <= BROADCAST_MAX_ROWS else df
+
+
+def occurrences(rows: DataFrame, n_max: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per term occurrence: (row, carry..., verb_idx, p, term, tag, uni).
+
+    Unigrams come first (``p`` = token index, ``tag`` its POS tag, ``uni``
+    true), then n-grams (no tag). The only shuffle of the feature pipeline
+    is here: whole rows are hash-partitioned by ``row``, so every later
+    per-row window and aggregate runs inside its partition."""
+    carry = [c for c in carry if c in rows.columns]
+    r = rows.select("row", *carry, "verb_idx", "words", "tags").repartition("row")
+    z = F.arrays_zip(ngrams(F.col("words"), n_max).alias("term"), F.col("tags").alias("tag"))
+    o = r.select("row", *carry, "verb_idx", F.size("words").alias("_nw"), F.posexplode(z).alias("p", "z"))
+    uni = F.col("p") < F.col("_nw")
+    return o.select("row", *carry, "verb_idx", "p", F.col("z.term").alias("term"),
+                    F.when(uni, F.col("z.tag")).alias("tag"), uni.alias("uni")).filter(F.col("term").isNotNull())
+
+
 def term_frequency(rows: DataFrame, tokens: str = "words", n_max: int = 1) -> DataFrame:
-    """(row, term, tf). Partitioned by row so the per-row norm and the
-    positional joins that follow reuse the layout."""
+    """(row, term, tf) from prepared rows (``tokens`` array column)."""
     t = rows.select("row", F.explode(ngrams(F.col(tokens), n_max)).alias("term"))
     return t.groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_counts(occ: DataFrame, pos: bool = False) -> DataFrame:
+    """(row, term, tf) from occurrences; partition-local (rows are by row)."""
+    if pos:
+        occ = occ.filter(F.col("tag").isNotNull()).select("row", F.col("tag").alias("term"))
+    return occ.groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def fit_vocab(tf: DataFrame, n_rows: Column | int, max_features: int | None = None) -> DataFrame:
     """(term, idx, df, cf, idf) from training term frequencies."""
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_features is not None:
         stats = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    voc = sorted_index(stats, ["term"], "idx", max_rows=max_features)
+        bound = max_features
+    else:
+        n_terms = stats.count()
+        bound = n_terms if n_terms <= BROADCAST_MAX_ROWS else None
+    voc = sorted_index(stats, ["term"], "idx", max_rows=bound)
     n = F.lit(n_rows) if isinstance(n_rows, int) else n_rows
     return voc.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 
@@ -120,7 +154,7 @@ def tfidf(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 class FittedFeatures:
     vocab: DataFrame        # term, idx, df, cf, idf
     pos_vocab: DataFrame    # term, idx, df, cf, idf
-    kept: DataFrame         # col, fidx
+    kept: DataFrame | None  # col, fidx
     n_vocab: int
     n_pos: int
     left: int
@@ -154,7 +188,12 @@ class FittedFeatures:
 
 
 class PositionalFeatures:
-    """fit(train rows) -> FittedFeatures; transform(rows) -> (row, col, value)."""
+    """fit / transform / fit_transform over prepared rows (see ``prepare_rows``).
+
+    ``fit_transform`` shares one occurrence table between the fit and the
+    transform: rows are shuffled once, vocabularies (bounded by
+    ``max_features`` or size-checked) are broadcast, and per-row tf, norms
+    and cells stay inside their partitions."""
 
     def __init__(self, left: int = 2, right: int = 2, include_bow: bool = False,
                  max_features: int | None = 3000, ngram_range: tuple[int, int] = (1, 1)):
@@ -163,22 +202,46 @@ class PositionalFeatures:
         self.left, self.right, self.include_bow = left, right, include_bow
         self.max_features, self.ngram_max = max_features, ngram_range[1]
 
-    # -- cells before column pruning
-    def _cells(self, rows: DataFrame, vocab: DataFrame, pos_vocab: DataFrame, n_vocab: int, n_pos: int) -> DataFrame:
-        text = tfidf(term_frequency(rows, "words", self.ngram_max), vocab)
-        pos = tfidf(term_frequency(rows, "tags", 1), pos_vocab)
-        toks = rows.select("row", "verb_idx", F.posexplode(F.arrays_zip("words", "tags")).alias("j", "z")) \
-            .select("row", (F.col("j") - F.col("verb_idx")).alias("d"), F.col("z.words").alias("word"),
-                    F.col("z.tags").alias("tag")) \
-            .filter(F.col("word").isNotNull() & F.col("tag").isNotNull())
-        if not self.include_bow:
-            toks = toks.filter(F.col("d").between(-self.left, self.right))
-        tw = toks.join(text.select("row", F.col("term").alias("word"), F.col("idx").alias("widx"),
-                                   F.col("value").alias("wval")), ["row", "word"])
-        tp = tw.join(pos.select("row", F.col("term").alias("tag"), F.col("idx").alias("pidx"),
-                                F.col("value").alias("pval")), ["row", "tag"], "left")
-        v, p, span = n_vocab, n_pos, self.left + self.right + 1
-        d, k = F.col("d"), F.col("d") + self.left
+    def occurrences(self, rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+        return occurrences(rows, self.ngram_max, carry)
+
+    def _fit_occ(self, occ: DataFrame, n_rows: int) -> FittedFeatures:
+        vocab = fit_vocab(term_counts(occ), n_rows, self.max_features).cache()
+        pos_vocab = fit_vocab(term_counts(occ, pos=True), n_rows, None).cache()
+        n_vocab, n_pos = vocab.count(), pos_vocab.count()
+        part = FittedFeatures(vocab, pos_vocab, None, n_vocab, n_pos, self.left, self.right,
+                              self.include_bow, self.ngram_max)
+        cells = self.raw_cells(occ, part)
+        span = self.left + self.right + 1
+        n_cols = 2 * n_vocab + span * (n_vocab + n_pos)     # bound on distinct columns
+        part.kept = sorted_index(cells.filter(F.col("value") != 0).select("col").distinct(), ["col"], "fidx",
+                                 max_rows=n_cols).cache()
+        return part
+
+    def scored(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
+        """Occurrences of vocabulary terms with their tf-idf value ``wval``;
+        unigrams also carry their POS cell (``pidx``, ``pval``)."""
+        by_term = Window.partitionBy("row", "term")
+        by_tag = Window.partitionBy("row", "tag")
+        by_row = Window.partitionBy("row")
+        o = occ.withColumn("tf", F.count(F.lit(1)).over(by_term)) \
+               .withColumn("ptf", F.count("tag").over(by_tag))
+        pv = fitted.pos_vocab.select(F.col("term").alias("tag"), F.col("idx").alias("pidx"), F.col("idf").alias("pidf"))
+        o = o.join(_small(pv, fitted.n_pos), "tag", "left")
+        pw = F.col("ptf") * F.col("pidf")
+        # sum over occurrences of ptf * pidf^2 = sum over distinct tags of (ptf * pidf)^2
+        o = o.withColumn("pval", pw / F.sqrt(F.sum(F.when(F.col("uni"), pw * F.col("pidf"))).over(by_row)))
+        tv = fitted.vocab.select("term", F.col("idx").alias("widx"), "idf")
+        o = o.join(_small(tv, fitted.n_vocab), "term")
+        tw = F.col("tf") * F.col("idf")
+        return o.withColumn("wval", tw / F.sqrt(F.sum(tw * F.col("idf")).over(by_row)))
+
+    def raw_cells(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
+        """(row, col, value) before column pruning; duplicate cells summed."""
+        o = self.scored(occ, fitted).filter(F.col("uni"))
+        v, p, span = fitted.n_vocab, fitted.n_pos, self.left + self.right + 1
+        d = F.col("p") - F.col("verb_idx")
+        k = d + self.left
         in_win = d.between(-self.left, self.right)
         null_cell = F.lit(None).cast("struct<col:long,value:double>")
 
@@ -191,25 +254,35 @@ class PositionalFeatures:
         ]
         if self.include_bow:
             cells += [cell(d < 0, F.col("widx"), F.col("wval")), cell(d > 0, v + F.col("widx"), F.col("wval"))]
-        c = tp.select("row", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
+        c = o.select("row", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
         return c.groupBy("row", F.col("c.col").alias("col")).agg(F.sum("c.value").alias("value"))
 
-    def fit(self, train_rows: DataFrame) -> FittedFeatures:
-        n = train_rows.count()
-        vocab = fit_vocab(term_frequency(train_rows, "words", self.ngram_max), n, self.max_features).cache()
-        pos_vocab = fit_vocab(term_frequency(train_rows, "tags", 1), n, None).cache()
-        n_vocab, n_pos = vocab.count(), pos_vocab.count()
-        cells = self._cells(train_rows, vocab, pos_vocab, n_vocab, n_pos)
+    def text_tfidf(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
+        """(row, term, idx, value) per distinct vocabulary term of a row."""
+        s = self.scored(occ, fitted)
+        return s.groupBy("row", "term").agg(F.first("widx").alias("idx"), F.first("wval").alias("value"))
+
+    def final_cells(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
         span = self.left + self.right + 1
-        n_cols = 2 * n_vocab + span * (n_vocab + n_pos)     # bound on distinct columns
-        kept = sorted_index(cells.filter(F.col("value") != 0).select("col").distinct(), ["col"], "fidx",
-                            max_rows=n_cols).cache()
-        return FittedFeatures(vocab, pos_vocab, kept, n_vocab, n_pos, self.left, self.right,
-                              self.include_bow, self.ngram_max)
+        bound = 2 * fitted.n_vocab + span * (fitted.n_vocab + fitted.n_pos)
+        cells = self.raw_cells(occ, fitted)
+        return cells.join(_small(fitted.kept, bound), "col").select("row", F.col("fidx").alias("col"), "value")
+
+    def fit(self, train_rows: DataFrame) -> FittedFeatures:
+        return self._fit_occ(self.occurrences(train_rows), train_rows.count())
 
     def transform(self, rows: DataFrame, fitted: FittedFeatures) -> DataFrame:
-        cells = self._cells(rows, fitted.vocab, fitted.pos_vocab, fitted.n_vocab, fitted.n_pos)
-        return cells.join(fitted.kept, "col").select("row", F.col("fidx").alias("col"), "value")
+        return self.final_cells(self.occurrences(rows), fitted)
+
+    def fit_transform(self, rows: DataFrame, is_train: Column) -> tuple[FittedFeatures, DataFrame, DataFrame]:
+        """Fit on the rows where ``is_train`` holds, transform all rows.
+        Returns (fitted, cells, occurrences); occurrences stay persisted."""
+        from pyspark import StorageLevel
+        r = rows.withColumn("_train", is_train)
+        occ = self.occurrences(r, carry=("_train",)).persist(StorageLevel.MEMORY_AND_DISK)
+        n_train = r.filter(F.col("_train")).count()
+        fitted = self._fit_occ(occ.filter(F.col("_train")), n_train)
+        return fitted, self.final_cells(occ, fitted), occ
 
 
 def feature_shape(rows: DataFrame, fitted: FittedFeatures, by: str = "split") -> DataFrame:

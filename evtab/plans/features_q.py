@@ -24,9 +24,11 @@ def feature_rows(spark, sf_dir):
 
 
 def fitted(spark, sf_dir):
+    """(rows, transformer, fitted model, final cells of all rows, occurrences)."""
     rows = feature_rows(spark, sf_dir)
     pf = FE.PositionalFeatures(LEFT, RIGHT, BOW, MAX_FEATURES, NGRAM)
-    return rows, pf, pf.fit(rows.filter(F.col("split") == "train"))
+    fit, cells, occ = pf.fit_transform(rows, F.col("split") == "train")
+    return rows, pf, fit, cells, occ
 
 
 def linear_weights(kept):
@@ -82,46 +84,46 @@ def oracle(sql: str) -> str:
 
 @register("term_frequency", oracle("SELECT eventid, term, tf FROM tf"))
 def q_term_frequency(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir)
-    return FE.term_frequency(rows, "words", NGRAM[1]).select(F.col("row").alias("eventid"), "term", "tf")
+    pf = FE.PositionalFeatures(LEFT, RIGHT, BOW, MAX_FEATURES, NGRAM)
+    occ = pf.occurrences(feature_rows(spark, sf_dir))
+    return FE.term_counts(occ).select(F.col("row").alias("eventid"), "term", "tf")
 
 
 @register("build_vocab", oracle("SELECT term, idx, df, CAST(cf AS BIGINT) AS cf FROM vocab"))
 def q_build_vocab(spark, sf_dir):
-    _, _, fit = fitted(spark, sf_dir)
+    fit = fitted(spark, sf_dir)[2]
     return fit.vocab.select("term", "idx", "df", F.col("cf").cast("long").alias("cf"))
 
 
 @register("idf", oracle("SELECT term, round(idf, 6) AS idf FROM idf"))
 def q_idf(spark, sf_dir):
-    _, _, fit = fitted(spark, sf_dir)
+    fit = fitted(spark, sf_dir)[2]
     return fit.vocab.select("term", F.round("idf", 6).alias("idf"))
 
 
 @register("tfidf", oracle("SELECT eventid, term, round(value, 6) AS value FROM tv"))
 def q_tfidf(spark, sf_dir):
-    rows, _, fit = fitted(spark, sf_dir)
-    t = FE.tfidf(FE.term_frequency(rows, "words", NGRAM[1]), fit.vocab)
+    _, pf, fit, _, occ = fitted(spark, sf_dir)
+    t = pf.text_tfidf(occ, fit)
     return t.select(F.col("row").alias("eventid"), "term", F.round("value", 6).alias("value"))
 
 
 @register("positional_features", oracle("SELECT eventid, col, round(value, 6) AS value FROM feat"))
 def q_positional_features(spark, sf_dir):
-    rows, pf, fit = fitted(spark, sf_dir)
-    cells = pf.transform(rows, fit)
+    cells = fitted(spark, sf_dir)[3]
     return cells.select(F.col("row").alias("eventid"), "col", F.round("value", 6).alias("value"))
 
 
 @register("kept_columns", oracle("SELECT col, fidx FROM kept"))
 def q_kept_columns(spark, sf_dir):
-    _, _, fit = fitted(spark, sf_dir)
+    fit = fitted(spark, sf_dir)[2]
     return fit.kept.select("col", "fidx")
 
 
 @register("feature_shape", oracle(
     "SELECT split, count(*) AS n_rows, (SELECT count(*) FROM kept) AS n_cols FROM fs GROUP BY split"))
 def q_feature_shape(spark, sf_dir):
-    rows, _, fit = fitted(spark, sf_dir)
+    rows, _, fit, _, _ = fitted(spark, sf_dir)
     return FE.feature_shape(rows, fit)
 
 
@@ -141,8 +143,7 @@ SELECT f.eventid, f.split, round(coalesce(s.score, 0) + {BIAS}, 6) AS score,
        CAST(coalesce(s.score, 0) + {BIAS} > 0 AS INTEGER) AS pred
 FROM fs f LEFT JOIN (SELECT eventid, sum(value * ((col % 7) - 3) / 10.0) AS score FROM feat GROUP BY 1) s USING (eventid)"""))
 def q_predict_linear(spark, sf_dir):
-    rows, pf, fit = fitted(spark, sf_dir)
-    cells = pf.transform(rows, fit)
+    rows, _, fit, cells, _ = fitted(spark, sf_dir)
     p = FE.predict_linear(rows.select("row", "split"), cells, linear_weights(fit.kept), BIAS)
     return p.select(F.col("row").alias("eventid"), "split", F.round("score", 6).alias("score"), "pred")
 
@@ -155,8 +156,7 @@ def q_fit_linear_svc(spark, sf_dir):
     """Squared-hinge l1 SVM with balanced, confidence-weighted classes (the
     documented run), fitted once on train and scored on dev and test."""
     from evtab.operators.svm import fit_linear_svc
-    rows, pf, fit = fitted(spark, sf_dir)
-    cells = pf.transform(rows, fit)
+    rows, _, fit, cells, _ = fitted(spark, sf_dir)
     train = rows.filter(F.col("split") == "train").select("row", "label", "label_confidence")
     n_cols = fit.kept.count()
     model = fit_linear_svc(cells.join(train.select("row"), "row", "left_semi"), train, n_cols, SVM_C,
