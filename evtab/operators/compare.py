@@ -82,7 +82,7 @@ def review_eval(sample: DataFrame, annotated: DataFrame, keys: Sequence[str] = E
     """Human labels beside predictions (by key), then macro-F1 and Cohen's
     kappa per group, over all rows and over ``pos == pos_subset``."""
     keys, by = list(keys), list(by)
-    j = sample.join(annotated.select(*keys, "annotation"), keys, "inner") \
+    j = sample.drop("annotation").join(annotated.select(*keys, "annotation"), keys, "inner") \
         .withColumn("is_pred_correct", metrics.is_correct("pred", "annotation"))
     both = j.withColumn("subset", F.explode(F.when(F.col("pos") == pos_subset,
                                                    F.array(F.lit("all"), F.lit(pos_subset)))
