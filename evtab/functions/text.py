@@ -93,4 +93,4 @@ def tokens_md5(tokens) -> Column:
 
 def label_suffix(c) -> Column:
     """'TGT-1' -> '1'; 'O' -> null."""
-    return F.when(_c(c) == "O", F.lit(None).cast("string")).otherwise(F.split(_c(c), "-").getItem(1))
+    return F.when(_c(c) == "O", F.lit(None).cast("string")).otherwise(F.get(F.split(_c(c), "-"), 1))
