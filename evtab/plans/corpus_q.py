@@ -20,9 +20,8 @@ def pos_rule(t: Column) -> Column:
     return F.when(h.isin("0", "1", "2", "3"), "VERB").when(h == "4", "AUX").otherwise("NOUN")
 
 
-def morph_rule(t: Column) -> Column:
-    h = F.md5(t)
-
+def morph_rule(h: Column) -> Column:
+    """Made-up morphology map from the token's md5 hex ``h`` (computed once)."""
     def ch(i):
         return F.substring(h, i, 1)
     entries = F.array(
@@ -35,6 +34,11 @@ def morph_rule(t: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 
 
+def pos_from_hash(h: Column) -> Column:
+    c = F.substring(h, 1, 1)
+    return F.when(c.isin("0", "1", "2", "3"), "VERB").when(c == "4", "AUX").otherwise("NOUN")
+
+
 DUCK_MORPH = """
   CASE WHEN substring(md5(token), 2, 1) <= '5' THEN 'Pres' WHEN substring(md5(token), 2, 1) <= '9' THEN 'Past' ELSE '' END AS Tense,
   CASE WHEN substring(md5(token), 3, 1) <= '7' THEN 'Ind' ELSE '' END AS Mood,
@@ -47,8 +51,8 @@ DUCK_MORPH = """
 def lexicon(spark, sf_dir):
     """(lang, token) -> pos, morph, built from the training tokens."""
     toks = fx.col_rows(spark, sf_dir).filter(F.col("split") == "train").select("lang", "token").distinct()
-    return toks.select("lang", "token", pos_rule(F.col("token")).alias("pos"),
-                       morph_rule(F.col("token")).alias("morph"))
+    h = toks.withColumn("_h", F.md5("token"))
+    return h.select("lang", "token", pos_from_hash(F.col("_h")).alias("pos"), morph_rule(F.col("_h")).alias("morph"))
 
 
 @register("parse_col", fx.with_views("""
@@ -74,8 +78,9 @@ SELECT c.docid, c.sent_pos, c.tok_pos, {DUCK_MORPH}
 FROM col_rows c WHERE c.eventid LIKE 'e%'""", "col_rows"))
 def q_morph_tags(spark, sf_dir):
     toks = fx.col_rows(spark, sf_dir).filter(F.col("eventid").startswith("e")).drop("pos")
-    lex = fx.col_rows(spark, sf_dir).select("lang", "token").distinct()
-    lex = lex.select("lang", "token", pos_rule(F.col("token")).alias("pos"), morph_rule(F.col("token")).alias("morph"))
+    lex = fx.col_rows(spark, sf_dir).filter(F.col("eventid").startswith("e")).select("lang", "token").distinct()
+    lex = lex.withColumn("_h", F.md5("token"))
+    lex = lex.select("lang", "token", pos_from_hash(F.col("_h")).alias("pos"), morph_rule(F.col("_h")).alias("morph"))
     out = corpus.morph_tags(corpus.annotate_lexicon(toks, lex))
     return out.select("docid", "sent_pos", "tok_pos", *corpus.MORPH_TAGS)
 
