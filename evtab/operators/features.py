@@ -236,8 +236,9 @@ class PositionalFeatures:
         tw = F.col("tf") * F.col("idf")
         return o.withColumn("wval", tw / F.sqrt(F.sum(tw * F.col("idf")).over(by_row)))
 
-    def raw_cells(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
-        """(row, col, value) before column pruning; duplicate cells summed."""
+    def raw_cells(self, occ: DataFrame, fitted: FittedFeatures, carry: tuple[str, ...] = ()) -> DataFrame:
+        """(row, carry..., col, value) before column pruning; duplicate cells
+        summed. ``carry`` columns must be functions of the row."""
         o = self.scored(occ, fitted).filter(F.col("uni"))
         v, p, span = fitted.n_vocab, fitted.n_pos, self.left + self.right + 1
         d = F.col("p") - F.col("verb_idx")
@@ -254,8 +255,8 @@ class PositionalFeatures:
         ]
         if self.include_bow:
             cells += [cell(d < 0, F.col("widx"), F.col("wval")), cell(d > 0, v + F.col("widx"), F.col("wval"))]
-        c = o.select("row", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
-        return c.groupBy("row", F.col("c.col").alias("col")).agg(F.sum("c.value").alias("value"))
+        c = o.select("row", *carry, F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
+        return c.groupBy("row", *carry, F.col("c.col").alias("col")).agg(F.sum("c.value").alias("value"))
 
     def text_tfidf(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
         """(row, term, idx, value) per distinct vocabulary term of a row."""
@@ -276,13 +277,25 @@ class PositionalFeatures:
 
     def fit_transform(self, rows: DataFrame, is_train: Column) -> tuple[FittedFeatures, DataFrame, DataFrame]:
         """Fit on the rows where ``is_train`` holds, transform all rows.
-        Returns (fitted, cells, occurrences); occurrences stay persisted."""
+        Returns (fitted, cells, occurrences). Prepared rows, occurrences and
+        unpruned cells are persisted once and shared by fit and transform."""
         from pyspark import StorageLevel
-        r = rows.withColumn("_train", is_train)
-        occ = self.occurrences(r, carry=("_train",)).persist(StorageLevel.MEMORY_AND_DISK)
+        keep = StorageLevel.MEMORY_AND_DISK
+        r = rows.withColumn("_train", is_train).persist(keep)
         n_train = r.filter(F.col("_train")).count()
-        fitted = self._fit_occ(occ.filter(F.col("_train")), n_train)
-        return fitted, self.final_cells(occ, fitted), occ
+        occ = self.occurrences(r, carry=("_train",)).persist(keep)
+        train_occ = occ.filter(F.col("_train"))
+        vocab = fit_vocab(term_counts(train_occ), n_train, self.max_features).cache()
+        pos_vocab = fit_vocab(term_counts(train_occ, pos=True), n_train, None).cache()
+        fitted = FittedFeatures(vocab, pos_vocab, None, vocab.count(), pos_vocab.count(), self.left, self.right,
+                                self.include_bow, self.ngram_max)
+        raw = self.raw_cells(occ, fitted, carry=("_train",)).persist(keep)
+        span = self.left + self.right + 1
+        bound = 2 * fitted.n_vocab + span * (fitted.n_vocab + fitted.n_pos)
+        kept_cols = raw.filter(F.col("_train") & (F.col("value") != 0)).select("col").distinct()
+        fitted.kept = sorted_index(kept_cols, ["col"], "fidx", max_rows=bound).cache()
+        cells = raw.join(_small(fitted.kept, bound), "col").select("row", F.col("fidx").alias("col"), "value")
+        return fitted, cells, occ
 
 
 def feature_shape(rows: DataFrame, fitted: FittedFeatures, by: str = "split") -> DataFrame:

@@ -148,7 +148,7 @@ def q_predict_linear(spark, sf_dir):
     return p.select(F.col("row").alias("eventid"), "split", F.round("score", 6).alias("score"), "pred")
 
 
-SVM_C, SVM_PENALTY, SVM_ITER = 1.0, "l1", 100
+SVM_C, SVM_PENALTY, SVM_ITER, SVM_TOL = 1.0, "l1", 100, 1e-4   # tol: the solver default
 
 
 @register("fit_linear_svc")
@@ -160,7 +160,7 @@ def q_fit_linear_svc(spark, sf_dir):
     train = rows.filter(F.col("split") == "train").select("row", "label", "label_confidence")
     n_cols = fit.kept.count()
     model = fit_linear_svc(cells.join(train.select("row"), "row", "left_semi"), train, n_cols, SVM_C,
-                           SVM_PENALTY, True, "label_confidence", SVM_ITER)
+                           SVM_PENALTY, True, "label_confidence", SVM_ITER, SVM_TOL)
     held = rows.filter(F.col("split") != "train").select("row", "split", "label")
     p = FE.predict_linear(held, cells, model.weights_df(spark), model.bias)
     return p.select(F.col("row").alias("eventid"), "split", "label", "pred")
