@@ -36,8 +36,8 @@ def q_attach_predictions(spark, sf_dir):
 
 @register("alignment_check", fx.with_views(f"""
 WITH_A AS NOT_USED
-SELECT count_if(nb IS NULL) AS left_only, count_if(na IS NULL) AS right_only,
-       count_if(na > 1) AS left_dup_keys, count_if(nb > 1) AS right_dup_keys,
+SELECT CAST(count_if(nb IS NULL) AS BIGINT) AS left_only, CAST(count_if(na IS NULL) AS BIGINT) AS right_only,
+       CAST(count_if(na > 1) AS BIGINT) AS left_dup_keys, CAST(count_if(nb > 1) AS BIGINT) AS right_dup_keys,
        count_if(nb IS NULL) + count_if(na IS NULL) + count_if(na > 1) + count_if(nb > 1) = 0 AS aligned
 FROM (SELECT docid, eventid, count(*) AS na FROM {MAIN} x GROUP BY ALL) a
 FULL OUTER JOIN (SELECT docid, eventid, count(*) AS nb FROM predictions GROUP BY ALL) b USING (docid, eventid)
@@ -143,4 +143,5 @@ def q_preview(spark, sf_dir):
     m = main_events(spark, sf_dir)
     p = fx.predictions(spark, sf_dir).select("model", "docid", "eventid", "pred", "label")
     j = m.join(p, ["docid", "eventid"]).withColumn("input", F.concat_ws(" | ", "before", "verb", "after"))
-    return compare.preview(j, 5, by=["model", "lang", "split"], order=["docid", "eventid"])
+    p = compare.preview(j, 5, by=["model", "lang", "split"], order=["docid", "eventid"])
+    return p.withColumn("rank", F.col("rank").cast("long"))

@@ -57,7 +57,7 @@ def train_samples(spark, sf_dir):
 
 @register("verb_vote", fx.with_views("""
 SELECT verb, n0, n1, CASE WHEN n0 > n1 THEN 0 WHEN n1 > n0 THEN 1 WHEN c0 > c1 THEN 0 ELSE 1 END AS label FROM (
-  SELECT lower(verb) AS verb, count_if(label = 0) AS n0, count_if(label = 1) AS n1,
+  SELECT lower(verb) AS verb, CAST(count_if(label = 0) AS BIGINT) AS n0, CAST(count_if(label = 1) AS BIGINT) AS n1,
          coalesce(avg(CASE WHEN label = 0 THEN label_confidence END), 0) AS c0,
          coalesce(avg(CASE WHEN label = 1 THEN label_confidence END), 0) AS c1
   FROM (SELECT *, CASE WHEN raw_label = 'yes_its_anchorable' THEN 1 ELSE 0 END AS label
