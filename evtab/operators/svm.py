@@ -9,9 +9,10 @@ Spark ML's ``LinearSVC`` minimises plain hinge loss with an l2 penalty only,
 so it cannot reproduce this model. Here the training rows are grouped once
 into per-row sparse records and checkpointed (lineage cut, survives executor
 loss); each FISTA step is one Spark job: every task computes its rows'
-margins and a sparse partial gradient in numpy, partials are summed by a
-``groupBy(col)`` and only the gradient (one number per feature, bounded by
-the feature count) reaches the driver.
+margins and a partial gradient in numpy; with few partitions the dense
+partials go straight to the driver (partitions x features numbers, capped),
+otherwise sparse partials are summed by a ``groupBy(col)`` and only the
+gradient (one number per feature) reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from evtab.operators.features import class_weights
 from evtab.session import checkpoint_dir
 
-BIAS_COL = -1
-LOSS_COL = -2
 ROWS_PER_TASK = 200_000
 
 
@@ -58,45 +57,69 @@ def training_records(cells: DataFrame, rows: DataFrame, C: float = 1.0, balanced
     return j.select("row", "y", "c", cv["col"].alias("cols"), cv["value"].alias("vals"))
 
 
+DIRECT_MAX_PARTS = 64   # up to this many partitions, tasks return dense partial sums directly
+
+
+def _sum_partials(recs: DataFrame, fn, size: int) -> np.ndarray:
+    """Sum of per-partition vectors ``fn(batches) -> np.ndarray(size)``.
+
+    Few partitions: each task returns its dense partial vector and the
+    driver adds them (at most DIRECT_MAX_PARTS x size numbers). More
+    partitions: sparse (index, value) partials are summed by a shuffle
+    aggregate and only the summed vector (size numbers) is collected."""
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+    if recs.rdd.getNumPartitions() <= DIRECT_MAX_PARTS:
+        def dense(batches):
+            yield pd.DataFrame({"v": [fn(batches).tolist()]})
+        out = np.zeros(size)
+        for r in recs.mapInPandas(dense, StructType([StructField("v", ArrayType(DoubleType()))])).collect():
+            out += np.asarray(r["v"])
+        return out
+
+    def sparse(batches):
+        v = fn(batches)
+        nz = np.nonzero(v)[0]
+        yield pd.DataFrame({"col": nz.astype("int64"), "g": v[nz]})
+    parts = recs.mapInPandas(sparse, StructType([StructField("col", LongType()), StructField("g", DoubleType())])) \
+        .groupBy("col").agg(F.sum("g").alias("g"))
+    out = np.zeros(size)
+    for r in parts.collect():          # at most ``size`` rows
+        out[r["col"]] = r["g"]
+    return out
+
+
+def _csr(pdf: pd.DataFrame):
+    lens = pdf["cols"].map(len).to_numpy()
+    if lens.sum():
+        cols = np.concatenate([np.asarray(c, dtype=np.int64) for c in pdf["cols"]])
+        vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["vals"]])
+    else:
+        cols, vals = np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np.repeat(np.arange(len(pdf)), lens), cols, vals
+
+
 def _partials(recs: DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, float, float]:
-    """Gradient of the loss part at (w, b), and the loss value."""
+    """Gradient of the loss part at (w, b) (features, then bias) and the loss."""
     n = len(w)
 
     def grad(batches):
-        g = np.zeros(n)
-        gb, loss = 0.0, 0.0
+        g = np.zeros(n + 2)             # features, bias, loss
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            lens = pdf["cols"].map(len).to_numpy()
-            cols = np.concatenate([np.asarray(c, dtype=np.int64) for c in pdf["cols"]]) if lens.sum() else \
-                np.zeros(0, dtype=np.int64)
-            vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["vals"]]) if lens.sum() else \
-                np.zeros(0)
-            rid = np.repeat(np.arange(len(pdf)), lens)
+            rid, cols, vals = _csr(pdf)
             z = np.bincount(rid, weights=vals * w[cols], minlength=len(pdf)) + b
             y = pdf["y"].to_numpy()
             c = pdf["c"].to_numpy()
             h = np.maximum(0.0, 1.0 - y * z)
-            loss += float(np.sum(c * h * h))
             coef = -2.0 * c * h * y
-            g += np.bincount(cols, weights=coef[rid] * vals, minlength=n)
-            gb += float(coef.sum())
-        nz = np.nonzero(g)[0]
-        yield pd.DataFrame({"col": np.concatenate([nz, [BIAS_COL, LOSS_COL]]).astype("int64"),
-                            "g": np.concatenate([g[nz], [gb, loss]])})
-
-    parts = recs.mapInPandas(grad, "col long, g double").groupBy("col").agg(F.sum("g").alias("g"))
-    out = np.zeros(n)
-    gb = loss = 0.0
-    for r in parts.collect():          # at most n + 2 rows
-        if r["col"] == BIAS_COL:
-            gb = r["g"]
-        elif r["col"] == LOSS_COL:
-            loss = r["g"]
-        else:
-            out[r["col"]] = r["g"]
-    return out, gb, loss
+            g[:n] += np.bincount(cols, weights=coef[rid] * vals, minlength=n)
+            g[n] += coef.sum()
+            g[n + 1] += np.sum(c * h * h)
+        return g
+
+    g = _sum_partials(recs, grad, n + 2)
+    return g[:n], float(g[n]), float(g[n + 1])
 
 
 def _hess_vec(recs: DataFrame, v: np.ndarray) -> np.ndarray:
@@ -108,24 +131,14 @@ def _hess_vec(recs: DataFrame, v: np.ndarray) -> np.ndarray:
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            lens = pdf["cols"].map(len).to_numpy()
-            cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["cols"]]) if lens.sum() else \
-                np.zeros(0, dtype=np.int64)
-            vals = np.concatenate([np.asarray(x, dtype=np.float64) for x in pdf["vals"]]) if lens.sum() else \
-                np.zeros(0)
-            rid = np.repeat(np.arange(len(pdf)), lens)
+            rid, cols, vals = _csr(pdf)
             av = np.bincount(rid, weights=vals * v[cols], minlength=len(pdf)) + v[n]
             cav = pdf["c"].to_numpy() * av
             out[:n] += np.bincount(cols, weights=cav[rid] * vals, minlength=n)
             out[n] += cav.sum()
-        nz = np.nonzero(out)[0]
-        yield pd.DataFrame({"col": nz.astype("int64"), "g": out[nz]})
-
-    parts = recs.mapInPandas(hv, "col long, g double").groupBy("col").agg(F.sum("g").alias("g"))
-    res = np.zeros(n + 1)
-    for r in parts.collect():
-        res[r["col"]] = r["g"]
-    return res
+        return out
+
+    return _sum_partials(recs, hv, n + 1)
 
 
 def lipschitz(recs: DataFrame, n_features: int, iters: int = 12, seed: int = 0) -> float:

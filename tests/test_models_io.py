@@ -39,8 +39,9 @@ def np_fista(X, y, c, penalty, iters=20000):
     return x[:-1], x[-1]
 
 
-@pytest.mark.parametrize("penalty", ["l2", "l1"])
-def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty):
+@pytest.mark.parametrize("penalty,direct", [("l2", 64), ("l1", 64), ("l1", 0)])
+def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty, direct, monkeypatch):
+    monkeypatch.setattr(svm, "DIRECT_MAX_PARTS", direct)   # 0: the shuffle-aggregate path
     rng = np.random.default_rng(0)
     n, d = 40, 5
     X = rng.normal(size=(n, d)) * (rng.random((n, d)) < 0.6)
