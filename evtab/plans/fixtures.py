@@ -92,12 +92,24 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                      labels=table(spark, sf_dir, "labels"))
 
 
+# Spark side: the copy / model tables become a generator (explode of a literal
+# array) instead of a join, so no plan carries a nested-loop join.
+SPARK_ANNOTATIONS = (ANNOTATIONS_BODY
+                     .replace("CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1 AS copy) c",
+                              "LATERAL VIEW explode(array(0, 1)) c AS copy"))
+SPARK_PREDICTIONS = (PREDICTIONS_BODY
+                     .replace("CROSS JOIN (SELECT 'm0' AS model UNION ALL SELECT 'm1' UNION ALL SELECT 'm2' "
+                              "UNION ALL SELECT 'm3' UNION ALL SELECT 'm4') m",
+                              "LATERAL VIEW explode(array('m0', 'm1', 'm2', 'm3', 'm4')) m AS model"))
+assert SPARK_ANNOTATIONS != ANNOTATIONS_BODY and SPARK_PREDICTIONS != PREDICTIONS_BODY
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ANNOTATIONS_BODY, samples=samples(spark, sf_dir))
+    return spark.sql(SPARK_ANNOTATIONS, samples=samples(spark, sf_dir))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PREDICTIONS_BODY, samples=samples(spark, sf_dir))
+    return spark.sql(SPARK_PREDICTIONS, samples=samples(spark, sf_dir))
 
 
 def col_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
