@@ -20,6 +20,8 @@ def test_prepare_unknown_task(spark):
         tasks.prepare(df, "nope")
     r = tasks.prepare(df, "seq_clf_verbtok", include_brackets=True).first()
     assert r.input == ["a", "[", "b", "]", "c"] and r.target_token_id == 2
+    c = tasks.prepare(df, "seq_clf_clstok", with_weight=False, with_label=False)
+    assert "sample_weight" not in c.columns and "label" not in c.columns
 
 
 def test_group_sentences_order_and_last_label(spark):  # C16
