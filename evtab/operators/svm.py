@@ -8,7 +8,9 @@ c_i = C * class_weight(y_i) * sample_weight_i.
 Spark ML's ``LinearSVC`` minimises plain hinge loss with an l2 penalty only,
 so it cannot reproduce this model. Here the training rows are grouped once
 into per-row sparse records and checkpointed (lineage cut, survives executor
-loss); each FISTA step is one Spark job: every task computes its rows'
+loss). A problem that fits one task (a row count checked against
+``ROWS_PER_TASK``) is solved inside that task with the same numpy code.
+Otherwise each FISTA step is one Spark job: every task computes its rows'
 margins and a partial gradient in numpy; with few partitions the dense
 partials go straight to the driver (partitions x features numbers, capped),
 otherwise sparse partials are summed by a ``groupBy(col)`` and only the
@@ -141,18 +143,16 @@ def _hess_vec(recs: DataFrame, v: np.ndarray) -> np.ndarray:
     return _sum_partials(recs, hv, n + 1)
 
 
-def lipschitz(recs: DataFrame, n_features: int, iters: int = 12, seed: int = 0) -> float:
+def lipschitz(hess_vec, n_features: int, trace: float, iters: int = 12, seed: int = 0) -> float:
     """Step-size constant 2 * lambda_max(A^T C A) by power iteration (with a
     10% margin), capped by the trace bound 2 * sum_i c_i (||x_i||^2 + 1)."""
-    trace = recs.agg(F.sum(F.col("c") * (F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x) + 1.0))).first()[0]
-    trace = 2.0 * float(trace or 0.0)
     if trace <= 0:
         return 0.0
     v = np.random.default_rng(seed).random(n_features + 1) + 0.1
     lam = 0.0
     for _ in range(iters):
         v = v / np.linalg.norm(v)
-        hv = _hess_vec(recs, v)
+        hv = hess_vec(v)
         lam = float(v @ hv)
         if not np.any(hv):
             break
@@ -160,38 +160,18 @@ def lipschitz(recs: DataFrame, n_features: int, iters: int = 12, seed: int = 0)
     return min(trace, 2.0 * lam * 1.1) if lam > 0 else trace
 
 
-def fit_linear_svc(cells: DataFrame, rows: DataFrame, n_features: int, C: float = 1.0, penalty: str = "l2",
-                   balanced: bool = True, sample_weight: str | None = None, max_iter: int = 300,
-                   tol: float = 1e-5, label: str = "label") -> LinearModel:
-    """FISTA with gradient-based adaptive restart on the squared hinge loss.
-    ``cells`` (row, col, value) with 0 <= col < n_features; ``rows`` (row,
-    label 0/1[, sample weight])."""
-    if penalty not in ("l1", "l2"):
-        raise ValueError("penalty must be 'l1' or 'l2'")
-    spark = rows.sparkSession
-    checkpoint_dir(spark, fallback=_local_fallback(spark))
-    recs = training_records(cells, rows, C, balanced, sample_weight, label).checkpoint(eager=True)
-    # every step is one job over these records: size partitions by rows
-    # (about ROWS_PER_TASK each) so small problems do not pay per-task costs
-    n_rows = recs.count()
-    want = max(1, -(-n_rows // ROWS_PER_TASK))
-    if want < recs.rdd.getNumPartitions():
-        recs = recs.coalesce(want)
-    recs = recs.cache()
-    lip = lipschitz(recs, n_features) + (1.0 if penalty == "l2" else 0.0)
-    if lip <= 0:
-        return LinearModel(np.zeros(n_features), 0.0, 0.0, 0, True)
+def fista(grad_loss, lip: float, n_features: int, penalty: str, max_iter: int, tol: float):
+    """FISTA with gradient-based adaptive restart. ``grad_loss(x)`` returns
+    (gradient of the loss part, loss) at x = (w, b). Returns (x, iters, converged)."""
     step = 1.0 / lip
     x = np.zeros(n_features + 1)       # last entry: bias
     yk = x.copy()
     t = 1.0
     converged, it = False, 0
     for it in range(1, max_iter + 1):
-        g, gb, _ = _partials(recs, yk[:-1], yk[-1])
-        grad = np.append(g, gb)
+        grad, _ = grad_loss(yk)
         if penalty == "l2":
-            grad = grad + yk
-            x_new = yk - step * grad
+            x_new = yk - step * (grad + yk)
         else:
             u = yk - step * grad
             x_new = np.sign(u) * np.maximum(np.abs(u) - step, 0.0)
@@ -204,10 +184,92 @@ def fit_linear_svc(cells: DataFrame, rows: DataFrame, n_features: int, C: float
         if delta < tol:
             converged = True
             break
-    _, _, loss = _partials(recs, x[:-1], x[-1])
+    return x, it, converged
+
+
+def _objective(x: np.ndarray, loss: float, penalty: str) -> float:
     reg = np.abs(x).sum() if penalty == "l1" else 0.5 * float(x @ x)
+    return float(reg + loss)
+
+
+def _local_solve(pdf: pd.DataFrame, n: int, penalty: str, max_iter: int, tol: float) -> pd.DataFrame:
+    """The whole solve on the records of one task (numpy, same math)."""
+    rid, cols, vals = _csr(pdf)
+    y = pdf["y"].to_numpy()
+    c = pdf["c"].to_numpy()
+    m = len(pdf)
+
+    def av(x):
+        return np.bincount(rid, weights=vals * x[cols], minlength=m) + x[n]
+
+    def atv(r):
+        return np.append(np.bincount(cols, weights=r[rid] * vals, minlength=n), r.sum())
+
+    def grad_loss(x):
+        h = np.maximum(0.0, 1.0 - y * av(x))
+        return atv(-2.0 * c * h * y), float(np.sum(c * h * h))
+
+    trace = 2.0 * float(np.sum(c * (np.bincount(rid, weights=vals * vals, minlength=m) + 1.0)))
+    lip = lipschitz(lambda v: atv(c * av(v)), n, trace) + (1.0 if penalty == "l2" else 0.0)
+    if lip <= 0:
+        x, it, conv = np.zeros(n + 1), 0, True
+    else:
+        x, it, conv = fista(grad_loss, lip, n, penalty, max_iter, tol)
+    obj = _objective(x, grad_loss(x)[1], penalty)
+    return pd.DataFrame({"w": [x.tolist()], "objective": [obj], "iterations": [it], "converged": [conv]})
+
+
+def fit_linear_svc(cells: DataFrame, rows: DataFrame, n_features: int, C: float = 1.0, penalty: str = "l2",
+                   balanced: bool = True, sample_weight: str | None = None, max_iter: int = 300,
+                   tol: float = 1e-5, label: str = "label", local_max_rows: int | None = None) -> LinearModel:
+    """Squared-hinge linear SVM by FISTA. ``cells`` (row, col, value) with
+    0 <= col < n_features; ``rows`` (row, label 0/1[, sample weight]).
+
+    Up to ``local_max_rows`` training rows (default ROWS_PER_TASK, checked
+    with a count) fit in one task, which runs every step itself; beyond, each
+    step is one distributed job over the checkpointed records."""
+    if penalty not in ("l1", "l2"):
+        raise ValueError("penalty must be 'l1' or 'l2'")
+    spark = rows.sparkSession
+    checkpoint_dir(spark, fallback=_local_fallback(spark))
+    recs = training_records(cells, rows, C, balanced, sample_weight, label).checkpoint(eager=True)
+    n_rows = recs.count()
+    limit = ROWS_PER_TASK if local_max_rows is None else local_max_rows
+    if n_rows <= limit:
+        from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StructField,
+                                       StructType)
+        schema = StructType([StructField("w", ArrayType(DoubleType())), StructField("objective", DoubleType()),
+                             StructField("iterations", LongType()), StructField("converged", BooleanType())])
+
+        def solve(batches):
+            parts = [p for p in batches if len(p)]
+            if parts:
+                yield _local_solve(pd.concat(parts, ignore_index=True), n_features, penalty, max_iter, tol)
+        res = recs.coalesce(1).mapInPandas(solve, schema).collect()
+        if not res:
+            return LinearModel(np.zeros(n_features), 0.0, 0.0, 0, True)
+        x = np.asarray(res[0]["w"])
+        return LinearModel(x[:-1], float(x[-1]), float(res[0]["objective"]), int(res[0]["iterations"]),
+                           bool(res[0]["converged"]))
+    # every step is one job over these records: size partitions by rows
+    # (about ROWS_PER_TASK each) so small problems do not pay per-task costs
+    want = max(1, -(-n_rows // ROWS_PER_TASK))
+    if want < recs.rdd.getNumPartitions():
+        recs = recs.coalesce(want)
+    recs = recs.cache()
+    trace = recs.agg(F.sum(F.col("c") * (F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x) + 1.0))).first()[0]
+    lip = lipschitz(lambda v: _hess_vec(recs, v), n_features, 2.0 * float(trace or 0.0))
+    lip += 1.0 if penalty == "l2" else 0.0
+    if lip <= 0:
+        return LinearModel(np.zeros(n_features), 0.0, 0.0, 0, True)
+
+    def grad_loss(x):
+        g, gb, loss = _partials(recs, x[:-1], x[-1])
+        return np.append(g, gb), loss
+    x, it, converged = fista(grad_loss, lip, n_features, penalty, max_iter, tol)
+    _, loss = grad_loss(x)
     recs.unpersist()
-    return LinearModel(x[:-1], float(x[-1]), float(reg + loss), it, converged)
+    return LinearModel(x[:-1], float(x[-1]), _objective(x, loss, penalty), it, converged)
 
 
 def _local_fallback(spark):

@@ -148,7 +148,7 @@ def q_predict_linear(spark, sf_dir):
     return p.select(F.col("row").alias("eventid"), "split", F.round("score", 6).alias("score"), "pred")
 
 
-SVM_C, SVM_PENALTY, SVM_ITER, SVM_TOL = 1.0, "l1", 100, 1e-4   # tol: the solver default
+SVM_C, SVM_PENALTY, SVM_ITER, SVM_TOL = 1.0, "l1", 300, 1e-4   # tol: the solver default
 
 
 @register("fit_linear_svc")

@@ -39,8 +39,9 @@ def np_fista(X, y, c, penalty, iters=20000):
     return x[:-1], x[-1]
 
 
-@pytest.mark.parametrize("penalty,direct", [("l2", 64), ("l1", 64), ("l1", 0)])
-def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty, direct, monkeypatch):
+@pytest.mark.parametrize("penalty,direct,local", [("l2", 64, 0), ("l1", 64, 0), ("l1", 0, 0),
+                                                  ("l2", 64, None), ("l1", 64, None)])
+def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty, direct, local, monkeypatch):
     monkeypatch.setattr(svm, "DIRECT_MAX_PARTS", direct)   # 0: the shuffle-aggregate path
     rng = np.random.default_rng(0)
     n, d = 40, 5
@@ -52,7 +53,7 @@ def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty, direct, monkeypatc
     rows = spark.createDataFrame([(f"r{i}", int(y01[i]), float(sw[i])) for i in range(n)],
                                  "row string, label int, sw double")
     m = svm.fit_linear_svc(cdf, rows, d, C=1.0, penalty=penalty, balanced=True, sample_weight="sw",
-                           max_iter=250, tol=1e-9)
+                           max_iter=250, tol=1e-9, local_max_rows=local)   # 0: distributed steps
     y = 2 * y01 - 1
     cw = {k: n / (2 * np.sum(y01 == k)) for k in (0, 1)}
     c = np.array([cw[k] for k in y01]) * sw
