@@ -35,13 +35,12 @@ def q_attach_predictions(spark, sf_dir):
 
 
 @register("alignment_check", fx.with_views(f"""
-WITH_A AS NOT_USED
 SELECT CAST(count_if(nb IS NULL) AS BIGINT) AS left_only, CAST(count_if(na IS NULL) AS BIGINT) AS right_only,
        CAST(count_if(na > 1) AS BIGINT) AS left_dup_keys, CAST(count_if(nb > 1) AS BIGINT) AS right_dup_keys,
        count_if(nb IS NULL) + count_if(na IS NULL) + count_if(na > 1) + count_if(nb > 1) = 0 AS aligned
 FROM (SELECT docid, eventid, count(*) AS na FROM {MAIN} x GROUP BY ALL) a
 FULL OUTER JOIN (SELECT docid, eventid, count(*) AS nb FROM predictions GROUP BY ALL) b USING (docid, eventid)
-""".replace("WITH_A AS NOT_USED\n", ""), "predictions"))
+""", "predictions"))
 def q_alignment_check(spark, sf_dir):
     return compare.alignment_check(main_events(spark, sf_dir), fx.predictions(spark, sf_dir))
 
@@ -77,31 +76,32 @@ def q_review_sheet(spark, sf_dir):
     return sample.select("lang", "split", "docid", "eventid", "verb", "pred", "prob", "annotation")
 
 
-@register("review_eval", fx.with_views(f"""
-, j AS (
+DUCK_REVIEW = [f"""j AS (
   SELECT m.lang, m.split, p.pred, CASE WHEN m.raw_label = 'yes_its_anchorable' THEN 1 ELSE 0 END AS annotation,
          {DUCK_POS.replace('{t}', 'm.verb')} AS pos
   FROM {MAIN} m JOIN (SELECT * FROM predictions WHERE model = 'm0') p
-    ON m.docid = p.docid AND m.eventid = p.eventid),
-s AS (SELECT lang, split, 'all' AS subset, pred, annotation FROM j
-      UNION ALL SELECT lang, split, 'VERB', pred, annotation FROM j WHERE pos = 'VERB'),
-conf AS (SELECT lang, split, subset, annotation AS label, pred, count(*) AS n FROM s GROUP BY ALL),
-pc AS (
+    ON m.docid = p.docid AND m.eventid = p.eventid)""",
+               """s AS (SELECT lang, split, 'all' AS subset, pred, annotation FROM j
+      UNION ALL SELECT lang, split, 'VERB', pred, annotation FROM j WHERE pos = 'VERB')""",
+               "conf AS (SELECT lang, split, subset, annotation AS label, pred, count(*) AS n FROM s GROUP BY ALL)",
+               """pc AS (
   SELECT k.lang, k.split, k.subset, k.c,
     sum(CASE WHEN f.label = k.c AND f.pred = k.c THEN f.n ELSE 0 END) AS tp,
     sum(CASE WHEN f.label <> k.c AND f.pred = k.c THEN f.n ELSE 0 END) AS fp,
     sum(CASE WHEN f.label = k.c AND f.pred <> k.c THEN f.n ELSE 0 END) AS fn
   FROM (SELECT lang, split, subset, label AS c FROM conf UNION SELECT lang, split, subset, pred FROM conf) k
-  JOIN conf f ON f.lang = k.lang AND f.split = k.split AND f.subset = k.subset GROUP BY ALL),
-agg AS (
+  JOIN conf f ON f.lang = k.lang AND f.split = k.split AND f.subset = k.subset GROUP BY ALL)""",
+               """agg AS (
   SELECT lang, split, subset, avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END) AS f1,
          sum(tp) / sum(tp + fn) AS po, sum((tp + fn) * (tp + fp)) / (CAST(sum(tp + fn) AS DOUBLE) * sum(tp + fn)) AS pe
-  FROM pc GROUP BY ALL)
+  FROM pc GROUP BY ALL)"""]
+
+
+@register("review_eval", fx.with_views("""
 SELECT s.lang, s.split, s.subset, count(*) AS n, CAST(sum(CASE WHEN s.pred = s.annotation THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
        round(any_value(a.f1), 6) AS macro_f1,
        round(any_value(CASE WHEN a.pe = 1 THEN NULL ELSE (a.po - a.pe) / (1 - a.pe) END), 6) AS kappa
-FROM s JOIN agg a USING (lang, split, subset) GROUP BY ALL""".lstrip().lstrip(",").lstrip(), "predictions")
-    .replace("\nj AS (", ",\nj AS ("))
+FROM s JOIN agg a USING (lang, split, subset) GROUP BY ALL""", "predictions", extra=DUCK_REVIEW))
 def q_review_eval(spark, sf_dir):
     m = main_events(spark, sf_dir).select("lang", "split", "docid", "eventid", "verb", "raw_label")
     m = m.withColumn("pos", pos_rule(F.col("verb")))
