@@ -113,3 +113,23 @@ def test_fleiss_kappa_nulls_count_negative(spark):  # C20
     got = metrics.fleiss_kappa(df, ["a", "b", "c"]).first().fleiss_kappa
     table = [[3 - sum(v or 0 for v in row), sum(v or 0 for v in row)] for row in votes]
     assert math.isclose(got, py_fleiss(table))
+
+
+def test_sorted_index_both_paths(spark):
+    from evtab.operators.features import sorted_index
+    df = spark.range(0, 5000, numPartitions=7).selectExpr("cast((id * 7919) % 5000 as string) AS term")
+    want = sorted(str((i * 7919) % 5000) for i in range(5000))
+    for bound in (None, 5000):      # checkpointed range numbering / bounded window
+        got = sorted((r.idx, r.term) for r in sorted_index(df, ["term"], "idx", max_rows=bound).collect())
+        assert [t for _, t in got] == want and [i for i, _ in got] == list(range(5000))
+
+
+def test_hash_rank_with_a_hot_group(spark):
+    rows = [("hot" if i % 3 else f"g{i % 5}", f"k{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k string")
+    r = split.hash_rank(df, "k", 1, ["g"], size_col="n")
+    agg = {row.g: (sorted(row.rs), row.n) for row in
+           r.groupBy("g").agg(F.collect_list("rank").alias("rs"), F.first("n").alias("n")).collect()}
+    for g, (ranks, n) in agg.items():
+        assert ranks == list(range(1, n + 1))
+    assert agg["hot"][1] == 2000
