@@ -133,3 +133,26 @@ def test_hash_rank_with_a_hot_group(spark):
     for g, (ranks, n) in agg.items():
         assert ranks == list(range(1, n + 1))
     assert agg["hot"][1] == 2000
+
+
+def test_kappa_unchanged_by_label_swap(spark):
+    y = [0, 1, 1, 0, 1, 1, 0, 0]
+    p = [0, 1, 0, 0, 1, 1, 1, 0]
+    a = spark.createDataFrame(list(zip(y, p)), "label int, pred int")
+    b = spark.createDataFrame([(1 - u, 1 - v) for u, v in zip(y, p)], "label int, pred int")
+    assert math.isclose(metrics.cohen_kappa(a).first().kappa, metrics.cohen_kappa(b).first().kappa)
+
+
+def test_results_unchanged_by_repartition(spark):
+    from evtab.operators import clean
+    rows = [(i, f"d{i % 4}", "v", f"e{i // 2}", i % 4 == 1, "golden" if i % 2 else "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_pos long, docid string, verb string, eventid string, "
+                                     "_golden boolean, _unit_state string")
+    base = sorted(r.row_pos for r in clean.dedup_golden(df, on_missing="first").collect())
+    for n in (1, 3, 11):
+        again = sorted(r.row_pos for r in clean.dedup_golden(df.repartition(n), on_missing="first").collect())
+        assert again == base
+    ranks = {r.k: r.rank for r in split.hash_rank(df.withColumn("k", F.col("eventid")), "row_pos").collect()}
+    ranks2 = {r.k: r.rank for r in split.hash_rank(df.repartition(5).withColumn("k", F.col("eventid")),
+                                                    "row_pos").collect()}
+    assert ranks == ranks2

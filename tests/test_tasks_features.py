@@ -37,6 +37,8 @@ def test_group_sentences_order_and_last_label(spark):  # C16
     assert s.labels == ["O", "O", "TGT-0", "O", "O", "O", "TGT-X", "O", "O"]
     assert s.event_ids == ["ev3", "ev1", "ev3b"]
     assert s.target_event_ids == ["ev1", "ev3b"]
+    n_targets = len(s.target_event_ids)
+    assert len(s.labels) == len(s.input) == len(s.sentence.split()) + 2 * n_targets
 
 
 def py_subword(words, labels, piece=3, max_len=128):
