@@ -91,3 +91,17 @@ def test_annotate_sentences_count_check(spark):
         return [("X", {})]
     with pytest.raises(Exception, match="annotator returned"):
         corpus.annotate_sentences(tokens_df(spark).drop("pos"), bad).collect()
+
+
+def test_corpus_events_from_files(spark, tmpdir_path):
+    root = tmpdir_path
+    write(f"{root}/TB_IT_col/train/a.col",
+          "DCT\t2001\nIl\t1\ts1\tO\nha\t2\ts1\te1\ndetto\t3\ts1\te1\nciao\t4\ts1\tO\n\nVa\t1\ts2\te2\n".encode())
+    files = read_col_corpus(spark, root, {"TB_IT_col": "it"})
+    lex = spark.createDataFrame([("it", "ha", "AUX", {"Tense": "Pres"}), ("it", "detto", "VERB", {}),
+                                 ("it", "Va", "VERB", {"Mood": "Ind,Imp"})],
+                                "lang string, token string, pos string, morph map<string,string>")
+    out = corpus.corpus_events(files, lexicon=lex).orderBy("eventid").collect()
+    got = [(r.eventid, r.verb, r.pos, r.before, r.after, r.tokenid, r.sentid, r.Tense, r.Mood) for r in out]
+    assert got == [("e1", "ha", "AUX", "Il", "detto ciao", "2", "s1", "Pres", ""),
+                   ("e2", "Va", "VERB", "", "", "1", "s2", "", "Ind")]
