@@ -194,9 +194,16 @@ def stage_counts(raw: DataFrame, deduped: DataFrame, clean: DataFrame,
 
 
 def clean_annotations(raw: DataFrame, platinum: DataFrame | None = None, dev: DataFrame | None = None,
-                      on_missing: str = "error") -> DataFrame:
-    """dedup -> fill -> flag -> drop broken (-> split, label when lists given)."""
+                      on_missing: str = "error", answer: str = ANSWER_COL) -> DataFrame:
+    """dedup -> fill -> flag -> drop broken; then split (when the lists are
+    given), the binary label and ``label_confidence`` (when the answer
+    columns exist)."""
     out = drop_broken(flag_broken(dedup_golden(raw, on_missing=on_missing)))
     if platinum is not None:
         out = assign_split(out, platinum, dev)
+    if answer in out.columns:
+        out = binary_label(out, answer)
+    conf = answer + ":confidence"
+    if conf in out.columns:
+        out = rename_confidence(out, conf)
     return out

@@ -102,3 +102,24 @@ def test_value_counts_and_stage_counts(spark):
     assert got == {("raw", ""): 3, ("no_dupl", ""): 2, ("no_broken", ""): 1, ("split", "train"): 1}
     vc = clean.value_counts(raw, "verb").collect()
     assert [(r.verb, r.n) for r in vc] == [("v", 2), ("w", 1)]
+
+
+def test_clean_annotations_from_csv(spark, tmpdir_path):
+    import os
+
+    from evtab.sources.readers import read_annotations
+    col = clean.ANSWER_COL
+    path = os.path.join(tmpdir_path, "ann.csv")
+    with open(path, "w") as f:
+        f.write(f"docid,eventid,verb,before,after,bodytext,_golden,_unit_state,{col},{col}:confidence\n")
+        f.write("p1,e1,ran,He,fast,<p>He <b>ran</b> fast</p>,false,golden,yes_its_anchorable,0.8\n")
+        f.write("p1,e1,ran,He,fast,<p>He <b>ran</b> fast</p>,false,finalized,no,0.6\n")
+        f.write("d2,e2,sat,,,<p>zz</p>,false,finalized,no,0.5\n")
+        f.write("d3,e3,ate,I,,<p>I ate</p>,false,finalized,,\n")
+    raw = read_annotations(spark, [path], ["aq"])
+    plat = spark.createDataFrame([("p1",)], "docid string")
+    dev = spark.createDataFrame([("d3",)], "docid string")
+    out = {r.eventid: r for r in clean.clean_annotations(raw, plat, dev).collect()}
+    assert set(out) == {"e1", "e3"}                     # duplicate resolved, broken e2 dropped
+    assert (out["e1"].split, out["e1"].label, out["e1"].label_confidence) == ("test", 1, 0.8)
+    assert (out["e3"].split, out["e3"].label) == ("dev", 0)
