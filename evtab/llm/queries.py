@@ -5,13 +5,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evtab.llm import bpe
+from evtab.llm import bpe, warc
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@register("op9_warc", oracle=f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h,
+                  min(page_id) OVER (PARTITION BY sha1(b)) AS first FROM p),
+     w AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 1 + 5 * i, 5))::BIGINT) AS v FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(v, lambda x:
+           substr('{BASE32}', 1 + ((x >> 15) & 31)::INT, 1) || substr('{BASE32}', 1 + ((x >> 10) & 31)::INT, 1) ||
+           substr('{BASE32}', 1 + ((x >> 5) & 31)::INT, 1) || substr('{BASE32}', 1 + (x & 31)::INT, 1)),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM w""")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to Zstandard WARC archives and read back."""
+    rows = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
