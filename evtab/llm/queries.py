@@ -4,14 +4,35 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evtab.llm import bpe, warc
+from evtab.llm import bpe, language, toxicity, warc
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+@register("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    dictionaries = language.learn(docs.where(~out))
+    return language.predict(docs.select("doc_id", "text"), dictionaries) \
+        .select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    weights = toxicity.train(toxicity.sample(docs, labels.where(~out)))
+    return toxicity.score(docs.select("doc_id", "text"), weights) \
+        .select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
