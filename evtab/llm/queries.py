@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtab.llm import bpe, language, toxicity, warc
+from evtab.llm import bpe, language, topk, toxicity, warc
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
@@ -33,6 +33,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+@register("op5_topk", oracle="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS query_id, b.vec_id,
+                  list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+           FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other rows of every embedding whose id is divisible by 50."""
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
