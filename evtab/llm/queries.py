@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtab.llm import bpe, language, topk, toxicity, warc
+from evtab.llm import bpe, language, topk, toxicity, vecdup, warc
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
@@ -47,6 +47,24 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@register("op8_vecdup", oracle="""
+WITH RECURSIVE
+  v AS (SELECT vec_id, CASE WHEN embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+               THEN list_transform(embedding, lambda x: x::DOUBLE) END AS e FROM embeddings),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+  r(id, low) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.low = l.a),
+  c AS (SELECT id, min(low) AS component_id FROM r GROUP BY id),
+  n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, c.id = component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.id""")
+def op8_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of all embeddings at cosine 0.9."""
+    return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
