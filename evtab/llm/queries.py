@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtab.llm import bpe, language, topk, toxicity, vecdup, warc
+from evtab.llm import bpe, language, shards, topk, toxicity, vecdup, warc
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
@@ -65,6 +65,14 @@ def op8_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@register("op6_shards")
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; equal texts together, row counts at most one apart."""
+    placed = shards.balanced_shards(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 

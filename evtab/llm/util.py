@@ -51,20 +51,27 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
-def prefix_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column,
-               out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` per ``keys`` in (bucket, order) order.
+def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column | str],
+                values: dict[str, Column]) -> DataFrame:
+    """Exclusive running sums per ``keys`` in (bucket, order) order, one new column per value.
 
     A key may hold any share of the rows: rows are summed per (keys, bucket),
     the buckets of a key (a bounded number) get their offsets, and a window
     orders rows only inside one bucket.
     """
     part = [*keys, bucket]
-    sums = df.groupBy(*part).agg(F.sum(value).alias("_sum"))
-    w = Window.partitionBy(*keys).orderBy(bucket) if keys else Window.partitionBy(F.lit(0)).orderBy(bucket)
-    offsets = sums.select(*part, (F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, 0))
-                                  - F.col("_sum")).alias("_base"))
-    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("_in", F.sum(value).over(inside) - value)
-    joined = ranked.join(offsets, part)
-    return joined.withColumn(out, F.col("_in") + F.col("_base")).drop("_in", "_base")
+    sums = df.groupBy(*part).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in values.items()])
+    over = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(bucket) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*part, *[F.coalesce(F.sum(f"_sum_{k}").over(over), F.lit(0)).alias(f"_base_{k}")
+                                   for k in values])
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = df.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_in_{k}")
+                              for k, v in values.items()])
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return ranked.alias("r").join(offsets.alias("o"), cond).select(
+        *[F.col(f"r.{c}") for c in df.columns],
+        *[(F.col(f"r._in_{k}") + F.col(f"o._base_{k}")).alias(k) for k in values])
