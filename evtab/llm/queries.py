@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtab.llm import bpe, language, shards, topk, toxicity, vecdup, warc
+from evtab.llm import bpe, language, mixing, neardup, shards, topk, toxicity, vecdup, warc
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
@@ -23,6 +23,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@register("op3_neardup")
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, component and kept document of all documents: five-word shingles, similarity 0.8."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside the held-out fold."""
@@ -73,6 +79,13 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes from every document, and the output shards of its drawn blocks."""
+    documents, blocks = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.with_shards(documents, blocks).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
