@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtab.llm import bpe, language, mixing, neardup, shards, topk, toxicity, vecdup, warc
+from evtab.llm import bpe, htmltext, language, mixing, neardup, shards, topk, toxicity, vecdup, warc
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
@@ -23,6 +23,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@register("op2_htmltext")
+def op2_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 @register("op3_neardup")
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, component and kept document of all documents: five-word shingles, similarity 0.8."""
