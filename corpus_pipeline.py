@@ -1,29 +1,60 @@
 """From raw documents to token ids, one corpus operator per stage.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; it is written as Parquet
-and read again as the next stage's ``docs``.
+and read again as the next stage's ``docs``. All stages but the last return
+the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evtab.llm import bpe
+from evtab.llm import bpe, language, mixing, neardup, toxicity
 from evtab.llm.queries import VOCABULARY
 from evtab.llm.util import landed, table
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; learned from ``labels`` outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(~language.held_out(F.col("doc_id"), 5, 0))
+    weights = toxicity.train(toxicity.sample(docs, labels))
+    return toxicity.score(docs, weights).where("predicted = 0").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is decided; it fills a missing ``lang``."""
+    dictionaries = language.learn(docs.where(~language.held_out(F.col("doc_id"), 4, 2)))
+    known = language.predict(docs, dictionaries).where("NOT rejected")
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates."""
+    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources, shuffled: documents repeat or stay out as the target weights ask."""
+    return mixing.mixed(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, token ids and digests of every document of the mix."""
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), keep=["doc_id"])
 
 
 STAGES = [
-    ("tokens", tokens),
+    ("toxicity", toxicity_stage),
+    ("language", language_stage),
+    ("neardup", neardup_stage),
+    ("mixing", mixing_stage),
+    ("tokens", tokens_stage),
 ]
 
-#: No stage but the last rows' digests is plain SQL: the tests compare with brute force.
+#: Learned models and hashed draws are not SQL; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

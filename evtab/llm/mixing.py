@@ -216,3 +216,49 @@ def with_shards(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     draws = F.when(F.col("taken") > 0, F.transform(F.filter(
         "draws", lambda d: (d["pass"] < F.col("passes")) | (F.col("part") > 0)), lambda d: d["shard"]))
     return joined.withColumn("shards", F.coalesce(draws, F.array().cast("array<int>"))).drop("s", "b", "draws")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The first ``n`` words of a text, one space between them."""
+    space = r"[\x20\x09-\x0D]+"
+    return F.array_join(F.slice(F.split(F.regexp_replace(text, "^" + space, ""), space), F.lit(1), n.cast("int")), " ")
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+          n_chars: str | None = "n_chars", **options) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: what a training run reads, in its order.
+
+    A document comes once per whole pass its source is given, and once more
+    with its first words where the target ends inside it; documents the mix
+    takes no word of are left out. Partitions hold the output shards, rows are
+    sorted by shard and by the shuffled position of their block. Rows that
+    repeat (key and text) are all taken like the one of them that is taken
+    most.
+    """
+    seed = options.get("seed", 0)
+    documents, blocks = mix(docs, key, source, text, **options)
+    mine = landed(documents.where("taken > 0").groupBy("doc_id", "h").agg(
+        F.max("passes").alias("passes"), F.max(F.struct("part", "size")).alias("cut"), F.min("source").alias("src"),
+        F.min("block").alias("block")), "mix-takes")
+    copies = F.concat(F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))
+                      .otherwise(F.array().cast("array<bigint>")),
+                      F.when(F.col("cut.part") > 0, F.array("passes")).otherwise(F.array().cast("array<bigint>")))
+    rows = mine.withColumn("pass", F.explode(copies)).withColumn(
+        "words", F.when((F.col("pass") == F.col("passes")) & (F.col("cut.part") < F.col("cut.size")),
+                        F.col("cut.part")))
+    spots = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("pass").alias("p"), "shard",
+                          "position")
+    rows = rows.join(spots, F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+                     & (F.col("pass") == F.col("p"))) \
+        .select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("words").alias("_words"),
+                F.col("shard").alias("_shard"), F.col("position").alias("_position"))
+    mark = _hash(F.lit(seed), F.col(key).cast("string"), F.crc32(F.coalesce(F.col(text), F.lit(""))))
+    out = docs.withColumn("_mark", mark).join(rows, (F.col("_mark") == F.col("_h"))
+                                              & F.col(key).eqNullSafe(F.col("_id")))
+    cut = F.when(F.col("_words").isNotNull(), first_words(F.col(text), F.col("_words"))).otherwise(F.col(text))
+    out = out.withColumn(text, cut)
+    if n_chars is not None and n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(F.col("_words").isNotNull(), F.length(text).cast(
+            docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.repartitionByRange("_shard", "_position", "_h").sortWithinPartitions("_shard", "_position", "_h") \
+        .select(*docs.columns)
