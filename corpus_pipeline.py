@@ -64,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = landed(docs, f"pipeline-{name}")
+            docs = landed(docs, f"pipeline-{name}", "snappy")
     return docs

@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         .where("id IS NOT NULL AND t IS NOT NULL")
     touched = members.select("id").distinct().join(classes.select("id", "k"), "id")
     texts = landed(texts.join(touched, "id").where(F.unhex(F.md5(F.encode("t", "UTF-8"))) == F.col("k"))
-                   .dropDuplicates(["id"]).select("id", "t"), "dup-texts")
+                   .dropDuplicates(["id"]).select("id", "t"), "dup-texts", "snappy")
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = landed(checked(stars, texts, similarity, weights), "dup-links")
     named = components(links)

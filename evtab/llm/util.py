@@ -29,15 +29,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/evtab-{name}-{uuid.uuid4().hex}"
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
+def landed(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` does, survives lost executors, and
-    keeps column pruning for the readers.
+    keeps column pruning for the readers. Tables of ids and hashes do not
+    compress, and codec buffers of many small writers add up outside the heap;
+    tables with texts name a codec.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
