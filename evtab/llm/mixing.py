@@ -67,21 +67,22 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
     Weights follow the ratio of neighbouring probabilities over all counts
     within ten standard deviations of the mean.
     """
+    total, good, draws = total.cast("long"), good.cast("long"), draws.cast("long")
     bad = total - good
     n = F.greatest(total, F.lit(1)).cast("double")
-    mean = draws * good / n
+    mean = draws.cast("double") * good / n
     sd = F.sqrt(F.greatest(mean * (bad / n) * ((total - draws) / F.greatest(n - 1, F.lit(1.0))), F.lit(0.0)))
     low = F.greatest(F.lit(0).cast("long"), draws - bad, F.floor(mean - 10 * sd - 2))
     high = F.least(good, draws, F.ceil(mean + 10 * sd + 2))
-    weight = lambda w, k: w * ((good - k) * (draws - k)).cast("double") / ((k + 1) * (bad - draws + k + 1))
+    weight = lambda w, k: w * ((good - k) / (k + 1)) * ((draws - k) / (bad - draws + k + 1))
     counts = F.sequence(low, F.greatest(low, high))
     one = F.lit(1.0)
     whole = F.aggregate(counts, F.struct(one.alias("w"), F.lit(0.0).alias("sum")), lambda a, k: F.struct(
         weight(a["w"], k).alias("w"), (a["sum"] + a["w"]).alias("sum")), lambda a: a["sum"])
-    return F.aggregate(counts, F.struct(one.alias("w"), F.lit(0.0).alias("sum"), low.alias("k")),
-                       lambda a, k: F.struct(
-                           weight(a["w"], k).alias("w"), (a["sum"] + a["w"]).alias("sum"),
-                           F.when(a["sum"] < u * whole, k).otherwise(a["k"]).alias("k")), lambda a: a["k"])
+    start = F.struct(one.alias("w"), F.lit(0.0).alias("sum"), low.alias("k"), (u * whole).alias("goal"))
+    return F.aggregate(counts, start, lambda a, k: F.struct(
+        weight(a["w"], k).alias("w"), (a["sum"] + a["w"]).alias("sum"),
+        F.when(a["sum"] < a["goal"], k).otherwise(a["k"]).alias("k"), a["goal"].alias("goal")), lambda a: a["k"])
 
 
 def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
