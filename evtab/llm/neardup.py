@@ -38,9 +38,9 @@ K = BANDS * ROWS
 #: deviations below what a pair at the threshold has.
 SLACK = 5.0
 REMEMBERED = 400_000
-#: Texts signed together, and members of an unresolved bucket in one part.
+#: Texts signed together, and members (rows, characters) of an unresolved group in one part.
 BATCH_WORDS = 200_000
-PART_ROWS = 2048
+PART_ROWS, PART_CHARS = 1024, 4_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -175,7 +175,7 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: st
     return rows.where("doc_id IS NOT NULL AND t IS NOT NULL").mapInArrow(run, "doc_id long, k binary, sig binary")
 
 
-def _set_of(text: str, known: WordHash, weights: str) -> tuple[np.ndarray, np.ndarray]:
+def _set_of(text: str, known: WordHash) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(text, known), return_counts=True)
 
 
@@ -194,19 +194,15 @@ def checked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
             if i not in last:
                 if len(last) >= 64:
                     last.clear()
-                last[i] = _set_of(t, known, weights)
+                last[i] = _set_of(t, known)
             return last[i]
 
         for batch in batches:
             out: list[tuple[int, int]] = []
             for a, ta, b, tb in zip(*batch.columns, strict=True):
                 a, b = a.as_py(), b.as_py()
-                (x, cx), (y, cy) = weighted(a, ta.as_py()), weighted(b, tb.as_py())
-                if weights == "set":
-                    cx, cy = np.ones_like(cx), np.ones_like(cy)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                shared = int(np.minimum(cx[i], cy[j]).sum())
-                if shared >= similarity * (int(cx.sum()) + int(cy.sum()) - shared):
+                both, total = _shared(weighted(a, ta.as_py()), weighted(b, tb.as_py()), weights)
+                if both >= similarity * total:
                     out.append((a, b))
             cols = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
@@ -214,49 +210,88 @@ def checked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     return both.mapInArrow(run, "a long, b long")
 
 
-def _agreeing(members: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs ``a, b`` of different components inside unresolved buckets.
+def _shared(x: tuple, y: tuple, weights: str) -> tuple[int, int]:
+    """Weight of what two weighted sets share, and of both together."""
+    (a, ca), (b, cb) = x, y
+    if weights == "set":
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both, len(a) + len(b) - both
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    both = int(np.minimum(ca[i], cb[j]).sum())
+    return both, int(ca.sum()) + int(cb.sum()) - both
 
-    ``members``: ``bk, id, comp, main`` (whether it is in the component of the
-    bucket's smallest id). Members are dealt to parts of bounded size and parts
-    meet in pairs; parts of the main component do not meet each other. Only
-    pairs whose signatures agree enough leave a task.
+
+def compared(members: DataFrame, similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
+    """Links ``a, b`` that join different components of a candidate group.
+
+    ``members``: ``grp, main, id, comp, sig, t``, every member once. A group is
+    dealt to parts bounded by rows and by characters, and parts meet in pairs;
+    parts of the group's largest component do not meet each other. A task
+    compares signatures, checks pairs that agree enough on the whole texts,
+    best first, and skips those that its earlier links have joined: no more
+    links leave a task than it takes to join its members.
     """
     least = similarity * K - SLACK * float(np.sqrt(K * similarity * (1 - similarity)))
-    sizes = members.groupBy("bk", "main").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
-    dealt = members.join(sizes, ["bk", "main"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))) \
-        .join(sigs, "id").select("bk", F.col("main").cast("int").alias("main"), "part", "id", "comp", "sig")
+    sizes = members.groupBy("grp", "main").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum(F.length("t")) / PART_CHARS)).alias("parts"))
+    dealt = members.join(sizes, ["grp", "main"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
     def pack(t: pa.Table) -> pa.Table:
-        return pa.table({"bk": t.column("bk")[:1], "main": t.column("main")[:1], "part": t.column("part")[:1],
+        texts = [x.encode() for x in t.column("t").to_pylist()]
+        return pa.table({"grp": t.column("grp")[:1], "main": t.column("main")[:1], "part": t.column("part")[:1],
                          "ids": [t.column("id").to_numpy().tobytes()], "comps": [t.column("comp").to_numpy().tobytes()],
-                         "sigs": [b"".join(t.column("sig").to_pylist())]})
-
-    shape = "bk long, main int, part long, ids binary, comps binary, sigs binary"
-    packs = landed(dealt.groupBy("bk", "main", "part").applyInArrow(pack, shape), "dup-packs")
-    other = packs.toDF("bk", "main2", "part2", "ids2", "comps2", "sigs2")
-    met = packs.join(other, "bk").where(
+                         "sigs": [b"".join(t.column("sig").to_pylist())], "ends": [np.cumsum([len(x) for x in texts],
+                                                                                   dtype=np.int64).tobytes()],
+                         "texts": [b"".join(texts)]})
+
+    shape = "grp long, main int, part long, ids binary, comps binary, sigs binary, ends binary, texts binary"
+    packs = landed(dealt.select("grp", "main", "part", "id", "comp", "sig", "t").groupBy("grp", "main", "part")
+                   .applyInArrow(pack, shape), "dup-packs", "snappy")
+    other = packs.toDF("grp", "main2", "part2", "ids2", "comps2", "sigs2", "ends2", "texts2")
+    met = packs.join(other, "grp").where(
         (F.struct("main", "part") <= F.struct("main2", "part2")) & (F.col("main") + F.col("main2") < 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
         for batch in batches:
             for cells in zip(*batch.columns, strict=True):
-                i1, c1, s1, i2, c2, s2 = (c.as_py() for c in cells)
-                i1, c1, i2, c2 = (np.frombuffer(x, np.int64) for x in (i1, c1, i2, c2))
-                s1, s2 = (np.frombuffer(x, np.uint16).reshape(-1, K) for x in (s1, s2))
+                same, *cells = (c.as_py() for c in cells)
+                sides = cells[:5], cells[5:]
+                if same:
+                    sides = sides[:1]
+                ids, root = (np.concatenate([np.frombuffer(s[k], np.int64) for s in sides]) for k in (0, 1))
+                sigs = np.frombuffer(b"".join(s[2] for s in sides), np.uint16).reshape(-1, K)
+                texts = [s[4][x:y] for s in sides for x, y in zip(
+                    [0, *np.frombuffer(s[3], np.int64)[:-1]], np.frombuffer(s[3], np.int64), strict=True)]
+                sets: dict[int, tuple] = {}
+
+                def weighted(i: int, texts: list = texts, sets: dict = sets) -> tuple:
+                    if i not in sets:
+                        sets[i] = _set_of(texts[i].decode(), known)
+                    return sets[i]
+
+                n = len(np.frombuffer(sides[0][0], np.int64))
                 left, right = [], []
-                for row in range(len(i1)):
-                    others = np.flatnonzero((c2 != c1[row]) & (i2 != i1[row]))
-                    if len(others):
-                        close = others[(s2[others] == s1[row]).sum(axis=1) >= least]
-                        left.append(np.full(len(close), i1[row]))
-                        right.append(i2[close])
-                a = np.concatenate(left) if left else np.zeros(0, np.int64)
-                b = np.concatenate(right) if right else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
+                for i in range(n):
+                    js = np.arange(i + 1 if same else n, len(ids))
+                    js = js[root[js] != root[i]]
+                    agree = (sigs[js] == sigs[i]).sum(axis=1)
+                    close = js[agree >= least][np.argsort(-agree[agree >= least], kind="stable")]
+                    for j in close.tolist():
+                        if root[i] == root[j]:
+                            continue
+                        both, total = _shared(weighted(i), weighted(j), weights)
+                        if both >= similarity * total:
+                            left.append(int(ids[i]))
+                            right.append(int(ids[j]))
+                            low, high = sorted((int(root[i]), int(root[j])))
+                            root[root == high] = low
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())],
                                                  names=["a", "b"])
 
-    return met.select("ids", "comps", "sigs", "ids2", "comps2", "sigs2").mapInArrow(run, "a long, b long").distinct()
+    same = (F.col("main") == F.col("main2")) & (F.col("part") == F.col("part2"))
+    return met.select(same.alias("same"), "ids", "comps", "sigs", "ends", "texts", "ids2", "comps2", "sigs2", "ends2",
+                      "texts2").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
@@ -291,18 +326,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     links = landed(checked(stars, texts, similarity, weights), "dup-links")
     named = components(links)
 
-    # buckets whose members still belong to several components
-    comp = F.coalesce("component", "id")
-    seen = members.join(named, "id", "left").select("bk", "id", "lead", comp.alias("comp"))
-    split = seen.groupBy("bk").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
-                                   F.min(F.when(F.col("id") == F.col("lead"), F.col("comp"))).alias("first")) \
-        .where("x <> y").select("bk", "first")
-    rest = landed(seen.join(split, "bk").select("bk", "id", "comp", (F.col("comp") == F.col("first")).alias("main")),
-                  "dup-rest")
+    # candidate groups (texts joined by shared buckets) that still hold several components
+    groups = components(stars).select("id", F.col("component").alias("grp"))
+    seen = landed(groups.join(named, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("comp")),
+                  "dup-groups")
+    largest = seen.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("grp").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("comps")) \
+        .where("comps > 1").select("grp", "top")
+    rest = seen.join(largest, "grp").select("grp", (F.col("comp") == F.col("top")).cast("int").alias("main"), "id",
+                                            "comp")
+    rest = landed(rest.join(reps, "id").join(texts, "id"), "dup-rest", "snappy")
     if not rest.isEmpty():
-        tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = _agreeing(rest, reps, similarity).join(tried, ["a", "b"], "left_anti")
-        links = links.unionByName(landed(checked(more, texts, similarity, weights), "dup-links"))
+        links = links.unionByName(landed(compared(rest, similarity, weights), "dup-links"))
         named = components(links)
 
     group = classes.join(named, "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
