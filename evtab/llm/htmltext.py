@@ -26,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evtab.llm.util import landed
+
 #: Tokens (block marks included) of a long substring, distinct pages that must
 #: hold it, and the covered share from which a container is boilerplate.
 LONG, PAGES, COVERED = 6, 3, 0.9
 #: Pages and characters of one suffix array; a larger host has several.
 PART_PAGES, PART_CHARS = 512, 6_000_000
+#: Hosts with several parts that are sent to every task (two short columns); more are joined.
+LARGE_HOSTS = 50_000
 
 #: Elements without text of the page, elements that are not part
 #: of an article, containers, elements that end a block, void elements.
@@ -259,10 +263,14 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                         F.col(source).alias("html"), host_of(F.col(url)).alias("host"))
-    sizes = rows.groupBy("host").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / PART_PAGES), F.ceil(F.sum(F.length("html")) / PART_CHARS), F.lit(1)).alias("parts"))
-    part = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.col("parts"))
-    dealt = rows.join(sizes, "host").withColumn("part", part)
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_PAGES), F.ceil(F.sum(F.length("html")) / PART_CHARS), F.lit(1))
+    large = rows.groupBy("host").agg(parts.alias("parts")).where("parts > 1")
+    large = landed(large, "html-hosts")              # hosts of more than one part: few against their pages
+    few = large.count() <= LARGE_HOSTS
+    dealt = rows.join(F.broadcast(large) if few else large, "host", "left").withColumn(
+        "part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))))
+    if not few:
+        dealt = dealt.repartition("host", "part")    # else a host's parts would stay in the join's partition
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("page_id", "ascending"), ("url", "ascending")])
