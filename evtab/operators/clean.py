@@ -63,18 +63,18 @@ def dedup_golden(df: DataFrame, key: Sequence[str] = EVENT_KEY, order: str = "ro
     for k in key:
         has_null = has_null | F.col(k).isNull()
     nulls = df.filter(has_null)
-    rest = [c for c in df.columns if c not in key]
-    packed = F.struct(golden_priority().alias("p"), F.col(order).alias("o"),
-                      F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    best = (df.filter(~has_null).groupBy(*key)
-            .agg(F.min(packed).alias("b"), F.count(F.lit(1)).alias("_n")))
-    check = F.col("b.p")
+    # choose by fixed-width values in a hash aggregate; whole rows are fetched by them afterwards
+    place = [F.col(c) for c in ("file_priority",) if c in df.columns and order == "row_pos"] + [F.col(order)]
+    chosen = F.struct(golden_priority().alias("p"), *[o.alias(f"o{i}") for i, o in enumerate(place)])
+    ranked = df.filter(~has_null).withColumn("_at", chosen)
+    best = ranked.groupBy(*key).agg(
+        *[F.min(F.col("_at.p")).alias("_p"), F.min("_at").alias("_best"), F.count(F.lit(1)).alias("_n")])
     if on_missing == "error":
-        check = F.when((F.col("_n") > 1) & (F.col("b.p") == 2),
+        check = F.when((F.col("_n") > 1) & (F.col("_p") == 2),
                        F.raise_error(F.concat(F.lit("duplicate event without a golden row: "),
                                               F.concat_ws("|", *[F.col(k) for k in key]))))
         best = best.filter(check.isNull())
-    kept = best.select(*key, *[F.col("b.row").getField(c).alias(c) for c in rest]).select(df.columns)
+    kept = ranked.join(best.select(*key, "_best"), key).filter(F.col("_at") == F.col("_best")).select(df.columns)
     return kept.unionByName(nulls)
 
 

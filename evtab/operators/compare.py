@@ -15,11 +15,24 @@ EVENT_KEY = ["docid", "eventid"]
 
 
 def attach_predictions(df: DataFrame, preds: DataFrame, keys: Sequence[str] = EVENT_KEY,
-                       cols: Sequence[str] = ("pred", "prob")) -> DataFrame:
+                       cols: Sequence[str] = ("pred", "prob"), on_duplicate: str = "error") -> DataFrame:
     """Each row gets its prediction by event key (the reference copies by
-    position after asserting the keys line up; a key join needs no order)."""
+    position after asserting the keys line up; a key join needs no order).
+
+    No row is ever multiplied: two predictions for one key fail the job
+    (``on_duplicate='error'``), or the smallest is taken (``'first'``)."""
+    if on_duplicate not in ("error", "first"):
+        raise ValueError("on_duplicate must be 'error' or 'first'")
     keys = list(keys)
     p = preds.select(*keys, *[c for c in cols if c in preds.columns])
+    have = [c for c in p.columns if c not in keys]
+    if have:
+        p = p.groupBy(*keys).agg(F.min(F.struct(*have)).alias("_p"), F.count(F.lit(1)).alias("_n"))
+        one = F.col("_n") == 1
+        if on_duplicate == "error":
+            one = F.when(~one, F.raise_error(F.concat(F.lit("two predictions for key "), F.concat_ws(
+                "|", *[F.col(k).cast("string") for k in keys])))).otherwise(F.lit(True))
+        p = (p.filter(one) if on_duplicate == "error" else p).select(*keys, *[F.col(f"_p.{c}").alias(c) for c in have])
     for c in cols:
         if c not in p.columns:
             p = p.withColumn(c, F.lit(None).cast("double"))
@@ -67,7 +80,7 @@ def attach_matrix(main: DataFrame, matrix: DataFrame, keys: Sequence[str] = EVEN
     return main.join(matrix, list(keys), "left")
 
 
-def review_sheets(df: DataFrame, preds: DataFrame, n: int, seed: int = 42, key: str = "eventid",
+def review_sheets(df: DataFrame, preds: DataFrame, n: int, seed: int = 42, key=("docid", "eventid"),
                   by: Sequence[str] = ("lang", "split"), on_short: str = "error"):
     """(all rows with predictions, sample with predictions, blind sample)."""
     with_preds = attach_predictions(df, preds).withColumn("annotation", F.lit(""))

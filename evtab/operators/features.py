@@ -18,7 +18,7 @@ adds no cell (nor its POS cell); a POS tag never seen in training adds none.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,17 +27,13 @@ from pyspark.sql import functions as F
 from evtab.functions.text import ws_tokens
 
 
-def sorted_index(df: DataFrame, order: list[str], out: str = "idx", max_rows: int | None = None) -> DataFrame:
+def sorted_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     """Exact 0-based position of every row in ``order``.
 
-    ``max_rows`` set (the caller proves the table is that small, e.g. a
-    vocabulary capped by ``max_features``): one ``row_number`` window.
-    Otherwise no single-partition step: a range-partitioned sort numbered
-    inside each partition, materialised once with ``checkpoint()`` (so the
-    count pass and the numbering pass see the same partitions), then running
-    offsets from the per-partition counts (one row per partition)."""
-    if max_rows is not None:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    No single-partition step: a range-partitioned sort numbered inside each
+    partition, materialised once with ``checkpoint()`` (so the count pass and
+    the numbering pass see the same partitions), then running offsets from the
+    per-partition counts (one row per partition)."""
     from pyspark import TaskContext
     from pyspark.sql.types import LongType, StructField, StructType
 
@@ -80,26 +76,22 @@ def ngrams(tokens: Column, n_max: int) -> Column:
     return out
 
 
-def prepare_rows(df: DataFrame, tagger: Callable[[Column], Column], row: str = "eventid",
+def prepare_rows(df: DataFrame, tagger: Callable[[Column], Column], row=("docid", "eventid"),
                  keep: tuple[str, ...] = ("split", "label", "label_confidence")) -> DataFrame:
     """(row, keep..., words, tags, verb_idx): lowercased sentence tokens, the
-    lowercased POS tag of every token, and the token index of the verb."""
+    lowercased POS tag of every token, and the token index of the verb.
+
+    ``row`` identifies an event: a column, or several as a struct (event ids
+    repeat between documents; the default is the event key)."""
+    key = F.col(row) if isinstance(row, str) else F.struct(*row)
     keep = [c for c in keep if c in df.columns]
     sent = F.concat_ws(" ", F.coalesce(F.col("before"), F.lit("")), F.coalesce(F.col("verb"), F.lit("")),
                        F.coalesce(F.col("after"), F.lit("")))
-    return df.select(F.col(row).alias("row"), *keep, ws_tokens(F.lower(sent)).alias("words"),
+    return df.select(key.alias("row"), *keep, ws_tokens(F.lower(sent)).alias("words"),
                      F.transform(ws_tokens(sent), lambda t: F.lower(tagger(t))).alias("tags"),
                      F.size(ws_tokens(F.coalesce(F.col("before"), F.lit("")))).alias("verb_idx"))
 
 
-BROADCAST_MAX_ROWS = 2_000_000   # a vocabulary up to this many rows is shipped whole to tasks
-
-
-def _small(df: DataFrame, n_rows: int | None) -> DataFrame:
-    """Broadcast hint only behind a size check; larger tables take a shuffle join."""
-    return F.broadcast(df) if n_rows is not None and n_rows <= BROADCAST_MAX_ROWS else df
-
-
 def occurrences(rows: DataFrame, n_max: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per term occurrence: (row, carry..., verb_idx, p, term, tag, uni).
 
@@ -134,11 +126,7 @@ def fit_vocab(tf: DataFrame, n_rows: Column | int, max_features: int | None = No
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_features is not None:
         stats = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-        bound = max_features
-    else:
-        n_terms = stats.count()
-        bound = n_terms if n_terms <= BROADCAST_MAX_ROWS else None
-    voc = sorted_index(stats, ["term"], "idx", max_rows=bound)
+    voc = sorted_index(stats, ["term"], "idx")
     n = F.lit(n_rows) if isinstance(n_rows, int) else n_rows
     return voc.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 
@@ -161,6 +149,12 @@ class FittedFeatures:
     right: int
     include_bow: bool
     ngram_max: int
+    held: list = field(default_factory=list)   # tables persisted by fit_transform
+
+    def release(self) -> None:
+        """Free what ``fit_transform`` persisted, once its results are written."""
+        while self.held:
+            self.held.pop().unpersist()
 
     @property
     def block_offsets(self) -> dict[str, int]:
@@ -191,9 +185,9 @@ class PositionalFeatures:
     """fit / transform / fit_transform over prepared rows (see ``prepare_rows``).
 
     ``fit_transform`` shares one occurrence table between the fit and the
-    transform: rows are shuffled once, vocabularies (bounded by
-    ``max_features`` or size-checked) are broadcast, and per-row tf, norms
-    and cells stay inside their partitions."""
+    transform: rows are shuffled once, and per-row tf and norms stay inside
+    their partitions. Vocabulary joins carry no hint: the engine broadcasts a
+    vocabulary whose measured bytes are small and shuffles otherwise."""
 
     def __init__(self, left: int = 2, right: int = 2, include_bow: bool = False,
                  max_features: int | None = 3000, ngram_range: tuple[int, int] = (1, 1)):
@@ -206,16 +200,13 @@ class PositionalFeatures:
         return occurrences(rows, self.ngram_max, carry)
 
     def _fit_occ(self, occ: DataFrame, n_rows: int) -> FittedFeatures:
-        vocab = fit_vocab(term_counts(occ), n_rows, self.max_features).cache()
-        pos_vocab = fit_vocab(term_counts(occ, pos=True), n_rows, None).cache()
+        vocab = fit_vocab(term_counts(occ), n_rows, self.max_features)     # checkpointed by its index
+        pos_vocab = fit_vocab(term_counts(occ, pos=True), n_rows, None)
         n_vocab, n_pos = vocab.count(), pos_vocab.count()
         part = FittedFeatures(vocab, pos_vocab, None, n_vocab, n_pos, self.left, self.right,
                               self.include_bow, self.ngram_max)
         cells = self.raw_cells(occ, part)
-        span = self.left + self.right + 1
-        n_cols = 2 * n_vocab + span * (n_vocab + n_pos)     # bound on distinct columns
-        part.kept = sorted_index(cells.filter(F.col("value") != 0).select("col").distinct(), ["col"], "fidx",
-                                 max_rows=n_cols).cache()
+        part.kept = sorted_index(cells.filter(F.col("value") != 0).select("col").distinct(), ["col"], "fidx")
         return part
 
     def scored(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
@@ -227,12 +218,12 @@ class PositionalFeatures:
         o = occ.withColumn("tf", F.count(F.lit(1)).over(by_term)) \
                .withColumn("ptf", F.count("tag").over(by_tag))
         pv = fitted.pos_vocab.select(F.col("term").alias("tag"), F.col("idx").alias("pidx"), F.col("idf").alias("pidf"))
-        o = o.join(_small(pv, fitted.n_pos), "tag", "left")
+        o = o.join(pv, "tag", "left")
         pw = F.col("ptf") * F.col("pidf")
         # sum over occurrences of ptf * pidf^2 = sum over distinct tags of (ptf * pidf)^2
         o = o.withColumn("pval", pw / F.sqrt(F.sum(F.when(F.col("uni"), pw * F.col("pidf"))).over(by_row)))
         tv = fitted.vocab.select("term", F.col("idx").alias("widx"), "idf")
-        o = o.join(_small(tv, fitted.n_vocab), "term")
+        o = o.join(tv, "term")
         tw = F.col("tf") * F.col("idf")
         return o.withColumn("wval", tw / F.sqrt(F.sum(tw * F.col("idf")).over(by_row)))
 
@@ -264,10 +255,8 @@ class PositionalFeatures:
         return s.groupBy("row", "term").agg(F.first("widx").alias("idx"), F.first("wval").alias("value"))
 
     def final_cells(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
-        span = self.left + self.right + 1
-        bound = 2 * fitted.n_vocab + span * (fitted.n_vocab + fitted.n_pos)
         cells = self.raw_cells(occ, fitted)
-        return cells.join(_small(fitted.kept, bound), "col").select("row", F.col("fidx").alias("col"), "value")
+        return cells.join(fitted.kept, "col").select("row", F.col("fidx").alias("col"), "value")
 
     def fit(self, train_rows: DataFrame) -> FittedFeatures:
         return self._fit_occ(self.occurrences(train_rows), train_rows.count())
@@ -277,24 +266,25 @@ class PositionalFeatures:
 
     def fit_transform(self, rows: DataFrame, is_train: Column) -> tuple[FittedFeatures, DataFrame, DataFrame]:
         """Fit on the rows where ``is_train`` holds, transform all rows.
-        Returns (fitted, cells, occurrences). Prepared rows, occurrences and
-        unpruned cells are persisted once and shared by fit and transform."""
+        Returns (fitted, cells, occurrences). Occurrences and unpruned cells are
+        persisted once and shared by fit and transform; ``fitted.release()``
+        frees them."""
         from pyspark import StorageLevel
         keep = StorageLevel.MEMORY_AND_DISK
-        r = rows.withColumn("_train", is_train).persist(keep)
+        r = rows.withColumn("_train", is_train)
         n_train = r.filter(F.col("_train")).count()
         occ = self.occurrences(r, carry=("_train",)).persist(keep)
         train_occ = occ.filter(F.col("_train"))
-        vocab = fit_vocab(term_counts(train_occ), n_train, self.max_features).cache()
-        pos_vocab = fit_vocab(term_counts(train_occ, pos=True), n_train, None).cache()
+        vocab = fit_vocab(term_counts(train_occ), n_train, self.max_features)
+        pos_vocab = fit_vocab(term_counts(train_occ, pos=True), n_train, None)
         fitted = FittedFeatures(vocab, pos_vocab, None, vocab.count(), pos_vocab.count(), self.left, self.right,
                                 self.include_bow, self.ngram_max)
+        fitted.held = [occ]
         raw = self.raw_cells(occ, fitted, carry=("_train",)).persist(keep)
-        span = self.left + self.right + 1
-        bound = 2 * fitted.n_vocab + span * (fitted.n_vocab + fitted.n_pos)
+        fitted.held.append(raw)
         kept_cols = raw.filter(F.col("_train") & (F.col("value") != 0)).select("col").distinct()
-        fitted.kept = sorted_index(kept_cols, ["col"], "fidx", max_rows=bound).cache()
-        cells = raw.join(_small(fitted.kept, bound), "col").select("row", F.col("fidx").alias("col"), "value")
+        fitted.kept = sorted_index(kept_cols, ["col"], "fidx")
+        cells = raw.join(fitted.kept, "col").select("row", F.col("fidx").alias("col"), "value")
         return fitted, cells, occ
 
 
@@ -310,7 +300,7 @@ def class_weights(rows: DataFrame, label: str = "label", sample_weight: str | No
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     every = Window.partitionBy()   # one row per class: a tiny, bounded window
     cw = counts.select(label, (F.sum("_c").over(every) / (F.count(F.lit(1)).over(every) * F.col("_c"))).alias("__cw"))
-    out_df = rows.join(cw, label)
+    out_df = rows.join(F.broadcast(cw), label)   # one row per class
     w = F.col("__cw") * F.col(sample_weight) if sample_weight else F.col("__cw")
     return out_df.withColumn(out, w).drop("__cw")
 

@@ -19,9 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def key_text(key) -> Column:
+    """A key as text: a column (name), or several joined by a slash (null: empty)."""
+    if isinstance(key, (list, tuple)):
+        return F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    return (F.col(key) if isinstance(key, str) else key).cast("string")
+
+
 def seeded_hash(key, seed: int = 42) -> Column:
-    key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), key_text(key)))
 
 
 def hash_rank(df: DataFrame, key, seed: int = 42, partition_cols: Sequence[str] = (),
@@ -29,8 +35,7 @@ def hash_rank(df: DataFrame, key, seed: int = 42, partition_cols: Sequence[str]
     """Adds ``out`` = 1-based rank of each row in md5(seed:key) order (ties by
     key) within ``partition_cols``; ``size_col`` gets the group size."""
     pc = list(partition_cols)
-    key_col = F.col(key) if isinstance(key, str) else key
-    d = df.withColumn("_h", seeded_hash(key_col, seed)).withColumn("_k", key_col.cast("string")) \
+    d = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_k", key_text(key)) \
         .withColumn("_b", F.substring("_h", 1, bucket_chars))
     counts = d.groupBy(*pc, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     run = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -45,13 +50,13 @@ def hash_rank(df: DataFrame, key, seed: int = 42, partition_cols: Sequence[str]
     return ranked.drop("_h", "_k", "_b", "_w", "_before", "_grpn")
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, out: str = "shuffle_pos") -> DataFrame:
+def seeded_shuffle(df: DataFrame, key, seed: int = 42, out: str = "shuffle_pos") -> DataFrame:
     """Reproducible shuffled order: ``out`` numbers the rows; sort by it when an
     ordered output is needed (a range-partitioned, distributed sort)."""
     return hash_rank(df, key, seed, out=out)
 
 
-def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42,
+def seeded_sample(df: DataFrame, n: int, key, seed: int = 42,
                   by: Sequence[str] = ("lang", "split"), on_short: str = "error") -> DataFrame:
     """Exactly ``n`` rows per group, without replacement. A group with fewer
     rows fails the job (``on_short='error'``, as the reference) or is kept

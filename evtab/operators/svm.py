@@ -1,4 +1,4 @@
-"""Linear SVM with squared hinge loss (l1 or l2 penalty), trained by FISTA.
+"""Linear SVM with squared hinge loss (l1 or l2 penalty), trained by limited-memory BFGS.
 
 Objective (liblinear's primal, bias as a penalised constant feature):
     R(w) + sum_i c_i * max(0, 1 - y_i (w . x_i + b))^2
@@ -6,15 +6,13 @@ with R = ||w||_1 (l1) or ||w||^2 / 2 (l2), y in {-1, 1} and
 c_i = C * class_weight(y_i) * sample_weight_i.
 
 Spark ML's ``LinearSVC`` minimises plain hinge loss with an l2 penalty only,
-so it cannot reproduce this model. Here the training rows are grouped once
-into per-row sparse records and checkpointed (lineage cut, survives executor
-loss). A problem that fits one task (a row count checked against
-``ROWS_PER_TASK``) is solved inside that task with the same numpy code.
-Otherwise each FISTA step is one Spark job: every task computes its rows'
-margins and a partial gradient in numpy; with few partitions the dense
-partials go straight to the driver (partitions x features numbers, capped),
-otherwise sparse partials are summed by a ``groupBy(col)`` and only the
-gradient (one number per feature) reaches the driver.
+so it cannot reproduce this model. The training rows are grouped once into
+per-row sparse records and checkpointed (lineage cut, survives executor loss).
+Every evaluation is one Spark job: tasks compute their rows' margins and a
+partial gradient, the partials are summed by an aggregate on the feature, and
+the gradient (one number per feature) reaches the driver, which keeps the
+weights and the last few steps. The l1 penalty uses orthant-wise steps
+(pseudo-gradient, no step crosses zero).
 """
 
 from __future__ import annotations
@@ -29,8 +27,6 @@ from pyspark.sql import functions as F
 from evtab.operators.features import class_weights
 from evtab.session import checkpoint_dir
 
-ROWS_PER_TASK = 200_000
-
 
 @dataclass
 class LinearModel:
@@ -59,37 +55,6 @@ def training_records(cells: DataFrame, rows: DataFrame, C: float = 1.0, balanced
     return j.select("row", "y", "c", cv["col"].alias("cols"), cv["value"].alias("vals"))
 
 
-DIRECT_MAX_PARTS = 64   # up to this many partitions, tasks return dense partial sums directly
-
-
-def _sum_partials(recs: DataFrame, fn, size: int) -> np.ndarray:
-    """Sum of per-partition vectors ``fn(batches) -> np.ndarray(size)``.
-
-    Few partitions: each task returns its dense partial vector and the
-    driver adds them (at most DIRECT_MAX_PARTS x size numbers). More
-    partitions: sparse (index, value) partials are summed by a shuffle
-    aggregate and only the summed vector (size numbers) is collected."""
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
-    if recs.rdd.getNumPartitions() <= DIRECT_MAX_PARTS:
-        def dense(batches):
-            yield pd.DataFrame({"v": [fn(batches).tolist()]})
-        out = np.zeros(size)
-        for r in recs.mapInPandas(dense, StructType([StructField("v", ArrayType(DoubleType()))])).collect():
-            out += np.asarray(r["v"])
-        return out
-
-    def sparse(batches):
-        v = fn(batches)
-        nz = np.nonzero(v)[0]
-        yield pd.DataFrame({"col": nz.astype("int64"), "g": v[nz]})
-    parts = recs.mapInPandas(sparse, StructType([StructField("col", LongType()), StructField("g", DoubleType())])) \
-        .groupBy("col").agg(F.sum("g").alias("g"))
-    out = np.zeros(size)
-    for r in parts.collect():          # at most ``size`` rows
-        out[r["col"]] = r["g"]
-    return out
-
-
 def _csr(pdf: pd.DataFrame):
     lens = pdf["cols"].map(len).to_numpy()
     if lens.sum():
@@ -100,176 +65,134 @@ def _csr(pdf: pd.DataFrame):
     return np.repeat(np.arange(len(pdf)), lens), cols, vals
 
 
-def _partials(recs: DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, float, float]:
-    """Gradient of the loss part at (w, b) (features, then bias) and the loss."""
+def gradient_parts(recs: DataFrame, w: np.ndarray, b: float) -> DataFrame:
+    """(col, g): gradient of the loss part at (w, b), summed over all records.
+
+    Column ``len(w)`` is the bias, ``len(w) + 1`` the loss itself. Partial sums
+    of a task are sparse and meet in an aggregate."""
     n = len(w)
+    shared = recs.sparkSession.sparkContext.broadcast(np.append(w, b))
 
     def grad(batches):
-        g = np.zeros(n + 2)             # features, bias, loss
+        v = shared.value
+        g = np.zeros(n + 2)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             rid, cols, vals = _csr(pdf)
-            z = np.bincount(rid, weights=vals * w[cols], minlength=len(pdf)) + b
+            z = np.bincount(rid, weights=vals * v[cols], minlength=len(pdf)) + v[n]
             y = pdf["y"].to_numpy()
             c = pdf["c"].to_numpy()
             h = np.maximum(0.0, 1.0 - y * z)
             coef = -2.0 * c * h * y
-            g[:n] += np.bincount(cols, weights=coef[rid] * vals, minlength=n)
+            if len(cols):
+                g[:n] += np.bincount(cols, weights=coef[rid] * vals, minlength=n)
             g[n] += coef.sum()
             g[n + 1] += np.sum(c * h * h)
-        return g
-
-    g = _sum_partials(recs, grad, n + 2)
-    return g[:n], float(g[n]), float(g[n + 1])
-
-
-def _hess_vec(recs: DataFrame, v: np.ndarray) -> np.ndarray:
-    """A^T C A v for the bias-augmented design A (one Spark job)."""
-    n = len(v) - 1
-
-    def hv(batches):
-        out = np.zeros(n + 1)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            rid, cols, vals = _csr(pdf)
-            av = np.bincount(rid, weights=vals * v[cols], minlength=len(pdf)) + v[n]
-            cav = pdf["c"].to_numpy() * av
-            out[:n] += np.bincount(cols, weights=cav[rid] * vals, minlength=n)
-            out[n] += cav.sum()
-        return out
-
-    return _sum_partials(recs, hv, n + 1)
-
-
-def lipschitz(hess_vec, n_features: int, trace: float, iters: int = 12, seed: int = 0) -> float:
-    """Step-size constant 2 * lambda_max(A^T C A) by power iteration (with a
-    10% margin), capped by the trace bound 2 * sum_i c_i (||x_i||^2 + 1)."""
-    if trace <= 0:
-        return 0.0
-    v = np.random.default_rng(seed).random(n_features + 1) + 0.1
-    lam = 0.0
-    for _ in range(iters):
-        v = v / np.linalg.norm(v)
-        hv = hess_vec(v)
-        lam = float(v @ hv)
-        if not np.any(hv):
-            break
-        v = hv
-    return min(trace, 2.0 * lam * 1.1) if lam > 0 else trace
-
+        nz = np.nonzero(g)[0]
+        yield pd.DataFrame({"col": nz.astype("int64"), "g": g[nz]})
+
+    return recs.mapInPandas(grad, "col long, g double").groupBy("col").agg(F.sum("g").alias("g"))
+
+
+def _two_loop(g: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Inverse-Hessian estimate times g from the last (step, gradient change) pairs."""
+    q, kept = g.copy(), []
+    for s, y in reversed(steps):
+        a = float(s @ q) / float(y @ s)
+        kept.append(a)
+        q -= a * y
+    if steps:
+        s, y = steps[-1]
+        q *= float(s @ y) / float(y @ y)
+    for (s, y), a in zip(steps, reversed(kept)):
+        q += s * (a - float(y @ q) / float(y @ s))
+    return q
+
+
+def minimise(evaluate, size: int, penalty: str, max_iter: int, tol: float, memory: int = 10):
+    """(x, objective, iterations, converged) of ``loss + penalty`` from zero.
+
+    ``evaluate(x)`` gives the loss and its gradient. Stops when the
+    (pseudo-)gradient has shrunk to ``tol`` times its first norm."""
+    def full(x):
+        loss, g = evaluate(x)
+        if penalty == "l2":
+            return loss + 0.5 * float(x @ x), g + x
+        return loss + float(np.abs(x).sum()), g
 
-def fista(grad_loss, lip: float, n_features: int, penalty: str, max_iter: int, tol: float):
-    """FISTA with gradient-based adaptive restart. ``grad_loss(x)`` returns
-    (gradient of the loss part, loss) at x = (w, b). Returns (x, iters, converged)."""
-    step = 1.0 / lip
-    x = np.zeros(n_features + 1)       # last entry: bias
-    yk = x.copy()
-    t = 1.0
-    converged, it = False, 0
-    for it in range(1, max_iter + 1):
-        grad, _ = grad_loss(yk)
+    def downhill(x, g):
+        """Gradient; with l1 the subgradient of smallest norm."""
         if penalty == "l2":
-            x_new = yk - step * (grad + yk)
+            return g
+        side = np.where(x != 0, g + np.sign(x), 0.0)
+        zero = x == 0
+        return side + np.where(zero & (g > 1), g - 1, 0.0) + np.where(zero & (g < -1), g + 1, 0.0)
+
+    x = np.zeros(size)
+    value, g = full(x)
+    pg = downhill(x, g)
+    first = float(np.linalg.norm(pg))
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    if first == 0.0:
+        return x, value, 0, True
+    for it in range(1, max_iter + 1):
+        d = -_two_loop(pg, steps)
+        if penalty == "l1":
+            d = np.where(d * pg < 0, d, 0.0)
+        slope = float(d @ pg)
+        if slope >= 0:
+            steps, d, slope = [], -pg, -float(pg @ pg)
+        orthant = np.where(x != 0, np.sign(x), -np.sign(pg))
+        t = 1.0 if steps else 1.0 / max(1.0, float(np.linalg.norm(pg)))
+        for _ in range(40):
+            new = x + t * d
+            if penalty == "l1":
+                new = np.where(np.sign(new) * orthant > 0, new, 0.0)
+            new_value, new_g = full(new)
+            if new_value <= value + 1e-4 * float(pg @ (new - x)):
+                break
+            t *= 0.5
         else:
-            u = yk - step * grad
-            x_new = np.sign(u) * np.maximum(np.abs(u) - step, 0.0)
-        if (yk - x_new) @ (x_new - x) > 0:     # momentum points uphill: restart
-            t = 1.0
-        t_new = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
-        yk = x_new + ((t - 1.0) / t_new) * (x_new - x)
-        delta = np.linalg.norm(x_new - x) / max(1.0, np.linalg.norm(x))
-        x, t = x_new, t_new
-        if delta < tol:
-            converged = True
-            break
-    return x, it, converged
-
-
-def _objective(x: np.ndarray, loss: float, penalty: str) -> float:
-    reg = np.abs(x).sum() if penalty == "l1" else 0.5 * float(x @ x)
-    return float(reg + loss)
-
-
-def _local_solve(pdf: pd.DataFrame, n: int, penalty: str, max_iter: int, tol: float) -> pd.DataFrame:
-    """The whole solve on the records of one task (numpy, same math)."""
-    rid, cols, vals = _csr(pdf)
-    y = pdf["y"].to_numpy()
-    c = pdf["c"].to_numpy()
-    m = len(pdf)
-
-    def av(x):
-        return np.bincount(rid, weights=vals * x[cols], minlength=m) + x[n]
-
-    def atv(r):
-        return np.append(np.bincount(cols, weights=r[rid] * vals, minlength=n), r.sum())
-
-    def grad_loss(x):
-        h = np.maximum(0.0, 1.0 - y * av(x))
-        return atv(-2.0 * c * h * y), float(np.sum(c * h * h))
-
-    trace = 2.0 * float(np.sum(c * (np.bincount(rid, weights=vals * vals, minlength=m) + 1.0)))
-    lip = lipschitz(lambda v: atv(c * av(v)), n, trace) + (1.0 if penalty == "l2" else 0.0)
-    if lip <= 0:
-        x, it, conv = np.zeros(n + 1), 0, True
-    else:
-        x, it, conv = fista(grad_loss, lip, n, penalty, max_iter, tol)
-    obj = _objective(x, grad_loss(x)[1], penalty)
-    return pd.DataFrame({"w": [x.tolist()], "objective": [obj], "iterations": [it], "converged": [conv]})
+            return x, value, it, float(np.linalg.norm(pg)) <= 10 * tol * first
+        s, y = new - x, new_g - g
+        if float(s @ y) > 1e-12 * float(y @ y):
+            steps = [*steps[-(memory - 1):], (s, y)]
+        x, value, g = new, new_value, new_g
+        pg = downhill(x, g)
+        if float(np.linalg.norm(pg)) <= tol * first:
+            return x, value, it, True
+    return x, value, max_iter, False
 
 
 def fit_linear_svc(cells: DataFrame, rows: DataFrame, n_features: int, C: float = 1.0, penalty: str = "l2",
-                   balanced: bool = True, sample_weight: str | None = None, max_iter: int = 300,
-                   tol: float = 1e-5, label: str = "label", local_max_rows: int | None = None) -> LinearModel:
-    """Squared-hinge linear SVM by FISTA. ``cells`` (row, col, value) with
+                   balanced: bool = True, sample_weight: str | None = None, max_iter: int = 1000,
+                   tol: float = 1e-4, label: str = "label", on_unconverged: str = "error") -> LinearModel:
+    """Squared-hinge linear SVM. ``cells`` (row, col, value) with
     0 <= col < n_features; ``rows`` (row, label 0/1[, sample weight]).
 
-    Up to ``local_max_rows`` training rows (default ROWS_PER_TASK, checked
-    with a count) fit in one task, which runs every step itself; beyond, each
-    step is one distributed job over the checkpointed records."""
+    One distributed path whatever the size. A fit that has not met ``tol``
+    within ``max_iter`` steps fails (``on_unconverged='error'``) or comes back
+    with ``converged`` false (``'report'``)."""
     if penalty not in ("l1", "l2"):
         raise ValueError("penalty must be 'l1' or 'l2'")
+    if on_unconverged not in ("error", "report"):
+        raise ValueError("on_unconverged must be 'error' or 'report'")
     spark = rows.sparkSession
     checkpoint_dir(spark, fallback=_local_fallback(spark))
-    recs = training_records(cells, rows, C, balanced, sample_weight, label).checkpoint(eager=True)
-    n_rows = recs.count()
-    limit = ROWS_PER_TASK if local_max_rows is None else local_max_rows
-    if n_rows <= limit:
-        from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StructField,
-                                       StructType)
-        schema = StructType([StructField("w", ArrayType(DoubleType())), StructField("objective", DoubleType()),
-                             StructField("iterations", LongType()), StructField("converged", BooleanType())])
-
-        def solve(batches):
-            parts = [p for p in batches if len(p)]
-            if parts:
-                yield _local_solve(pd.concat(parts, ignore_index=True), n_features, penalty, max_iter, tol)
-        res = recs.coalesce(1).mapInPandas(solve, schema).collect()
-        if not res:
-            return LinearModel(np.zeros(n_features), 0.0, 0.0, 0, True)
-        x = np.asarray(res[0]["w"])
-        return LinearModel(x[:-1], float(x[-1]), float(res[0]["objective"]), int(res[0]["iterations"]),
-                           bool(res[0]["converged"]))
-    # every step is one job over these records: size partitions by rows
-    # (about ROWS_PER_TASK each) so small problems do not pay per-task costs
-    want = max(1, -(-n_rows // ROWS_PER_TASK))
-    if want < recs.rdd.getNumPartitions():
-        recs = recs.coalesce(want)
-    recs = recs.cache()
-    trace = recs.agg(F.sum(F.col("c") * (F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x) + 1.0))).first()[0]
-    lip = lipschitz(lambda v: _hess_vec(recs, v), n_features, 2.0 * float(trace or 0.0))
-    lip += 1.0 if penalty == "l2" else 0.0
-    if lip <= 0:
-        return LinearModel(np.zeros(n_features), 0.0, 0.0, 0, True)
-
-    def grad_loss(x):
-        g, gb, loss = _partials(recs, x[:-1], x[-1])
-        return np.append(g, gb), loss
-    x, it, converged = fista(grad_loss, lip, n_features, penalty, max_iter, tol)
-    _, loss = grad_loss(x)
-    recs.unpersist()
-    return LinearModel(x[:-1], float(x[-1]), _objective(x, loss, penalty), it, converged)
+    recs = training_records(cells, rows, C, balanced, sample_weight, label).checkpoint(eager=True).persist()
+    try:
+        def evaluate(x):
+            g = np.zeros(n_features + 2)
+            for r in gradient_parts(recs, x[:-1], float(x[-1])).collect():     # at most one row per feature
+                g[r["col"]] = r["g"]
+            return float(g[-1]), g[:-1]
+        x, value, it, converged = minimise(evaluate, n_features + 1, penalty, max_iter, tol)
+    finally:
+        recs.unpersist()
+    if not converged and on_unconverged == "error":
+        raise RuntimeError(f"no convergence within {max_iter} steps; raise max_iter or tol")
+    return LinearModel(x[:-1], float(x[-1]), value, it, converged)
 
 
 def _local_fallback(spark):

@@ -1,15 +1,9 @@
-"""Word-vector labelling: per-verb vote, vector lookup, exact k-NN, k-NN vote.
-
-``knn_join`` is exact brute force (every query against every reference) but
-never materialises the pairs: similarities are computed block by block in
-numpy inside tasks and only a local top-k per query leaves a task.
-- references under ``broadcast_max_rows`` (size checked with a count first):
-  shipped once per executor, queries stream through ``mapInPandas`` with no
-  shuffle;
-- larger: queries and references are cut into hash blocks of at most
-  ``block_rows`` rows, each (query block, reference block) pair meets in one
-  ``cogroup`` task, and the local top-k lists are merged with a per-query
-  window limit (k x blocks rows per query).
+"""Verb votes and exact nearest neighbours over word vectors.
+
+``knn_join`` has one path: queries and references are packed into blocks of a
+bounded number of rows, the blocks of the smaller side meet every block of the
+other, each task computes one block product and keeps its k best references
+per query, and a window merges them. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -40,16 +34,25 @@ def verb_vote(df: DataFrame, verb: str = "verb", label: str = "label",
     return g.withColumn("label", lab)
 
 
+def one_vector(vectors: DataFrame, word: str, vec: str) -> DataFrame:
+    """(word, vec), one row per word. A word with two different vectors fails the job."""
+    g = vectors.groupBy(word).agg(F.min(vec).alias(vec), F.max(vec).alias("_other"))
+    same = F.when(F.col(vec).eqNullSafe(F.col("_other")), F.col(vec)).otherwise(F.raise_error(
+        F.concat(F.lit("two vectors for word: "), F.col(word).cast("string"))))
+    return g.select(word, same.alias(vec))
+
+
 def lookup_vectors(words: DataFrame, vectors: DataFrame, word: str = "verb", vec: str = "vector",
                    missing: str = "error") -> DataFrame:
     """Left join of the distinct words to ``(word, vector)``. A word without a
     vector fails the job (``'error'``, as the reference), is kept with a null
-    vector and ``found=false`` (``'report'``), or is dropped (``'drop'``)."""
+    vector and ``found=false`` (``'report'``), or is dropped (``'drop'``).
+    Words are looked up as they are written; a repeated word must repeat its
+    vector."""
     if missing not in ("error", "report", "drop"):
         raise ValueError("missing must be 'error', 'report' or 'drop'")
     w = words.select(word).distinct()
-    v = vectors.select(F.col(word), F.col(vec)).dropDuplicates([word])
-    j = w.join(v, word, "left").withColumn("found", F.col(vec).isNotNull())
+    j = w.join(one_vector(vectors.select(word, vec), word, vec), word, "left").withColumn("found", F.col(vec).isNotNull())
     if missing == "error":
         return j.withColumn(vec, F.when(F.col("found"), F.col(vec)).otherwise(
             F.raise_error(F.concat(F.lit("no vector for word: "), F.col(word).cast("string")))))
@@ -58,67 +61,50 @@ def lookup_vectors(words: DataFrame, vectors: DataFrame, word: str = "verb", vec
     return j
 
 
-def _top_k(q_words, qv, r_words, rv, k):
-    """Exact local top-k (similarity desc, neighbour asc) of a block pair."""
-    qn = qv / np.linalg.norm(qv, axis=1, keepdims=True)
-    rn = rv / np.linalg.norm(rv, axis=1, keepdims=True)
-    sims = qn @ rn.T
-    out_q, out_r, out_s = [], [], []
-    kk = min(k, sims.shape[1])
-    r_words = np.asarray(r_words, dtype=object)
-    for i in range(sims.shape[0]):
-        row = sims[i]
-        if kk < row.shape[0]:
-            thr = np.partition(row, -kk)[-kk]
-            cand = np.nonzero(row >= thr)[0]
-        else:
-            cand = np.arange(row.shape[0])
-        order = sorted(cand, key=lambda j: (-row[j], r_words[j]))[:kk]
-        out_q.extend([q_words[i]] * len(order))
-        out_r.extend(r_words[order])
-        out_s.extend(row[order])
-    return pd.DataFrame({"query": out_q, "neighbor": out_r, "similarity": np.asarray(out_s, dtype="float64")})
-
-
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, dtype="float64") for x in col]) if len(col) else np.zeros((0, 0))
+def _packed(df: DataFrame, word: str, vec: str, blocks: int) -> DataFrame:
+    """(block, words, rows): words in order and their vectors, one row per hash block."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("w", kind="stable")
+        m = np.stack([np.asarray(v, dtype="float64") for v in pdf["v"]])
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "words": [pdf["w"].tolist()], "rows": [m.tobytes()]})
+    d = df.select(F.pmod(F.xxhash64(word), F.lit(blocks)).alias("block"), F.col(word).alias("w"),
+                  F.col(vec).cast("array<double>").alias("v"))
+    return d.groupBy("block").applyInPandas(pack, "block long, words array<string>, rows binary")
+
+
+def _unit(raw: bytes, n: int) -> np.ndarray:
+    """Rows scaled to length 1; a zero row stays zero (its similarity to anything is 0)."""
+    m = np.frombuffer(raw, dtype="float64").reshape(n, -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1.0, norm)
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, word: str = "verb", vec: str = "vector",
-             block_rows: int = 2048, broadcast_max_rows: int = 50_000) -> DataFrame:
+             block_rows: int = 2048) -> DataFrame:
     """k nearest references (cosine) of every distinct query word:
-    (query, neighbor, similarity, rank); ties broken by neighbour word."""
-    q = queries.select(F.col(word).alias("q"), F.col(vec).alias("qv")).dropDuplicates(["q"])
-    r = refs.select(F.col(word).alias("r"), F.col(vec).alias("rv")).dropDuplicates(["r"])
-    n_refs = r.count()
-    spark = queries.sparkSession
-    if n_refs <= broadcast_max_rows:
-        rp = r.toPandas()
-        bc = spark.sparkContext.broadcast((list(rp["r"]), _matrix(rp["rv"])))
-
-        def score(batches):
-            r_words, rv = bc.value
-            for pdf in batches:
-                if len(pdf) == 0 or len(r_words) == 0:
-                    continue
-                for s in range(0, len(pdf), block_rows):
-                    part = pdf.iloc[s:s + block_rows]
-                    yield _top_k(list(part["q"]), _matrix(part["qv"]), r_words, rv, k)
-        cand = q.mapInPandas(score, KNN_SCHEMA)
+    (query, neighbor, similarity, rank); ties broken by neighbour word. A zero
+    vector has similarity 0 to every vector. Never fewer than k neighbours
+    where there are k references."""
+    q, r = (one_vector(d.select(word, vec), word, vec) for d in (queries, refs))
+    n_q, n_r = q.count(), r.count()
+    bq, br = (max(1, math.ceil(n / block_rows)) for n in (n_q, n_r))
+    qp = _packed(q, word, vec, bq).toDF("qb", "qw", "qv")
+    rp = _packed(r, word, vec, br).toDF("rb", "rw", "rv")
+    if n_q <= n_r:                       # the smaller side is the one that travels to every block
+        pairs = qp.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))).join(rp, "rb")
     else:
-        n_q = q.count()
-        bq = max(1, math.ceil(n_q / block_rows))
-        br = max(1, math.ceil(n_refs / block_rows))
-        qb = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(bq))) \
-              .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1))))
-        rb = r.withColumn("rb", F.pmod(F.xxhash64("r"), F.lit(br))) \
-              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-
-        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({"query": [], "neighbor": [], "similarity": []})
-            return _top_k(list(left["q"]), _matrix(left["qv"]), list(right["r"]), _matrix(right["rv"]), k)
-        cand = qb.groupBy("qb", "rb").cogroup(rb.groupBy("qb", "rb")).applyInPandas(pair, KNN_SCHEMA)
+        pairs = rp.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))).join(qp, "qb")
+
+    def score(batches):
+        for pdf in batches:
+            for qw, qv, rw, rv in zip(pdf["qw"], pdf["qv"], pdf["rw"], pdf["rv"]):
+                sims = _unit(qv, len(qw)) @ _unit(rv, len(rw)).T
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]     # references are in word order
+                names = np.asarray(rw, dtype=object)
+                yield pd.DataFrame({"query": np.repeat(np.asarray(qw, dtype=object), best.shape[1]),
+                                    "neighbor": names[best].ravel(),
+                                    "similarity": np.take_along_axis(sims, best, axis=1).ravel()})
+    cand = pairs.select("qw", "qv", "rw", "rv").mapInPandas(score, KNN_SCHEMA)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc("neighbor"))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -128,7 +114,7 @@ def knn_predict(test: DataFrame, train: DataFrame, vectors: DataFrame, k: int =
     """Test rows get the half-even rounded mean vote label of the k nearest
     training verbs; each distinct test verb is scored once and joined back."""
     votes = verb_vote(train, word)
-    vecs = vectors.select(F.lower(F.col(word)).alias("verb"), vec)
+    vecs = vectors.select(F.col(word).alias("verb"), vec)     # the table's words stay as they are
     ref = lookup_vectors(votes.select("verb"), vecs, "verb", vec, "error")
     tv = test.select(F.lower(F.col(word)).alias("verb")).distinct()
     qv = lookup_vectors(tv, vecs, "verb", vec, "error")

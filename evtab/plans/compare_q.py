@@ -10,7 +10,7 @@ from evtab.plans.corpus_q import DUCK_POS, pos_rule
 from evtab.plans.metrics_q import MODELS, matrix
 from evtab.plans.registry import register
 
-REVIEW_N = 10
+REVIEW_N = 200
 SEED = 42
 MAIN = "(SELECT * FROM samples WHERE raw_label IS NOT NULL AND split <> 'train')"
 
@@ -66,7 +66,8 @@ def q_model_matrix(spark, sf_dir):
 @register("review_sheet", fx.with_views(f"""
 SELECT lang, split, docid, eventid, verb, pred, prob, annotation FROM (
   SELECT m.lang, m.split, m.docid, m.eventid, m.verb, p.pred, p.prob, '' AS annotation,
-         row_number() OVER (PARTITION BY m.lang, m.split ORDER BY md5(concat('{SEED}:', m.eventid)), m.eventid) AS rn
+         row_number() OVER (PARTITION BY m.lang, m.split ORDER BY md5(concat('{SEED}:', m.docid, '/', m.eventid)),
+                            concat(m.docid, '/', m.eventid)) AS rn
   FROM {MAIN} m LEFT JOIN (SELECT * FROM predictions WHERE model = 'm0') p
     ON m.docid = p.docid AND m.eventid = p.eventid) x
 WHERE rn <= {REVIEW_N}""", "predictions"))

@@ -31,6 +31,12 @@ def fitted(spark, sf_dir):
     return rows, pf, fit, cells, occ
 
 
+def vocabulary(spark, sf_dir):
+    """The term vocabulary alone: no cells are built for it."""
+    train = feature_rows(spark, sf_dir).filter(F.col("split") == "train")
+    return FE.fit_vocab(FE.term_counts(FE.occurrences(train, NGRAM[1])), train.count(), MAX_FEATURES)
+
+
 def linear_weights(kept):
     return kept.select(F.col("fidx").alias("col"), (((F.col("fidx") % 7) - 3) / 10.0).alias("w"))
 
@@ -86,32 +92,30 @@ def oracle(sql: str) -> str:
 def q_term_frequency(spark, sf_dir):
     pf = FE.PositionalFeatures(LEFT, RIGHT, BOW, MAX_FEATURES, NGRAM)
     occ = pf.occurrences(feature_rows(spark, sf_dir))
-    return FE.term_counts(occ).select(F.col("row").alias("eventid"), "term", "tf")
+    return FE.term_counts(occ).select(F.col("row.eventid"), "term", "tf")
 
 
 @register("build_vocab", oracle("SELECT term, idx, df, CAST(cf AS BIGINT) AS cf FROM vocab"))
 def q_build_vocab(spark, sf_dir):
-    fit = fitted(spark, sf_dir)[2]
-    return fit.vocab.select("term", "idx", "df", F.col("cf").cast("long").alias("cf"))
+    return vocabulary(spark, sf_dir).select("term", "idx", "df", F.col("cf").cast("long").alias("cf"))
 
 
 @register("idf", oracle("SELECT term, round(idf, 6) AS idf FROM idf"))
 def q_idf(spark, sf_dir):
-    fit = fitted(spark, sf_dir)[2]
-    return fit.vocab.select("term", F.round("idf", 6).alias("idf"))
+    return vocabulary(spark, sf_dir).select("term", F.round("idf", 6).alias("idf"))
 
 
 @register("tfidf", oracle("SELECT eventid, term, round(value, 6) AS value FROM tv"))
 def q_tfidf(spark, sf_dir):
     _, pf, fit, _, occ = fitted(spark, sf_dir)
     t = pf.text_tfidf(occ, fit)
-    return t.select(F.col("row").alias("eventid"), "term", F.round("value", 6).alias("value"))
+    return t.select(F.col("row.eventid"), "term", F.round("value", 6).alias("value"))
 
 
 @register("positional_features", oracle("SELECT eventid, col, round(value, 6) AS value FROM feat"))
 def q_positional_features(spark, sf_dir):
     cells = fitted(spark, sf_dir)[3]
-    return cells.select(F.col("row").alias("eventid"), "col", F.round("value", 6).alias("value"))
+    return cells.select(F.col("row.eventid"), "col", F.round("value", 6).alias("value"))
 
 
 @register("kept_columns", oracle("SELECT col, fidx FROM kept"))
@@ -135,7 +139,7 @@ WHERE split = 'train'"""))
 def q_class_weights(spark, sf_dir):
     tr = feature_rows(spark, sf_dir).filter(F.col("split") == "train")
     w = FE.class_weights(tr, "label", "label_confidence")
-    return w.select(F.col("row").alias("eventid"), "label", F.round("weight", 6).alias("weight"))
+    return w.select(F.col("row.eventid"), "label", F.round("weight", 6).alias("weight"))
 
 
 @register("predict_linear", oracle(f"""
@@ -145,10 +149,10 @@ FROM fs f LEFT JOIN (SELECT eventid, sum(value * ((col % 7) - 3) / 10.0) AS scor
 def q_predict_linear(spark, sf_dir):
     rows, _, fit, cells, _ = fitted(spark, sf_dir)
     p = FE.predict_linear(rows.select("row", "split"), cells, linear_weights(fit.kept), BIAS)
-    return p.select(F.col("row").alias("eventid"), "split", F.round("score", 6).alias("score"), "pred")
+    return p.select(F.col("row.eventid"), "split", F.round("score", 6).alias("score"), "pred")
 
 
-SVM_C, SVM_PENALTY, SVM_ITER, SVM_TOL = 1.0, "l1", 300, 1e-4   # tol: the solver default
+SVM_C, SVM_PENALTY, SVM_ITER, SVM_TOL = 1.0, "l1", 1000, 1e-4   # the solver defaults
 
 
 @register("fit_linear_svc")
@@ -163,4 +167,4 @@ def q_fit_linear_svc(spark, sf_dir):
                            SVM_PENALTY, True, "label_confidence", SVM_ITER, SVM_TOL)
     held = rows.filter(F.col("split") != "train").select("row", "split", "label")
     p = FE.predict_linear(held, cells, model.weights_df(spark), model.bias)
-    return p.select(F.col("row").alias("eventid"), "split", "label", "pred")
+    return p.select(F.col("row.eventid"), "split", "label", "pred")

@@ -203,3 +203,14 @@ def col_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("d"), F.col("doc_id")).alias("docid"), "lang",
                     F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"),
                     text.alias("text"))
+
+
+def piece_tokenizer(piece: int = 3, max_len: int | None = None):
+    """Stub tokenizer: every word is cut into ``piece``-character pieces; one
+    special piece on either side; ``max_len`` truncates (None: never)."""
+    def tok(words: list[str]) -> list[int | None]:
+        ids: list[int | None] = []
+        for i, w in enumerate(words):
+            ids.extend([i] * max(1, -(-len(w) // piece)))
+        return [None, *(ids if max_len is None else ids[:max_len - 2]), None]
+    return tok

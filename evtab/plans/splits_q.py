@@ -10,7 +10,7 @@ from evtab.plans.cleaning import DUCK_BROKEN, DUCK_CLEAN, DUCK_DEDUP, cleaned
 from evtab.plans.registry import register
 
 SEED = 42
-SAMPLE_N = 10
+SAMPLE_N = 200
 
 TEST_DOCS = "(SELECT docid FROM samples WHERE split = 'test')"
 DEV_DOCS = "(SELECT docid FROM samples WHERE split = 'dev')"
@@ -91,21 +91,23 @@ def q_file_holdout(spark, sf_dir):
 
 
 @register("seeded_shuffle", fx.with_views(f"""
-SELECT eventid, row_number() OVER (ORDER BY md5(concat('{SEED}:', eventid)), eventid) AS shuffle_pos
+SELECT docid, eventid, row_number() OVER (ORDER BY md5(concat('{SEED}:', docid, '/', eventid)),
+                                          concat(docid, '/', eventid)) AS shuffle_pos
 FROM clean WHERE split = 'train'""", "annotations", extra=CLEAN))
 def q_seeded_shuffle(spark, sf_dir):
-    tr = cleaned(spark, sf_dir).filter(F.col("split") == "train").select("eventid")
-    return split.seeded_shuffle(tr, "eventid", SEED).select("eventid", "shuffle_pos")
+    tr = cleaned(spark, sf_dir).filter(F.col("split") == "train").select("docid", "eventid")
+    return split.seeded_shuffle(tr, ["docid", "eventid"], SEED).select("docid", "eventid", "shuffle_pos")
 
 
 @register("seeded_sample", fx.with_views(f"""
-SELECT lang, split, eventid FROM (
-  SELECT lang, split, eventid,
-         row_number() OVER (PARTITION BY lang, split ORDER BY md5(concat('{SEED}:', eventid)), eventid) AS rn
+SELECT lang, split, docid, eventid FROM (
+  SELECT lang, split, docid, eventid,
+         row_number() OVER (PARTITION BY lang, split ORDER BY md5(concat('{SEED}:', docid, '/', eventid)),
+                            concat(docid, '/', eventid)) AS rn
   FROM samples) x WHERE rn <= {SAMPLE_N}""", "samples"))
 def q_seeded_sample(spark, sf_dir):
-    s = fx.samples(spark, sf_dir).select("lang", "split", "eventid")
-    return split.seeded_sample(s, SAMPLE_N, "eventid", SEED, by=("lang", "split"), on_short="all")
+    s = fx.samples(spark, sf_dir).select("lang", "split", "docid", "eventid")
+    return split.seeded_sample(s, SAMPLE_N, ["docid", "eventid"], SEED, by=("lang", "split"), on_short="all")
 
 
 @register("class_sizes", fx.with_views("""

@@ -39,18 +39,8 @@ def prediction_table(df: DataFrame, with_prob: bool = True) -> DataFrame:
 def write_predictions(df: DataFrame, path: str, with_prob: bool = True, fmt: str = "parquet") -> None:
     t = prediction_table(df, with_prob)
     parts = [c for c in ("model", "lang", "split") if c in t.columns]
-    w = t.write.mode("overwrite").partitionBy(*parts)
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.format(fmt).save(path)
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("lang", "split")) -> None:
-    parts = [c for c in partition_by if c in df.columns]
-    w = df.write.mode("overwrite")
-    if parts:
-        w = w.partitionBy(*parts)
+    # only the partitions in ``df`` are replaced; rows are clustered so each partition is written by few tasks
+    w = t.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

@@ -68,12 +68,45 @@ def brute_knn(q, r, qw, rw, k):
     return out
 
 
-@pytest.mark.parametrize("block,bcast", [(2048, 50_000), (7, 0)])
-def test_knn_join_exact(spark, block, bcast):
+def test_attach_predictions_never_multiplies_rows(spark):
+    df = spark.createDataFrame([("d", "e1"), ("d", "e2")], "docid string, eventid string")
+    p = spark.createDataFrame([("d", "e1", 1, 0.9), ("d", "e1", 0, 0.8)], "docid string, eventid string, pred int, prob double")
+    with pytest.raises(Exception, match="two predictions"):
+        compare.attach_predictions(df, p).collect()
+    got = compare.attach_predictions(df, p, on_duplicate="first").collect()
+    assert sorted((r.eventid, r.pred) for r in got) == [("e1", 0), ("e2", None)]
+
+
+def test_knn_zero_vectors_and_repeated_words(spark):
+    t = "verb string, vector array<float>"
+    r = spark.createDataFrame([("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("b", [-1.0, 0.0])], t)
+    q = spark.createDataFrame([("q", [2.0, 0.0]), ("n", [0.0, 0.0])], t)
+    for k in (1, 2, 3):
+        got = {}
+        for row in vectors.knn_join(q, r, k).collect():
+            got.setdefault(row.query, []).append((row["rank"], row.neighbor, row.similarity))
+        assert sorted(got["q"]) == [(1, "a", 1.0), (2, "z", 0.0), (3, "b", -1.0)][:k]
+        assert sorted(got["n"]) == [(1, "a", 0.0), (2, "b", 0.0), (3, "z", 0.0)][:k]
+    twice = r.unionByName(spark.createDataFrame([("a", [0.0, 1.0])], t))
+    with pytest.raises(Exception, match="two vectors"):
+        vectors.knn_join(q, twice, 1).collect()
+
+
+def test_knn_predict_looks_words_up_as_written(spark):
+    """The lowered verb is looked up exactly: an upper-case entry of the vector table is another word."""
+    train = spark.createDataFrame([("Go", 1, 1.0), ("stay", 0, 1.0)], "verb string, label int, label_confidence double")
+    vecs = spark.createDataFrame([("Go", [0.0, 1.0]), ("go", [1.0, 0.0]), ("stay", [0.0, 1.0])],
+                                 "verb string, vector array<float>")
+    got = vectors.knn_predict(spark.createDataFrame([("GO",), ("stay",)], "verb string"), train, vecs, 1).collect()
+    assert {r.verb: r.pred for r in got} == {"GO": 1, "stay": 0}
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_knn_join_exact(spark, block):
     df, v = vec_table(spark, 40)
     q = df.filter(F.col("verb").isin([f"w{i}" for i in range(0, 40, 4)]))
     r = df.filter(~F.col("verb").isin([f"w{i}" for i in range(0, 40, 4)]))
-    nn = vectors.knn_join(q, r, 5, block_rows=block, broadcast_max_rows=bcast).collect()
+    nn = vectors.knn_join(q, r, 5, block_rows=block).collect()
     got = {}
     for row in sorted(nn, key=lambda x: (x.query, x.rank)):
         got.setdefault(row.query, []).append(row.neighbor)

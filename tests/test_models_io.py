@@ -39,10 +39,8 @@ def np_fista(X, y, c, penalty, iters=20000):
     return x[:-1], x[-1]
 
 
-@pytest.mark.parametrize("penalty,direct,local", [("l2", 64, 0), ("l1", 64, 0), ("l1", 0, 0),
-                                                  ("l2", 64, None), ("l1", 64, None)])
-def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty, direct, local, monkeypatch):
-    monkeypatch.setattr(svm, "DIRECT_MAX_PARTS", direct)   # 0: the shuffle-aggregate path
+@pytest.mark.parametrize("penalty", ["l2", "l1"])
+def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty):
     rng = np.random.default_rng(0)
     n, d = 40, 5
     X = rng.normal(size=(n, d)) * (rng.random((n, d)) < 0.6)
@@ -53,14 +51,20 @@ def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty, direct, local, mon
     rows = spark.createDataFrame([(f"r{i}", int(y01[i]), float(sw[i])) for i in range(n)],
                                  "row string, label int, sw double")
     m = svm.fit_linear_svc(cdf, rows, d, C=1.0, penalty=penalty, balanced=True, sample_weight="sw",
-                           max_iter=250, tol=1e-9, local_max_rows=local)   # 0: distributed steps
+                           max_iter=250, tol=1e-6)
+    assert m.converged
+    with pytest.raises(RuntimeError, match="convergence"):
+        svm.fit_linear_svc(cdf, rows, d, penalty=penalty, sample_weight="sw", max_iter=1, tol=1e-9)
+    part = svm.fit_linear_svc(cdf, rows, d, penalty=penalty, sample_weight="sw", max_iter=1, tol=1e-9,
+                              on_unconverged="report")
+    assert not part.converged
     y = 2 * y01 - 1
     cw = {k: n / (2 * np.sum(y01 == k)) for k in (0, 1)}
     c = np.array([cw[k] for k in y01]) * sw
     w_ref, b_ref = np_fista(X, y, c, penalty)
     f_ref = np_objective(X, y, c, w_ref, b_ref, penalty)
     f_got = np_objective(X, y, c, m.weights, m.bias, penalty)
-    assert f_got <= f_ref * (1 + 2e-3) + 1e-9
+    assert f_got <= f_ref * (1 + 1e-5) + 1e-9
     assert np.isclose(m.objective, f_got, rtol=1e-6)
     pred = (X @ m.weights + m.bias > 0).astype(int)
     assert (pred == y01).mean() > 0.7
@@ -180,4 +184,5 @@ def test_driver_contract(spark):
     assert e.count() > 0 and e.columns == ["split", "label", "n_events"]
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
-    assert set(q) - set(o) == {"score_head", "fit_linear_svc"}
+    own = {k for k in q if k != "pipeline" and not k.startswith("op")}   # without the corpus queries, if present
+    assert own - set(o) == {"score_head", "fit_linear_svc"}

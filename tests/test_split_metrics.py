@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evtab.operators.split import seeded_shuffle
 from evtab.operators import metrics, split
 
 
@@ -115,13 +116,27 @@ def test_fleiss_kappa_nulls_count_negative(spark):  # C20
     assert math.isclose(got, py_fleiss(table))
 
 
-def test_sorted_index_both_paths(spark):
+def test_sorted_index(spark):
     from evtab.operators.features import sorted_index
     df = spark.range(0, 5000, numPartitions=7).selectExpr("cast((id * 7919) % 5000 as string) AS term")
     want = sorted(str((i * 7919) % 5000) for i in range(5000))
-    for bound in (None, 5000):      # checkpointed range numbering / bounded window
-        got = sorted((r.idx, r.term) for r in sorted_index(df, ["term"], "idx", max_rows=bound).collect())
-        assert [t for _, t in got] == want and [i for i, _ in got] == list(range(5000))
+    got = sorted((r.idx, r.term) for r in sorted_index(df, ["term"], "idx").collect())
+    assert [t for _, t in got] == want and [i for i, _ in got] == list(range(5000))
+
+
+def test_seeded_rank_of_repeated_event_ids(spark):
+    """Equal event ids in two documents: the rank follows the whole key, whatever the partitioning."""
+    df = spark.createDataFrame([(f"d{i % 9}", f"e{i // 9}") for i in range(90)], "docid string, eventid string")
+    ranks = [sorted((r.shuffle_pos, r.docid, r.eventid) for r in seeded_shuffle(
+        d, ["docid", "eventid"]).collect()) for d in (df, df.repartition(7), df.orderBy("docid"))]
+    assert ranks[0] == ranks[1] == ranks[2] and [r[0] for r in ranks[0]] == list(range(1, 91))
+
+
+def test_null_predictions_are_not_lost(spark):
+    df = spark.createDataFrame([(1, 1), (0, 0), (0, None)], "label int, pred int")
+    with pytest.raises(Exception, match="without a prediction"):
+        metrics.macro_f1(df).collect()
+    assert metrics.confusion(df, nulls="drop").count() == 2
 
 
 def test_hash_rank_with_a_hot_group(spark):

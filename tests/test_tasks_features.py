@@ -2,7 +2,6 @@
 features against a plain numpy implementation (C10-C12)."""
 
 import math
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,13 +9,14 @@ from pyspark.sql import functions as F
 
 from evtab.operators import features as FE
 from evtab.operators import tasks
+from evtab.plans.fixtures import piece_tokenizer
 
 
 def test_prepare_unknown_task(spark):
     df = spark.createDataFrame([("a", "b", "c", 1, 1.0, "d", "e")],
                                "before string, verb string, after string, label int, label_confidence double, "
                                "docid string, eventid string")
-    with pytest.raises(ValueError, match="unknown"):
+    with pytest.raises(ValueError, match="no task"):
         tasks.prepare(df, "nope")
     r = tasks.prepare(df, "seq_clf_verbtok", include_brackets=True).first()
     assert r.input == ["a", "[", "b", "]", "c"] and r.target_token_id == 2
@@ -41,37 +41,36 @@ def test_group_sentences_order_and_last_label(spark):  # C16
     assert len(s.labels) == len(s.input) == len(s.sentence.split()) + 2 * n_targets
 
 
-def py_subword(words, labels, piece=3, max_len=128):
-    ids = tasks.piece_tokenizer(piece, max_len)(words)
-    lab2id = {"TGT-1": 0, "TGT-0": 1, "O": 2}
-    out, tgt, prev = [], [], None
-    for j, w in enumerate(ids):
-        if w is None:
-            out.append(-100)
-        elif w != prev:
-            out.append(lab2id.get(labels[w]))
-            if labels[w] != "O":
-                tgt.append(j)
-        else:
-            out.append(-100)
-        prev = w
-    return ids, out, tgt
-
-
-@pytest.mark.parametrize("max_len", [128, 6])
-def test_subword_labels_match_python(spark, max_len):  # C17 with the short length
+@pytest.mark.parametrize("max_len,pieces", [
+    # one character column per piece: word index, label id, whether a target starts there (worked out by hand)
+    (None, [(None, -100, 0), (0, 2, 0), (1, 2, 0), (2, 0, 1), (2, -100, 0), (2, -100, 0), (2, -100, 0), (3, 2, 0),
+            (4, 2, 0), (5, 2, 0), (6, None, 1), (7, 2, 0), (None, -100, 0)]),
+    (6, [(None, -100, 0), (0, 2, 0), (1, 2, 0), (2, 0, 1), (2, -100, 0), (None, -100, 0)]),
+])
+def test_subword_labels_by_hand(spark, max_len, pieces):  # C17 with the short length
     words = ["The", "[", "catastrophe", "]", "is", "[", "x", "]"]
     labels = ["O", "O", "TGT-1", "O", "O", "O", "TGT-X", "O"]
     df = spark.createDataFrame([(words, labels, 2, 6)], "input array<string>, labels array<string>, t int, t2 int")
-    df = tasks.with_word_ids(df, tasks.piece_tokenizer(3, max_len))
+    df = tasks.with_word_ids(df, piece_tokenizer(3, max_len))
     r = df.select("word_ids", tasks.subword_labels(F.col("word_ids"), F.col("labels")).alias("l"),
                   tasks.target_idxs(F.col("word_ids"), F.col("labels")).alias("t"),
                   tasks.first_subword(F.col("word_ids"), F.col("t")).alias("f"),
                   tasks.first_subword(F.col("word_ids"), F.col("t2")).alias("f2")).first()
-    ids, lab, tgt = py_subword(words, labels, 3, max_len)
-    assert r.word_ids == ids and r.l == lab and r.t == tgt
-    assert r.f == ids.index(2)
-    assert r.f2 == (ids.index(6) if 6 in ids else None)
+    assert r.word_ids == [p[0] for p in pieces]
+    assert r.l == [p[1] for p in pieces]
+    assert r.t == [i for i, p in enumerate(pieces) if p[2]]
+    assert r.f == 3 and r.f2 == (10 if max_len is None else None)
+
+
+def test_event_ids_travel_with_their_word(spark):
+    """The first target word has no piece; the second keeps its own id."""
+    row = (["a", "", "b"], ["TGT-1", "TGT-0", "TGT-1"], [None, 0, 2, None], [1, 2], ["E0", "E1", "E2"],
+           [[0.0, 0.0, 0.0], [2.0, 0.0, 0.0], [2.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
+    df = spark.createDataFrame([row], "input array<string>, labels array<string>, word_ids array<int>, "
+                                      "target_idxs array<int>, target_event_ids array<string>, "
+                                      "token_logits array<array<double>>")
+    got = tasks.token_predictions(df, label_ids=None).collect()
+    assert [r.eventid for r in got] == ["E0", "E2"]
 
 
 def test_token_metrics_and_predictions(spark):  # C18
@@ -82,9 +81,11 @@ def test_token_metrics_and_predictions(spark):  # C18
     # targets: (0 -> pred 2), (1 -> pred 1); classes {0,1,2}: F1 = (0 + 1 + 0) / 3
     assert math.isclose(m.macro_f1, 1 / 3)
     logits = [[0.0, 0.0, 0.0], [3.0, 1.0, 0.0], [0.0, 0.0, 5.0], [0.0, 2.0, 1.0], [0.0, 0.0, 0.0]]
-    p = spark.createDataFrame([("d", ["x"], logits, [1, 3], [-100, 0, 2, 1, 2], ["e1", "e2"])],
+    p = spark.createDataFrame([("d", ["x"], logits, [1, 3], [-100, 0, 2, 1, 2], ["e1", "e2"], [None, 0, 1, 2, 3],
+                                ["TGT-1", "O", "TGT-0", "O"])],
                               "docid string, input array<string>, token_logits array<array<double>>, "
-                              "target_idxs array<int>, label_ids array<int>, target_event_ids array<string>")
+                              "target_idxs array<int>, label_ids array<int>, target_event_ids array<string>, "
+                              "word_ids array<int>, labels array<string>")
     out = tasks.token_predictions(p).orderBy("eventid").collect()
     assert [(r.eventid, r.pred, r.label) for r in out] == [("e1", "1", "1"), ("e2", "0", "0")]
     z = np.array([3.0, 1.0, 0.0])
@@ -92,62 +93,6 @@ def test_token_metrics_and_predictions(spark):  # C18
 
 
 # ---------------------------------------------------------------- features
-def tag(t):
-    return "verb" if t.lower().endswith("s") else "noun"
-
-
-def py_tfidf(docs, vocab, n_train_docs_df, n):
-    out = []
-    for d in docs:
-        c = Counter(t for t in d if t in vocab)
-        w = {t: c[t] * (math.log((1 + n) / (1 + n_train_docs_df[t])) + 1) for t in c}
-        norm = math.sqrt(sum(v * v for v in w.values()))
-        out.append({t: v / norm for t, v in w.items()})
-    return out
-
-
-def py_features(rows, L=1, R=1, bow=True, max_features=None):
-    """Plain-Python reference of the positional features on tiny data."""
-    train = [r for r in rows if r[0] == "train"]
-    words = [r[1].lower().split() for r in rows]
-    tags = [[tag(t) for t in r[1].split()] for r in rows]
-    tr_idx = [i for i, r in enumerate(rows) if r[0] == "train"]
-    cf, df = Counter(), Counter()
-    for i in tr_idx:
-        cf.update(words[i])
-        df.update(set(words[i]))
-    terms = sorted(cf, key=lambda t: (-cf[t], t))[:max_features] if max_features else list(cf)
-    vocab = {t: k for k, t in enumerate(sorted(terms))}
-    pdf = Counter()
-    for i in tr_idx:
-        pdf.update(set(tags[i]))
-    pvocab = {t: k for k, t in enumerate(sorted(pdf))}
-    n = len(train)
-    tv = py_tfidf(words, vocab, df, n)
-    pv = py_tfidf(tags, pvocab, pdf, n)
-    V, P, span = len(vocab), len(pvocab), L + R + 1
-    cells = []
-    for i, r in enumerate(rows):
-        vi = r[2]
-        row = Counter()
-        for j, (w, p) in enumerate(zip(words[i], tags[i])):
-            if w not in vocab:
-                continue
-            d = j - vi
-            if bow and d < 0:
-                row[vocab[w]] += tv[i][w]
-            elif bow and d > 0:
-                row[V + vocab[w]] += tv[i][w]
-            if -L <= d <= R:
-                row[2 * V + (d + L) * V + vocab[w]] += tv[i][w]
-                if p in pvocab:
-                    row[2 * V + span * V + (d + L) * P + pvocab[p]] += pv[i][p]
-        cells.append(row)
-    kept = sorted({c for i in tr_idx for c in cells[i]})
-    pos = {c: k for k, c in enumerate(kept)}
-    return [{pos[c]: v for c, v in row.items() if c in pos} for row in cells]
-
-
 ROWS = [  # split, sentence, verb index
     ("train", "The cats sat on the mats", 1),
     ("train", "A dog runs and the dog sits", 2),        # C10: 'dog' twice around the verb
@@ -165,27 +110,28 @@ def rows_df(spark):
 
     def tagger(t):
         return F.when(F.lower(t).endswith("s"), F.lit("VERB")).otherwise(F.lit("NOUN"))
-    return FE.prepare_rows(df, tagger)
+    return FE.prepare_rows(df, tagger, row="eventid")
 
 
-@pytest.mark.parametrize("max_features", [None, 4])
-def test_positional_features_match_python(spark, max_features):
-    rows = rows_df(spark)
-    pf = FE.PositionalFeatures(1, 1, True, max_features, (1, 1))
-    fit, cells, _ = pf.fit_transform(rows, F.col("split") == "train")
+def test_positional_features_by_hand(spark):
+    """Two training rows, window one to the left; every number worked out on paper.
+
+    Vocabulary a, b, c with idf 1, 1 + ln 1.5, 1 + ln 1.5; one POS tag with idf 1.
+    Cells before pruning: words at -1 from 6, at 0 from 9, tags at 12 and 13;
+    used are 6, 10, 11, 12, 13, renumbered from 0."""
+    df = spark.createDataFrame([("d", "e0", "a", "b"), ("d", "e1", "a", "c"), ("d2", "e1", "a", "c")],
+                               "docid string, eventid string, before string, verb string").select(
+        "*", F.lit("").alias("after"), F.lit("train").alias("split"))
+    rows = FE.prepare_rows(df.filter("docid = 'd'"), lambda t: F.lit("NOUN"))
+    fit, cells, _ = FE.PositionalFeatures(1, 0, False, None, (1, 1)).fit_transform(rows, F.col("split") == "train")
     got = {}
     for r in cells.collect():
-        got.setdefault(r.row, {})[r.col] = r.value
-    ref = py_features(ROWS, 1, 1, True, max_features)
-    for k, row in enumerate(ref):
-        g = got.get(f"r{k}", {})
-        assert set(g) == set(row), k
-        for c in row:
-            assert math.isclose(g[c], row[c], rel_tol=1e-9), (k, c)
-    # fit/transform separately gives the same cells
-    fit2 = pf.fit(rows.filter(F.col("split") == "train"))
-    again = {(r.row, r.col): r.value for r in pf.transform(rows, fit2).collect()}
-    assert again == {(r.row, r.col): r.value for r in cells.collect()}
+        got.setdefault(r.row.eventid, {})[r.col] = round(r.value, 4)
+    assert got == {"e0": {0: 0.5797, 1: 0.8148, 3: 1.0, 4: 1.0}, "e1": {0: 0.5797, 2: 0.8148, 3: 1.0, 4: 1.0}}
+    fit.release()
+    # the event id repeats in another document: rows stay apart
+    both = FE.term_frequency(FE.prepare_rows(df, lambda t: F.lit("NOUN")))
+    assert both.filter("row.eventid = 'e1' AND term = 'a'").count() == 2
 
 
 def test_bigrams_only_in_norm_and_vocab(spark):  # C12
