@@ -39,6 +39,16 @@ def null_as_pandas(df: DataFrame, null_values: Sequence[str] = PANDAS_NULL_VALUE
     return out
 
 
+def typed(df: DataFrame) -> DataFrame:
+    """Annotation columns cast from text after missing values became null:
+    ``_golden`` boolean, ``*:confidence`` double; a cell that is neither fails."""
+    for c in df.columns:
+        kind = "boolean" if c == "_golden" else "double" if c.endswith(":confidence") else None
+        if kind:
+            df = df.withColumn(c, F.col(f"`{c}`").cast(kind))
+    return df
+
+
 def read_annotations(spark: SparkSession, paths: Sequence[str] | str, sources: Sequence[str | None] | None = None,
                      schema=None, null_values: Sequence[str] | None = PANDAS_NULL_VALUES) -> DataFrame:
     """Headered CSV files (quoted multi-line text, doubled quotes), stacked in
@@ -50,10 +60,11 @@ def read_annotations(spark: SparkSession, paths: Sequence[str] | str, sources: S
     out = None
     for prio, (p, src) in enumerate(zip(paths, sources)):
         r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        df = r.csv(p)
+        df = (r.schema(schema) if schema is not None else r).csv(p)     # one read: no type is guessed from values
         if null_values:
             df = null_as_pandas(df, null_values)
+        if schema is None:
+            df = typed(df)
         df = with_row_pos(df, prio)
         if src is not None:
             df = df.withColumn("source", F.lit(src))

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from evtab.operators import corpus
@@ -68,8 +70,12 @@ def test_first_mention_keeps_first_token(spark):
 def test_annotate_lexicon_keeps_rows_and_morph(spark):
     toks = tokens_df(spark).drop("pos")
     lex = spark.createDataFrame([("fr", "mangé", "VERB", {"Tense": "Past,Imp", "VerbForm": "Part"}),
-                                 ("fr", "mangé", "VERB", {}), ("fr", "a", "AUX", {"Mood": "Ind"})],
+                                 ("fr", "mangé", "VERB", {"Tense": "Past,Imp", "VerbForm": "Part"}),
+                                 ("fr", "a", "AUX", {"Mood": "Ind"})],
                                 "lang string, token string, pos string, morph map<string,string>")
+    other = spark.createDataFrame([("fr", "a", "NOUN", {})], lex.schema)
+    with pytest.raises(Exception, match="two lexicon entries"):
+        corpus.annotate_lexicon(toks, lex.unionByName(other)).collect()
     out = corpus.morph_tags(corpus.annotate_lexicon(toks, lex)).orderBy("tok_pos").collect()
     assert len(out) == 6
     assert [r.pos for r in out] == ["X", "AUX", "VERB", "X", "X", "X"]

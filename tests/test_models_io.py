@@ -100,7 +100,7 @@ def test_read_annotations_csv(spark, tmpdir_path):
     with open(p1, "w") as f:
         f.write(f'docid,eventid,verb,before,after,bodytext,_golden,_unit_state,{col},{col}:confidence\n')
         f.write('d1,e1,said,"He ""quoted""","multi\nline",<p>x</p>,true,golden,yes_its_anchorable,0.9\n')
-        f.write('d1,e2,NA,,,<p></p>,false,finalized,,\n')
+        f.write('d1,e2,NA,,,<p></p>,false,finalized,,NA\n')
     p2 = os.path.join(tmpdir_path, "b.csv")
     with open(p2, "w") as f:
         f.write("docid,eventid,verb,extra\nd2,e9,run,kept\n")
@@ -113,6 +113,8 @@ def test_read_annotations_csv(spark, tmpdir_path):
     assert rows[0].row_pos < rows[1].row_pos
     conf = df.select(F.col(f"`{col}:confidence`")).first()[0]
     assert conf == 0.9
+    types = dict(df.dtypes)
+    assert types[f"{col}:confidence"] == "double" and types["_golden"] == "boolean"   # one NA changes no type
 
 
 def test_id_lists_and_sinks(spark, tmpdir_path):
@@ -160,6 +162,16 @@ def test_predictions_roundtrip(spark, tmpdir_path):
     assert readers.read_review(spark, rev).first().annotation == 1
 
 
+def test_a_second_model_leaves_the_first(spark, tmpdir_path):
+    row = ("en", "dev", "d", "e1", "a", "b", "c", 1, 0.8, 1)
+    cols = "model string, lang string, split string, docid string, eventid string, before string, verb string, " \
+           "after string, pred int, prob double, label int"
+    path = os.path.join(tmpdir_path, "two")
+    for model in ("m0", "m1", "m1"):
+        writers.write_predictions(spark.createDataFrame([(model, *row)], cols), path)
+    assert sorted(r.model for r in spark.read.parquet(path).collect()) == ["m0", "m1"]
+
+
 def test_quarantine_and_stream(spark, tmpdir_path):
     df = spark.createDataFrame([("a", "b", "c", "<p>a b c</p>"), ("a", "zz", "c", "<p>a b c</p>")],
                                "before string, verb string, after string, bodytext string")
