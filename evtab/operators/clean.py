@@ -25,8 +25,8 @@ def first_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
                    last: bool = False) -> DataFrame:
     """One row per key: the first (or last) by ``order``.
 
-    Written as a hash aggregate of ``min(struct(order..., row))`` instead of a
-    window: the partial (map-side) aggregate collapses a hot key before the
+    Written as an aggregate of ``min(struct(order..., row))`` (a sort aggregate:
+    the packed rows are not fixed-width) instead of a window: the partial (map-side) aggregate collapses a hot key before the
     shuffle, so a key holding a third of the table never lands whole in one
     task. Rows keep all their columns.
     """
