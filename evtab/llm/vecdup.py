@@ -6,7 +6,8 @@ within the block's proportional share of that distance in at least one block.
 Each block is range-joined under its share: vectors are cut into strips along
 the block's first coordinate, and only strips that are within reach meet. A
 pair belongs to the first block whose share it keeps, so the union needs no
-``distinct``; the cosine of every pair of the union is then computed exactly.
+``distinct``; the cosine of every pair of the union is then computed in double
+precision from the stored components, whatever their type.
 
 Tasks return, per vector, how many links it has in the task and the smallest
 id it is connected to there - never the pairs.
@@ -124,7 +125,7 @@ def links(vectors: DataFrame, width: int, cosine: float, part_rows: int = PART_R
             rows = np.zeros((batch.num_rows, width), dtype=kind)
             for i, v in enumerate(batch.column(2).to_pylist()):
                 rows[i, :len(v)] = v
-            at = _unit(rows) @ turn[:, [p for p, _ in edges]]
+            at = _unit(rows.astype(np.float64)) @ turn[:, [p for p, _ in edges]]
             packed = pa.array([r.tobytes() for r in rows], pa.binary())
             for k in range(len(edges)):
                 yield pa.RecordBatch.from_arrays(
@@ -184,7 +185,7 @@ def links(vectors: DataFrame, width: int, cosine: float, part_rows: int = PART_R
                 block, same, i1, c1, r1, i2, c2, r2 = (c.as_py() for c in cells)
                 ids = np.frombuffer(i1 if same else i1 + i2, np.int64)
                 weight = np.frombuffer(c1 if same else c1 + c2, np.int64)
-                a, b = (_unit(np.frombuffer(x, kind).reshape(-1, width)) for x in (r1, r2))
+                a, b = (_unit(np.frombuffer(x, kind).astype(np.float64).reshape(-1, width)) for x in (r1, r2))
                 shift = 0 if same else len(a)
                 forest, n = Forest(len(ids)), np.zeros(len(ids), dtype=np.int64)
                 for i, j in _linked(a, b, same, block, edges, turn, cosine):

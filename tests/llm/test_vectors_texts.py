@@ -131,6 +131,28 @@ def shingle_set(text):
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def test_float_vectors_at_the_threshold(spark):
+    rng = np.random.default_rng(17)
+    rows, want = [], {}
+    while len(rows) < 1200:
+        a, b = rng.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        c = 0.9 + rng.uniform(-1e-7, 1e-7)
+        b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)
+        x, y = a.astype(np.float32), b.astype(np.float32)
+        u, v = x.astype(np.longdouble), y.astype(np.longdouble)
+        exact = float((u @ v) / np.sqrt((u @ u) * (v @ v)) - np.longdouble(0.9))
+        if 1e-12 < abs(exact) <= 1e-7:
+            for e in (x, y):
+                want[len(rows)] = int(exact > 0)
+                rows.append((len(rows), e.tolist()))
+    assert 200 < sum(want.values()) < 1000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdup.near_duplicates(df, part_rows=500).collect()}
+    assert got == {i: (n, i - i % 2 if n else i) for i, n in want.items()}
+
+
 def test_text_near_duplicates(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(300)]
