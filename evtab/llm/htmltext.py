@@ -12,10 +12,15 @@ name their role (``nav``, ``footer``, ``class="ad"``, ...) are left out at
 once, the blocks of an ``article`` or ``main`` are judged container by
 container below it and never sentence by sentence, and a page that would lose
 most of its text to repetition is taken for a copy and keeps it.
+
+A host too large for one suffix array has several. Each lists the hashes of its
+long substrings with their pages, the lists of a host are summed, and every
+array is told which of its substrings the host's pages hold often enough.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -35,6 +40,8 @@ LONG, PAGES, COVERED = 6, 3, 0.9
 PART_PAGES, PART_CHARS = 512, 6_000_000
 #: Hosts with several parts that are sent to every task (two short columns); more are joined.
 LARGE_HOSTS = 50_000
+#: Parts of a host whose substring lists are summed in one task's group (whole lists, or ranges of more of them).
+LIST_PARTS = 8
 
 #: Elements without text of the page, elements that are not part
 #: of an article, containers, elements that end a block, void elements.
@@ -163,30 +170,60 @@ def ranks_to_depth(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES) -> np.ndarray:
+def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES,
+             known: np.ndarray | None = None) -> np.ndarray:
     """Which tokens lie in a substring of ``long`` tokens that ``pages`` distinct pages hold.
 
     Suffixes sorted to the depth of ``long`` put equal substrings side by side.
-    A substring that runs over the end of its page does not count.
+    A substring that runs over the end of its page does not count. ``known``
+    marks the tokens where substrings begin that count because of other pages.
     """
     n = len(tokens)
     if n < long:
         return np.zeros(n, dtype=bool)
     rank = ranks_to_depth(tokens, long)
-    inside = np.zeros(n, dtype=bool)
-    inside[:n - long + 1] = page[long - 1:] == page[:n - long + 1]
-    at = np.flatnonzero(inside)
+    at = begins(page, long)
     order = at[np.lexsort((page[at], rank[at]))]
     new = np.ones(len(order), dtype=bool)            # first suffix of its page with this prefix
     new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (page[order[1:]] != page[order[:-1]])
     holders = np.bincount(rank[order], weights=new, minlength=int(rank.max()) + 1)
     edge = np.zeros(n + 1, dtype=np.int64)
-    hits = order[holders[rank[order]] >= pages]
+    often = holders[rank[order]] >= pages
+    hits = order[often if known is None else often | known[order]]
     np.add.at(edge, hits, 1)
     np.add.at(edge, hits + long, -1)
     return np.cumsum(edge[:n]) > 0
 
 
+def begins(page: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Tokens where a substring of ``long`` tokens begins that does not run over the end of its page."""
+    n = len(page)
+    return np.flatnonzero(page[long - 1:] == page[:n - long + 1]) if n >= long else np.zeros(0, dtype=np.int64)
+
+
+def hashes(tokens: np.ndarray, words: list[str], at: np.ndarray, long: int = LONG) -> np.ndarray:
+    """64-bit hash of the ``long`` tokens from each place in ``at``; the same in every part."""
+    name = np.array([0] + [int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+                                          "little") for w in words], dtype=np.uint64)[tokens]
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(long):
+        out = (out ^ name[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as the byte planes of their steps (the high ones are zero and compress)."""
+    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(cell: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def main_text(page: Page, covered: list[float], sizes: list[int]) -> tuple[str, int]:
     """Text of a page and the characters left out because they repeat.
 
@@ -215,8 +252,17 @@ def main_text(page: Page, covered: list[float], sizes: list[int]) -> tuple[str,
     return "\n".join(blocks[i].text for i in kept), left
 
 
-def extract_part(sources: list[str | None]) -> list[tuple[str, int]]:
-    """Main texts of pages of one host (one suffix array)."""
+@dataclass
+class Part:
+    """Pages of one host and their token streams, one after another."""
+    pages: list[Page]
+    tokens: np.ndarray
+    page: np.ndarray
+    spans: list[list[tuple[int, int]]]
+    words: list[str]
+
+
+def read_part(sources: list[str | None]) -> Part:
     pages = [parse(s) for s in sources]
     known: dict[str, int] = {}
     stream: list[int] = []
@@ -232,15 +278,79 @@ def extract_part(sources: list[str | None]) -> list[tuple[str, int]]:
         stream.append(0)
         owner.append(len(stream) - begin)
         spans.append(mine)
-    page = np.repeat(np.arange(len(pages)), owner)
-    hit = np.concatenate(([0], np.cumsum(repeated(np.array(stream, dtype=np.int64), page))))
+    return Part(pages, np.array(stream, dtype=np.int64), np.repeat(np.arange(len(pages)), owner), spans, list(known))
+
+
+def held(part: Part) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a part's long substrings, ascending, and how many of its pages hold each."""
+    at = begins(part.page)
+    h, page = hashes(part.tokens, part.words, at), part.page[at]
+    order = np.lexsort((page, h))
+    h, page = h[order], page[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (page[1:] != page[:-1])
+    return np.unique(h[first], return_counts=True)
+
+
+def extract_part(sources: list[str | None], often: np.ndarray | None = None) -> list[tuple[str, int]]:
+    """Main texts of pages of one host (one suffix array).
+
+    ``often``: hashes of substrings that enough pages of the host's other parts hold.
+    """
+    part = read_part(sources)
+    known = None
+    if often is not None and len(often):
+        at = begins(part.page)
+        known = np.zeros(len(part.tokens), dtype=bool)
+        known[at] = np.isin(hashes(part.tokens, part.words, at), often)
+    hit = np.concatenate(([0], np.cumsum(repeated(part.tokens, part.page, known=known))))
     out = []
-    for p, mine in zip(pages, spans, strict=True):
+    for p, mine in zip(part.pages, part.spans, strict=True):
         sizes = [e - s for s, e in mine]
         out.append(main_text(p, [float(hit[e] - hit[s]) / max(1, e - s) for s, e in mine], sizes))
     return out
 
 
+LISTS = "host string, part long, range long, hashes binary, pages binary"
+
+
+def list_part(table: pa.Table) -> pa.Table:
+    """The substrings of a part in ranges of their hashes; nothing for a host of one part."""
+    parts = table.column("parts")[0].as_py()
+    schema = pa.schema([("host", pa.string()), ("part", pa.int64()), ("range", pa.int64()),
+                        ("hashes", pa.binary()), ("pages", pa.binary())])
+    if parts is None:
+        return schema.empty_table()
+    h, n = held(read_part(table.column("html").to_pylist()))
+    ranges = -(-parts // LIST_PARTS)
+    where = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    cut = np.searchsorted(where, np.arange(ranges + 1, dtype=np.uint64))
+    few = np.minimum(n, PAGES).astype(np.uint8)      # a sum reaches PAGES with or without the rest
+    host, part = table.column("host")[0].as_py(), table.column("part")[0].as_py()
+    rows = [{"host": host, "part": part, "range": k, "hashes": packed(h[a:b]), "pages": few[a:b].tobytes()}
+            for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+    return pa.Table.from_pylist(rows, schema=schema)
+
+
+def sum_lists(table: pa.Table) -> pa.Table:
+    """Per part, the substrings of a range that PAGES pages of the host hold, but not that many of the part."""
+    table = table.sort_by("part")
+    lists = [unpacked(c.as_py()) for c in table.column("hashes")]
+    h = np.concatenate(lists)
+    n = np.concatenate([np.frombuffer(c.as_py(), np.uint8) for c in table.column("pages")])
+    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(h, kind="stable")
+    h, n, of = h[order], n[order].astype(np.int64), of[order]
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(h))))
+    hit = (total >= PAGES) & (n < PAGES)
+    h, of = h[hit], of[hit]
+    told = [(i, h[of == i]) for i in np.unique(of)]
+    return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(told), pa.string()),
+                     "part": pa.array([table.column("part")[int(i)].as_py() for i, _ in told], pa.int64()),
+                     "hashes": pa.array([packed(x) for _, x in told], pa.binary())})
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case (empty where there is none)."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
@@ -257,28 +367,36 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     no row; other columns are ignored.
 
     A host's pages are dealt by hash to parts of bounded size, each with its
-    own suffix array: a host with any share of all pages splits, and what is
-    boilerplate on a large host repeats within each part. Html is shuffled
-    once; texts go straight to the result.
+    own suffix array, so a host with any share of all pages splits. Pages that
+    hold a substring are counted over all parts of the host: how a host is
+    split changes nothing. Texts go straight to the result.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                         F.col(source).alias("html"), host_of(F.col(url)).alias("host"))
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_PAGES), F.ceil(F.sum(F.length("html")) / PART_CHARS), F.lit(1))
     large = rows.groupBy("host").agg(parts.alias("parts")).where("parts > 1")
     large = landed(large, "html-hosts")              # hosts of more than one part: few against their pages
-    few = large.count() <= LARGE_HOSTS
+    n_large = large.count()
+    few = n_large <= LARGE_HOSTS
     dealt = rows.join(F.broadcast(large) if few else large, "host", "left").withColumn(
         "part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))))
     if not few:
         dealt = dealt.repartition("host", "part")    # else a host's parts would stay in the join's partition
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, lists: pa.Table | None = None) -> pa.Table:
+        often = None if lists is None else np.concatenate(
+            [np.zeros(0, dtype=np.uint64), *(unpacked(c.as_py()) for c in lists.column("hashes"))])
         table = table.sort_by([("page_id", "ascending"), ("url", "ascending")])
-        got = extract_part(table.column("html").to_pylist())
+        got = extract_part(table.column("html").to_pylist(), often)
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"),
                          "text": pa.array([t for t, _ in got], pa.string()),
                          "n_chars": pa.array([len(t) for t, _ in got], pa.int64()),
                          "repeated_chars": pa.array([n for _, n in got], pa.int64())})
 
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(
-        run, "page_id long, url string, text string, n_chars long, repeated_chars long")
+    schema = "page_id long, url string, text string, n_chars long, repeated_chars long"
+    grouped = dealt.select("host", "part", "parts", "page_id", "url", "html").groupBy("host", "part")
+    if not n_large:
+        return grouped.applyInArrow(lambda table: run(table), schema)
+    told = grouped.applyInArrow(list_part, LISTS).groupBy("host", "range").applyInArrow(
+        sum_lists, "host string, part long, hashes binary")
+    return grouped.cogroup(told.groupBy("host", "part")).applyInArrow(lambda a, b: run(a, b), schema)

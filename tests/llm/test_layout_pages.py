@@ -270,6 +270,21 @@ def test_extract_rows(spark, monkeypatch):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_a_split_host_gives_what_one_array_gives(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    note = [" ".join(f"n{k}x{j}" for j in range(9)) for k in range(6)]
+    holds = [set(rng.choice(120, 2 + 2 * k, replace=False).tolist()) for k in range(6)]     # 2 to 12 pages hold a note
+    rows = [(i, "http://a.example/x", page(
+        f"<div><p>own{i} " + " ".join(f"w{i}x{j}" for j in range(60)) + "</p></div>"
+        + "".join(f"<div>{n}</div>" for n, at in zip(note, holds, strict=True) if i in at))) for i in range(120)]
+    want = {i: r for (i, _, _), r in zip(rows, htmltext.extract_part([r[2] for r in rows]), strict=True)}
+    assert all(note[0] in want[i][0] for i in holds[0]) and not any(n in t for t, _ in want.values() for n in note[1:])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (512, 40, 3):                        # 1, 3 and 40 parts
+        monkeypatch.setattr(htmltext, "PART_PAGES", size)
+        assert {r.page_id: (r.text, r.repeated_chars) for r in htmltext.extract(df).collect()} == want
+
+
 def test_articles_of_the_test_pages(spark):
     import html
     df = spark.read.parquet(f"{SF}/pages.parquet")
