@@ -154,7 +154,7 @@ def minimise(evaluate, size: int, penalty: str, max_iter: int, tol: float, memor
                 break
             t *= 0.5
         else:
-            return x, value, it, float(np.linalg.norm(pg)) <= 10 * tol * first
+            return x, value, it, False   # no step lowers the objective, and ``tol`` is not met
         s, y = new - x, new_g - g
         if float(s @ y) > 1e-12 * float(y @ y):
             steps = [*steps[-(memory - 1):], (s, y)]

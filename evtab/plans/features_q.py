@@ -152,7 +152,7 @@ def q_predict_linear(spark, sf_dir):
     return p.select(F.col("row.eventid"), "split", F.round("score", 6).alias("score"), "pred")
 
 
-SVM_C, SVM_PENALTY, SVM_ITER, SVM_TOL = 1.0, "l1", 1000, 1e-2   # tol: the default of this solver in liblinear
+SVM_C, SVM_PENALTY, SVM_ITER, SVM_TOL = 1.0, "l1", 1000, 1e-4   # tol: the default of sklearn's LinearSVC
 
 
 @register("fit_linear_svc")

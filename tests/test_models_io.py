@@ -39,6 +39,19 @@ def np_fista(X, y, c, penalty, iters=20000):
     return x[:-1], x[-1]
 
 
+def test_a_failed_line_search_is_not_convergence():
+    def evaluate(x):                                  # the gradient at 1 is 5 % of the first, no step from there helps
+        at = {0.0: (10.0, -1.0), 1.0: (0.0, -0.95)}.get(float(x[0]), (1e6, 0.0))
+        return at[0], np.array([at[1]])
+    x, _, it, converged = svm.minimise(evaluate, 1, "l2", 50, 1e-2)
+    assert x[0] == 1.0 and it == 2 and not converged
+
+
+def test_registered_svm_uses_the_tolerance_of_the_reference():
+    from evtab.plans import features_q
+    assert features_q.SVM_TOL == 1e-4
+
+
 @pytest.mark.parametrize("penalty", ["l2", "l1"])
 def test_fit_linear_svc_reaches_numpy_optimum(spark, penalty):
     rng = np.random.default_rng(0)
