@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtab.llm import bpe, htmltext, language, mixing, neardup, shards, topk, toxicity, vecdup, warc
+from evtab.llm import alignment, bpe, htmltext, language, mixing, neardup, shards, spelling, topk, toxicity, vecdup, warc
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 @register("op1_language")
@@ -119,3 +120,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), keep=["doc_id"], ids=False)
+
+
+@register("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, their most frequent near word and the end of that chain."""
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over every document."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
+                                     public_tokenizers.path(PIECES))
