@@ -16,6 +16,7 @@ table is sent to the tasks.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from evtab.llm.bpe import byte_names
 from evtab.llm.util import hot_join, landed, text_key
 
+#: Fixed value: how byte-level vocabularies split a text before merging.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Links a task sums before it folds them into its counts.
 FOLDED = 2_000_000
 
@@ -42,59 +45,80 @@ class Aligned:
     last_b: np.ndarray
 
 
+def byte_level(path: str):
+    """``encode(text) -> ids`` of a byte-level vocabulary file, no special tokens, and the bytes of every id.
+
+    Where ids follow the merges (the id of a merge's token grows with its
+    rank), ranks of byte strings say all that the merges say and tiktoken
+    encodes; else the tokenizers library does.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names, vocab, merges = byte_names(), spec["model"]["vocab"], spec["model"]["merges"]
+    known = {bytes(names[c] for c in t): i for t, i in vocab.items() if all(c in names for c in t)}
+    out = [b""] * (max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1)
+    for t, i in vocab.items():
+        out[i] = t.encode()
+    for x, i in known.items():
+        out[i] = x
+    order = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    single = {vocab[c] for c in names if c in vocab}
+    if len(single) == 256 and order == sorted(set(order)) and max(single) < order[0]:
+        import tiktoken
+        mergeable = single | set(order)
+        ranks = {x: i for x, i in known.items() if i in mergeable}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, out
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"   # tasks share the machine already
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    library.encode_special_tokens = True
+    return lambda text: library.encode(text, add_special_tokens=False).ids, out
+
+
 class Pair:
     """The two tokenizers with the bytes of their ids."""
 
-    def __init__(self, byte_level: str, pieces: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # tasks share the machine already
+    def __init__(self, left: str, right: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.left = Tokenizer.from_file(byte_level)
-        self.left.no_truncation()
-        self.left.no_padding()
-        self.left.encode_special_tokens = True
-        self.right = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        names = byte_names()
-        vocab = self.left.get_vocab(with_added_tokens=True)
-        plain = self.left.get_vocab(with_added_tokens=False)
-        self.bytes_a = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            known = token in plain and all(c in names for c in token)
-            self.bytes_a[i] = bytes(names[c] for c in token) if known else token.encode()
-        n = self.right.get_piece_size()
-        self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.right.is_byte(i) else p.replace("▁", " ").encode()
-                        for i, p in ((i, self.right.id_to_piece(i)) for i in range(n))]
+        self.encode_a, self.bytes_a = byte_level(left)
+        model = sentencepiece.SentencePieceProcessor(model_file=right)
+        self.encode_b = model.encode
+        n = model.get_piece_size()
+        self.bytes_b = [bytes([int(p[3:-1], 16)]) if model.is_byte(i) else p.replace("\u2581", " ").encode()
+                        for i, p in ((i, model.id_to_piece(i)) for i in range(n))]
         self.size_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
-        self.name_a = [str(i) for i in range(len(self.bytes_a))]
-        self.name_b = [str(i) for i in range(n)]
+        a, b = map(str, range(len(self.bytes_a))), map(str, range(n))
+        a, b = list(a), list(b)
+        # every id as it is written inside a group and at the end of its side
+        self.written_as = [x + "," for x in a] + [x + "|" for x in a] + [x + "," for x in b] + [x + ";" for x in b]
 
-    def align(self, texts: list[str]) -> list[Aligned | None]:
+    def align(self, text: str) -> Aligned | None:
         """None for a text whose joined tokens are not a space and the text on either side."""
-        left = self.left.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        right = self.right.encode(texts, num_threads=1)
-        out: list[Aligned | None] = []
-        for t, x, b in zip(texts, left, right, strict=True):
-            a, want = x.ids, (" " + t).encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != want or \
-                    b"".join(map(self.bytes_b.__getitem__, b)) != want:
-                out.append(None)
-                continue
-            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-            ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-            _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            out.append(Aligned(a, b, last_a, last_b))
-        return out
+        a, b = self.encode_a(" " + text), self.encode_b(text)
+        want = (" " + text).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
+            return None
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        at = np.searchsorted(ends_b, ends_a)         # both end with the text: every place is inside
+        last_a = np.flatnonzero(ends_b[at] == ends_a)
+        return Aligned(a, b, last_a, at[last_a])
 
     def written(self, x: Aligned) -> str:
         """Groups as text: ``a1,a2|b1;a3|b2,b3``."""
-        a = list(map(self.name_a.__getitem__, x.a.tolist()))
-        b = list(map(self.name_b.__getitem__, x.b.tolist()))
-        out, i, j = [], 0, 0
-        for m, n in zip((x.last_a + 1).tolist(), (x.last_b + 1).tolist(), strict=True):
-            out.append(f"{a[i] if m == i + 1 else ','.join(a[i:m])}|{b[j] if n == j + 1 else ','.join(b[j:n])}")
-            i, j = m, n
-        return ";".join(out)
+        end_a, end_b = np.zeros(len(x.a), dtype=np.int64), np.zeros(len(x.b), dtype=np.int64)
+        end_a[x.last_a], end_b[x.last_b] = 1, 1
+        group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+        # an A token comes after the B tokens of earlier groups, a B token after the A tokens of its group
+        cells = np.empty(len(x.a) + len(x.b), dtype=np.int64)
+        before = np.concatenate(([0], x.last_b + 1))
+        cells[np.arange(len(x.a)) + before[group_a]] = x.a + len(self.bytes_a) * end_a
+        cells[np.arange(len(x.b)) + x.last_a[group_b] + 1] = \
+            x.b + len(self.bytes_b) * end_b + 2 * len(self.bytes_a)
+        return "".join(map(self.written_as.__getitem__, cells.tolist()))[:-1]
 
     def codes(self, x: Aligned) -> np.ndarray:
         """One number per link: A id times B's vocabulary plus B id."""
@@ -104,11 +128,11 @@ class Pair:
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
 
-def pair(byte_level: str, pieces: str) -> Pair:
+def pair(merges: str, pieces: str) -> Pair:
     """The worker's tokenizers (loaded once per process)."""
-    if (byte_level, pieces) not in _PAIRS:
-        _PAIRS[byte_level, pieces] = Pair(byte_level, pieces)
-    return _PAIRS[byte_level, pieces]
+    if (merges, pieces) not in _PAIRS:
+        _PAIRS[merges, pieces] = Pair(merges, pieces)
+    return _PAIRS[merges, pieces]
 
 
 def pair_bound(p: Pair) -> int:
@@ -125,7 +149,7 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def aligned(texts: DataFrame, byte_level: str, pieces: str, groups: bool = False) -> DataFrame:
+def aligned(texts: DataFrame, merges: str, pieces: str, groups: bool = False) -> DataFrame:
     """Alignment of each distinct text: ``k, copies, n_a, n_b, n_groups, groups_sha256, links`` [, ``groups``].
 
     ``links`` holds one little-endian 64-bit code per link. A text that the tokens do not
@@ -136,24 +160,18 @@ def aligned(texts: DataFrame, byte_level: str, pieces: str, groups: bool = False
     names = [c.strip().split(" ")[0] for c in shape.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pair(byte_level, pieces)
+        p = pair(merges, pieces)
         for batch in batches:
             rows: list[tuple] = []
-            todo = list(zip(batch.column(0), batch.column(1).to_pylist(), strict=True))
-            while todo:
-                some, size = [], 0
-                while todo and size < 1_000_000:
-                    t, n = todo.pop()
-                    some.append((t.as_py(), n))
-                    size += len(some[-1][0])
-                for (t, n), x in zip(some, p.align([t for t, _ in some]), strict=True):
-                    k = hashlib.md5(t.encode()).digest()
-                    if x is None:
-                        rows.append((k, n, 0, 0, 0, "", b"", ""))
-                    else:
-                        w = p.written(x)
-                        rows.append((k, n, len(x.a), len(x.b), len(x.last_a), hashlib.sha256(w.encode()).hexdigest(),
-                                     p.codes(x).astype("<i8").tobytes(), w if groups else None))
+            for t, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                t = t.as_py()
+                k, x = hashlib.md5(t.encode()).digest(), p.align(t)
+                if x is None:
+                    rows.append((k, n, 0, 0, 0, "", b"", ""))
+                    continue
+                w = p.written(x)
+                rows.append((k, n, len(x.a), len(x.b), len(x.last_a), hashlib.sha256(w.encode()).hexdigest(),
+                             p.codes(x).astype("<i8").tobytes(), w if groups else None))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [pa.binary(), *[pa.int64()] * 4, pa.string(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)][:len(names)],
@@ -190,9 +208,9 @@ def link_counts(rows: DataFrame) -> DataFrame:
         .groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def measured(rows: DataFrame, counts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+def measured(rows: DataFrame, counts: DataFrame, merges: str, pieces: str) -> DataFrame:
     """Adds ``n_links, n_best, count_sum`` to aligned texts; ``counts`` (``code, n``) is bounded by ``pair_bound``."""
-    p = pair(byte_level, pieces)
+    p = pair(merges, pieces)
     table = counts.toArrow()
     if table.num_rows > pair_bound(p):
         raise ValueError("more linked id pairs than the vocabularies allow")
@@ -221,7 +239,7 @@ def measured(rows: DataFrame, counts: DataFrame, byte_level: str, pieces: str) -
              "n_links long, n_best long, count_sum long")
 
 
-def align_documents(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id",
+def align_documents(docs: DataFrame, merges: str, pieces: str, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every row.
 
@@ -231,13 +249,13 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str, key: str = "d
     row; very long texts are aligned whole; an empty table gives no row; other
     columns are ignored.
     """
-    rows = landed(aligned(distinct_texts(docs, text), byte_level, pieces), "align-texts", "zstd")
+    rows = landed(aligned(distinct_texts(docs, text), merges, pieces), "align-texts", "zstd")
     counts = landed(link_counts(rows), "align-counts")
-    facts = landed(measured(rows, counts, byte_level, pieces), "align-facts")
+    facts = landed(measured(rows, counts, merges, pieces), "align-facts")
     text_col: Column = F.col(text)
     ids = docs.select(F.col(key).cast("long").alias("doc_id"),
                       F.when(text_col != "", text_key(text_col)).alias("k"))
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    out = hot_join(ids, facts, "k", "copies")
+    out = hot_join(ids, facts, ["k"], "copies")
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers],
                       F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
