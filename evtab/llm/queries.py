@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtab.llm import alignment, bpe, htmltext, language, mixing, neardup, shards, spelling, topk, toxicity, vecdup, warc
+from evtab.llm import (alignment, bpe, htmltext, language, mixing, neardup, recompression, shards, spelling, topk,
+                       toxicity, vecdup, warc)
 from evtab.llm.registry import register
 from evtab.llm.util import table
 
@@ -133,3 +134,9 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of two tokenizers over every document."""
     return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
                                      public_tokenizers.path(PIECES))
+
+
+@register("op13_substrings")
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word passages that a document of smaller id holds."""
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"))

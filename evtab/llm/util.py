@@ -83,18 +83,17 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column
 HOT_SHARE = 2048
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:
-    """``rows`` left-joined to ``facts`` (one row per ``key``), whatever share of the rows a key holds.
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """``rows`` left-joined to ``facts`` (one row per ``keys``), whatever share of the rows a key holds.
 
     ``copies`` counts a key's rows. The facts of keys with more than one row in
     ``HOT_SHARE`` are at most that many and are broadcast; their rows stay where
     they are. The rest is shuffled by key.
     """
     total = facts.agg(F.sum(copies)).first()[0] or 0
-    hot = facts.where(F.col(copies) * HOT_SHARE > total)
-    cold = facts.where(F.col(copies) * HOT_SHARE <= total)
-    few = hot.select(F.col(key).alias("_hot"))
-    flagged = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
-    near = flagged.where("_hot IS NOT NULL").drop("_hot").join(F.broadcast(hot), key, "left")
-    far = flagged.where("_hot IS NULL").drop("_hot").join(cold, key, "left")
+    is_hot = F.col(copies) * HOT_SHARE > total
+    hot, cold = facts.where(is_hot), facts.where(~is_hot)
+    flagged = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    near = flagged.where("_hot").drop("_hot").join(F.broadcast(hot), keys, "left")
+    far = flagged.where("_hot IS NULL").drop("_hot").join(cold, keys, "left")
     return near.unionByName(far)
