@@ -123,7 +123,54 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), keep=["doc_id"], ids=False)
 
 
-@register("op11_spelling")
+#: CRC-32 as a table: what byte ``b`` adds when ``d`` bytes follow it (``z``), and what a text of ``n`` zero bytes gives
+#: (``a``). The CRC of a text is the xor of its bytes' shares and of ``a`` at its length.
+DUCK_CRC32 = """
+  longest AS (SELECT max(length(m)) * 2 + 1 AS n FROM said),
+  bits(b, v, k) AS (SELECT b, b, 0 FROM range(256) t(b)
+                    UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1
+                    FROM bits WHERE k < 8),
+  t AS (SELECT b, v FROM bits WHERE k = 8),
+  z(d, b, v) AS (SELECT 0, b, v FROM t
+                 UNION ALL SELECT d + 1, z.b, xor(t.v, z.v >> 8) FROM z JOIN t ON t.b = z.v & 255, longest
+                 WHERE d + 1 < longest.n),
+  s(n, v) AS (SELECT 0, 4294967295
+              UNION ALL SELECT s.n + 1, xor(t.v, s.v >> 8) FROM s JOIN t ON t.b = s.v & 255, longest
+              WHERE s.n < longest.n),
+  a AS (SELECT n, xor(v, 4294967295) AS v FROM s),
+  spelt AS (SELECT m, hex(encode(m)) AS x FROM (SELECT DISTINCT m FROM said) y),
+  shares AS (SELECT m, length(x) // 2 AS n, unnest(range(length(x) // 2)) AS j, x FROM spelt),
+  crc AS (SELECT m, xor(bit_xor(z.v), any_value(a.v)) AS h
+          FROM shares q JOIN z ON z.d = q.n - 1 - q.j AND z.b = ('0x' || substr(q.x, 1 + 2 * q.j, 2))::BIGINT
+               JOIN a ON a.n = q.n GROUP BY m)"""
+
+
+@register("op11_spelling", oracle=f"""
+WITH RECURSIVE
+  runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents),
+  said AS (SELECT w, coalesce(doc_id::VARCHAR, '') || ':' || w AS m, count(*) AS n
+           FROM (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM runs) x
+           WHERE length(w) >= 6 GROUP BY ALL),
+  {DUCK_CRC32.strip()},
+  written AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2)
+                          ELSE w END AS word, n FROM said JOIN crc USING (m)),
+  vocab AS (SELECT word, sum(n)::BIGINT AS n FROM written GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+  places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+  holes AS (SELECT word, substr(word, 1, i - 1) || '?' || substr(word, i + 1) AS hole,
+                   substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM places),
+  pairs AS (SELECT x.word AS a, y.word AS b FROM holes x JOIN holes y ON x.hole = y.hole AND x.word <> y.word
+            UNION SELECT h.word, v.word FROM holes h JOIN vocab v ON v.word = h.less
+            UNION SELECT v.word, h.word FROM holes h JOIN vocab v ON v.word = h.less),
+  near AS (SELECT a AS word, b, v.n AS m, count(*) OVER (PARTITION BY a) AS n_near,
+                  row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS k FROM pairs JOIN vocab v ON v.word = b),
+  given AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN b END AS form,
+                   CASE WHEN m >= 5 * v.n THEN m END AS form_n
+            FROM vocab v LEFT JOIN near ON near.word = v.word AND k = 1),
+  chain(word, root) AS (SELECT word, word FROM vocab
+                        UNION ALL SELECT chain.word, g.form FROM chain JOIN given g ON g.word = chain.root
+                        WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, c.root, g.n, g.n_near, g.form_n
+FROM given g JOIN chain c USING (word) JOIN given e ON e.word = c.root AND e.form IS NULL""")
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, their most frequent near word and the end of that chain."""
     return spelling.variant_groups(table(spark, sf_dir, "documents"))
@@ -136,7 +183,23 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path(PIECES))
 
 
-@register("op13_substrings")
+@register("op13_substrings", oracle=r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     words AS (SELECT rid, doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+     wins AS (SELECT rid, doc_id, i, n, string_agg(word, ' ') OVER (
+                PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS k FROM words),
+     whole AS (SELECT * FROM wins WHERE i <= n - 49 AND doc_id IS NOT NULL),
+     firsts AS (SELECT k, min(doc_id) AS lo FROM whole GROUP BY k),
+     hits AS (SELECT rid, i FROM whole JOIN firsts USING (k) WHERE lo < doc_id),
+     marked AS (SELECT rid, i, word, max(CASE WHEN h.i IS NULL THEN 0 ELSE 1 END) OVER (
+                  PARTITION BY rid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+                FROM words LEFT JOIN hits h USING (rid, i)),
+     cut AS (SELECT rid, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept
+             FROM marked GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN cut USING (rid)""")
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 50-word passages that a document of smaller id holds."""
     return recompression.remove_repeats(table(spark, sf_dir, "documents"))
