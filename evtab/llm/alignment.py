@@ -256,6 +256,6 @@ def align_documents(docs: DataFrame, merges: str, pieces: str, key: str = "doc_i
     ids = docs.select(F.col(key).cast("long").alias("doc_id"),
                       F.when(text_col != "", text_key(text_col)).alias("k"))
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    out = hot_join(ids, facts, ["k"], "copies")
+    out = hot_join(ids, facts, ["k"], "copies", ["doc_id"])
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers],
                       F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))

@@ -9,12 +9,15 @@ Each symbol carries the stretch of words that its making looked at: wherever
 those words occur again, the symbol stands at the same place. Such a symbol is
 an anchor of every window that holds its whole stretch.
 
-Spark rounds go up the levels. Each aggregates the anchors' names over all
-documents and tells the documents which of theirs others share: a window with
-an anchor that no other document has is no repeat, and only documents with
-windows left go on. The windows left at the end are verified by a 128-bit name
-of all their words, aggregated to the smallest document that holds them. Windows
-without anchors stay to the end, so nothing rests on how long the symbols get.
+Each Spark round takes the symbols of one level, aggregates the anchors' names
+over all documents and tells the documents which of theirs others share: a
+window with an anchor that no other document has is no repeat, and only
+documents with windows left go on. The first round takes long symbols, which
+are few and seldom shared by chance; the next ones take shorter symbols, which
+find the ends of repeats, and read only what is left. The windows left at the
+end are verified by a 128-bit name of all their words, aggregated to the
+smallest document that holds them. Windows without anchors stay to the end, so
+nothing rests on how long the symbols get.
 
 Documents with equal words are collapsed first; only the one of smallest id is
 searched. No pairs of documents are made at any point.
@@ -27,235 +30,228 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evtab.llm import bloom
-from evtab.llm.util import hot_join, landed
+from evtab.llm.util import hot_join, landed, text_key
 
 WINDOW = 50
-REMEMBERED = 400_000
-#: Words worked on together.
-CHUNK_WORDS = 200_000
+#: Bytes of text worked on together.
+CHUNK_BYTES = 2_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2 ** 64))
 _1, _29 = np.uint64(1), np.uint64(29)
+#: Value of every byte in the two hashes of a word.
+_LANES = [bloom.mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed)) for seed in (0x2545F491, 0x6C62272E)]
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_FAR = 1 << 40
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-class WordHash(dict):
-    """64-bit hash of a word, remembered."""
-
-    def __init__(self, seed: int) -> None:
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return got
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of the hash base and of its inverse (kept per process)."""
+    if len(_powers[0]) <= n:
+        size = max(n, 2 * CHUNK_BYTES) + 1
+        _powers[:] = [np.cumprod(np.concatenate(([_1], np.full(size, base))), dtype=np.uint64)
+                      for base in (_M, _M_INVERSE)]
+    return _powers
 
 
 def levels_for(window: int) -> list[int]:
-    """Levels of the Spark rounds.
+    """Levels of the Spark rounds: long symbols first, then shorter ones.
 
     Symbols grow by a third a level, and one looks at three times its words. At
-    the first level, a symbol has some 1/6.6 of the window; nearly all windows
-    hold an anchor there.
+    the first level, symbols have about a fifth of the window.
     """
-    first = max(1, round(float(np.log(max(window, 7) / 6.6) / np.log(4 / 3))))
-    return [first, first + 1]
+    first = max(1, round(float(np.log(max(window, 7) / 5) / np.log(4 / 3))))
+    return sorted({first, max(1, first - 2)}, reverse=True)
+
+
+class Laid:
+    """Texts one after another as words with a mark before, between and after them.
 
+    ``words``: a 64-bit hash per word, 0 for a mark; ``begin, end``: the words of
+    every text.
+    """
 
-def _salt(n: int) -> np.uint64:
-    return np.uint64(n * int(_M) & (2 ** 64 - 1))
+    def __init__(self, texts: list[bytes]) -> None:
+        self.data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+        space = _SPACE[self.data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.first, self.past = edge[0::2], edge[1::2]
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        cut = np.searchsorted(self.first, np.concatenate(([0], np.cumsum(size + 1))) + 1)
+        marks = np.arange(len(texts)) + 1
+        self.begin, self.end = cut[:-1] + marks, cut[1:] + marks
+        self.place = np.arange(len(self.first)) + np.repeat(marks, np.diff(cut))
+        self.words = self.hashed(0)
+
+    def hashed(self, lane: int) -> np.ndarray:
+        power, back = powers(len(self.data))
+        total = np.cumsum(_LANES[lane][self.data] * power[:len(self.data)], dtype=np.uint64)
+        h = bloom.mixed((total[self.past - 1] - total[self.first - 1]) * back[self.first])
+        out = np.zeros(len(h) + len(self.begin) + 1, dtype=np.uint64)
+        out[self.place] = h
+        return out
 
 
 class Symbols:
-    """Symbols of documents laid one after another, at one level.
+    """Symbols of laid texts at one level.
 
-    ``name``; ``start, end`` (words); ``low, high``: the words its making
-    looked at, one past the document where it looked at the document's end.
+    ``name``; ``start, end`` (words); ``low, high``: the words its making looked
+    at. Marks are symbols that join nothing and look at everything.
     """
 
-    def __init__(self, words: np.ndarray, bounds: np.ndarray, cap: int) -> None:
-        n = len(words)
-        self.words, self.bounds, self.cap, self.level = words, bounds, cap, 0
-        self.name = words.copy()
+    def __init__(self, laid: Laid, cap: int) -> None:
+        n = len(laid.words)
+        self.laid, self.cap, self.level = laid, cap, 0
+        self.name = laid.words.copy()
         self.start, self.end = np.arange(n), np.arange(1, n + 1)
         self.low, self.high = self.start.copy(), self.end.copy()
-        self.doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        mark = self.name == 0
+        self.low[mark], self.high[mark] = -_FAR, _FAR
+        self.short = ~mark                           # up to ``cap`` words: may join
 
     def up(self) -> None:
         """One level: name runs, then pairs."""
         self.level += 1
-        if len(self.name) > 1:
-            self._runs()
-            self._pairs()
+        self._runs()
+        self._pairs()
 
-    def _group(self, first: np.ndarray) -> None:
+    def _join(self, first: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(first)
         last = np.append(at[1:], len(first)) - 1
-        self.low, self.high = np.minimum.reduceat(self.low, at), np.maximum.reduceat(self.high, at)
-        self.start, self.end, self.doc, self.name = self.start[at], self.end[last], self.doc[at], self.name[at]
+        # what the members of a run or pair looked at, of both ends
+        self.low, self.high = np.minimum(self.low[at], self.low[last]), np.maximum(self.high[at], self.high[last])
+        self.start, self.end, self.name, self.short = self.start[at], self.end[last], self.name[at], self.short[at]
+        self.short &= self.end - self.start <= self.cap
+        return at
 
     def _runs(self) -> None:
-        short = self.end - self.start <= self.cap
-        first = np.ones(len(self.name), dtype=bool)
-        first[1:] = (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1]) | ~short[1:]
-        if not first.all():
-            count = np.diff(np.append(np.flatnonzero(first), len(first)))
-            short = short[first]
-            self._group(first)
+        same = (self.name[1:] == self.name[:-1]) & self.short[1:]
+        looked = self.short
+        if same.any():
+            first = np.append(True, ~same)
+            at = np.flatnonzero(first)
+            count = np.diff(np.append(at, len(first)))
+            inner = np.flatnonzero(count > 2)        # a run looked at what its inner members looked at, too
+            for k in inner.tolist():
+                span = slice(at[k], at[k] + count[k])
+                self.low[at[k]], self.high[at[k]] = self.low[span].min(), self.high[span].max()
+            looked = self.short[at]
+            self._join(first)
             many = count > 1
             self.name[many] = bloom.mixed(
                 self.name[many] * _M + count[many].astype(np.uint64) * np.uint64(2 * self.level + 1))
         # a run ends where its neighbour is another symbol: one other word shows that, else the whole neighbour
-        apart = self.doc[1:] != self.doc[:-1]
-        inner = np.flatnonzero(~apart)
-        low, high, words = self.low.copy(), self.high.copy(), self.words
-        own, edge = self.start[inner + 1], words[self.start[inner + 1] - 1]
-        other = edge != words[self.end[inner + 1] - 1]
-        seen = np.where(other, own - 1, self.low[inner])
-        low[inner + 1] = np.where(short[inner + 1], np.minimum(low[inner + 1], seen), low[inner + 1])
-        other = words[self.end[inner]] != words[self.start[inner]]
-        seen = np.where(other, self.end[inner] + 1, self.high[inner + 1])
-        high[inner] = np.where(short[inner], np.maximum(high[inner], seen), high[inner])
-        begin, finish = np.append(True, apart) & short, np.append(apart, True) & short
-        low[begin] = self.bounds[self.doc[begin]] - 1
-        high[finish] = self.bounds[self.doc[finish] + 1] + 1
-        self.low, self.high = low, high
+        words, low, high = self.laid.words, self.low, self.high
+        begins, ends = words[self.start], words[self.end - 1]
+        self.low, self.high = np.minimum(low, self.start - looked), np.maximum(high, self.end + looked)
+        at = np.flatnonzero((ends[1:] == ends[:-1]) & looked[1:]) + 1
+        self.low[at] = np.minimum(self.low[at], low[at - 1])
+        at = np.flatnonzero((begins[1:] == begins[:-1]) & looked[:-1])
+        self.high[at] = np.maximum(self.high[at], high[at + 1])
 
     def _pairs(self) -> None:
-        short = self.end - self.start <= self.cap
-        right = (bloom.mixed(self.name + _salt(self.level)) & _1).astype(bool)
-        apart = self.doc[1:] != self.doc[:-1]
-        low, high = self.low.copy(), self.high.copy()
+        # the side of a symbol at a level is one bit of its name
+        right = (self.name >> np.uint64(self.level % 64)) & _1 == 1
+        short, low, high = self.short, self.low.copy(), self.high.copy()
         # a left symbol looks at the symbol after it, a right one at the symbol before it
-        looks = np.flatnonzero(short[:-1] & ~right[:-1] & ~apart)
-        low[looks] = np.minimum(low[looks], self.low[looks + 1])
-        high[looks] = np.maximum(high[looks], self.high[looks + 1])
-        looks = np.flatnonzero(short[1:] & right[1:] & ~apart) + 1
-        low[looks] = np.minimum(low[looks], self.low[looks - 1])
-        high[looks] = np.maximum(high[looks], self.high[looks - 1])
-        finish = np.append(apart, True) & short & ~right
-        high[finish] = self.bounds[self.doc[finish] + 1] + 1
-        begin = np.append(True, apart) & short & right
-        low[begin] = self.bounds[self.doc[begin]] - 1
+        at = np.flatnonzero(short[:-1] & ~right[:-1])
+        low[at] = np.minimum(low[at], self.low[at + 1])
+        high[at] = np.maximum(high[at], self.high[at + 1])
+        at = np.flatnonzero(short[1:] & right[1:])
+        low[at + 1] = np.minimum(low[at + 1], self.low[at])
+        high[at + 1] = np.maximum(high[at + 1], self.high[at])
         self.low, self.high = low, high
-        joined = np.flatnonzero(short[:-1] & short[1:] & ~right[:-1] & right[1:] & ~apart)
+        joined = np.flatnonzero(short[:-1] & short[1:] & ~right[:-1] & right[1:])
         if len(joined):
-            first = np.ones(len(self.name), dtype=bool)
+            first = np.ones(len(right), dtype=bool)
             first[joined + 1] = False
             self.name[joined] = bloom.mixed(self.name[joined] * _M + bloom.mixed(
                 self.name[joined + 1] + np.uint64(2 * self.level)))
-            self._group(first)
+            self._join(first)
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Names of the anchors and the first and last window (by first word) that holds each."""
-        ok = (self.high - self.low <= window) & (self.low >= self.bounds[self.doc]) & \
-            (self.high <= self.bounds[self.doc + 1])
-        begin, finish = self.bounds[self.doc[ok]], self.bounds[self.doc[ok] + 1]
-        first = np.maximum(self.high[ok] - window, begin)
-        last = np.minimum(self.low[ok], finish - window)
-        some = first <= last
-        return self.name[ok][some], first[some], last[some]
+        at = np.flatnonzero(self.high - self.low <= window)
+        doc = np.searchsorted(self.laid.begin, self.start[at], side="right") - 1
+        begin, end = self.laid.begin[doc], self.laid.end[doc]
+        first, last = np.maximum(self.high[at] - window, begin), np.minimum(self.low[at], end - window)
+        ok = (self.low[at] >= begin) & (self.high[at] <= end) & (first <= last)
+        return self.name[at[ok]], first[ok], last[ok]
 
 
 def _spread(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """How many of the stretches ``first..last`` hold each place."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, last + 1, -1)
-    return np.cumsum(edge[:n])
+    return np.cumsum(np.bincount(first, minlength=n + 1)[:n] - np.bincount(last + 1, minlength=n + 1)[:n])
 
 
 class Chunk:
-    """Some documents, one after another, and which of their windows may be repeats after some rounds.
+    """Some documents and which of their windows may be repeats after some rounds.
 
     ``told``: per round and document, the shared anchors (twice their number,
     plus one if a smaller document has the name too), as the rounds found.
     ``open`` marks windows that another document may hold, ``lower`` those that
-    a smaller one may hold.
+    a smaller one may hold. ``name, first, last, cut``: the anchors of the next
+    round, where there is one.
     """
 
-    def __init__(self, docs: list[list[bytes]], hashed: WordHash, window: int, levels: list[int],
-                 told: list[list[list[int] | None]]) -> None:
-        self.window = window
-        self.bounds = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
-        n = int(self.bounds[-1])
-        self.words = hashed.of([w for d in docs for w in d])
-        self.open = np.ones(n, dtype=bool)
-        for end in self.bounds[1:].tolist():
-            self.open[max(0, end - window + 1):end] = False
-        for b, e in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
-            if e - b < window:
-                self.open[b:e] = False
+    def __init__(self, texts: list[bytes], window: int, levels: list[int], told: list[list[list[int] | None]]) -> None:
+        self.laid = laid = Laid(texts)
+        n = len(laid.words)
+        enough = laid.end - laid.begin >= window
+        self.open = _spread(n, laid.begin[enough], laid.end[enough] - window) > 0
         self.lower = self.open.copy()
-        symbols = Symbols(self.words, self.bounds, max(1, window // 2))
+        symbols, at_level = Symbols(laid, max(1, window // 2)), {}
+        while symbols.level < max(levels):
+            symbols.up()
+            if symbols.level in levels:
+                at_level[symbols.level] = symbols.anchors(window)
         for k, level in enumerate(levels):
-            while symbols.level < level:
-                symbols.up()
-            name, first, last = symbols.anchors(window)
+            name, first, last = at_level[level]
             seen = np.concatenate(([0], np.cumsum(self.open)))
             use = seen[last + 1] > seen[first]       # anchors of windows that are still open
             name, first, last = name[use], first[use], last[use]
-            doc = np.searchsorted(self.bounds, first, side="right") - 1
-            self.cut = np.searchsorted(doc, np.arange(len(self.bounds)))
-            self.name, self.first, self.last = name, first, last
+            cut = np.searchsorted(first, np.append(laid.begin, n))
             if k == len(told):
+                self.name, self.first, self.last, self.cut = name, first, last, cut
                 return
             shared, lower = np.zeros(len(name), dtype=bool), np.zeros(len(name), dtype=bool)
             for d, codes in enumerate(told[k]):
                 if codes:
                     at = np.array(codes, dtype=np.int64)
-                    shared[self.cut[d] + (at >> 1)] = True
-                    lower[self.cut[d] + (at >> 1)] = at & 1
+                    shared[cut[d] + (at >> 1)] = True
+                    lower[cut[d] + (at >> 1)] = at & 1
             self.open &= _spread(n, first[~shared], last[~shared]) == 0
             self.lower &= self.open & (_spread(n, first[~lower], last[~lower]) == 0)
 
     def free(self) -> np.ndarray:
-        """Documents with an open window that has no anchor at the level reached."""
+        """Documents with an open window that holds no anchor of the next round."""
         bare = self.open & (_spread(len(self.open), self.first, self.last) == 0)
         seen = np.concatenate(([0], np.cumsum(bare)))
-        return seen[self.bounds[1:]] > seen[self.bounds[:-1]]
+        return seen[self.laid.end] > seen[self.laid.begin]
 
 
 def window_names(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """64-bit polynomial name of the ``window`` words from each place in ``at``."""
-    if not len(at):
-        return np.zeros(0, dtype=np.uint64)
-    power = np.cumprod(np.concatenate(([_1], np.full(len(words), _M))), dtype=np.uint64)
-    back = np.cumprod(np.concatenate(([_1], np.full(len(words), _M_INVERSE))), dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[:-1], dtype=np.uint64)))
+    power, back = powers(len(words))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[:len(words)], dtype=np.uint64)))
     h = (total[at + window] - total[at]) * back[at]
     return bloom.mixed(h ^ (h >> _29))
 
 
-def split(text: str | None) -> list[bytes]:
-    """Words: runs without the six ASCII white-space characters."""
-    return text.encode().split() if text else []
-
-
-def _key(words: list[bytes]) -> bytes:
-    return hashlib.sha256(b" ".join(words)).digest()
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (first cell the text, turned to words) in groups of bounded words."""
+    """Rows (first cell the text, in UTF-8) in groups of bounded size."""
     rows, size = [], 0
     for batch in batches:
         texts, others = batch.column(0), [c.to_pylist() for c in batch.columns[1:]]
         for t, *rest in zip(texts, *others, strict=True):
-            words = split(t.as_py())
-            rows.append((words, *rest))
-            size += len(words)
-            if size >= CHUNK_WORDS:
+            rows.append((t.as_py().encode(), *rest))
+            size += len(rows[-1][0])
+            if size >= CHUNK_BYTES:
                 yield rows
                 rows, size = [], 0
     if rows:
@@ -263,40 +259,40 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, k, n_words``: id, digest of the words joined by one space, and their number. ``docs``: ``t, doc_id``."""
+    """``doc_id, tk, k, n_words``: id, key of the text, digest of its words joined by one space, their number.
+
+    ``docs``: ``t, doc_id, tk``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [split(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([_key(w) for w in words], pa.binary()),
-                 pa.array([len(w) for w in words], pa.int64())], names=["doc_id", "k", "n_words"])
+            keys, counts = [], []
+            for t in batch.column(0):
+                words = (t.as_py() or "").encode().split()
+                keys.append(hashlib.sha256(b" ".join(words)).digest())
+                counts.append(len(words))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(keys, pa.binary()),
+                                              pa.array(counts, pa.int64())], names=["doc_id", "tk", "k", "n_words"])
 
-    return docs.mapInArrow(run, "doc_id long, k binary, n_words long")
+    return docs.select("t", "doc_id", "tk").mapInArrow(run, "doc_id long, tk binary, k binary, n_words long")
 
 
 def anchor_names(docs: DataFrame, window: int, levels: list[int]) -> DataFrame:
-    """``doc_id, k, free, names``: anchors of the windows left open, at the last of ``levels``.
+    """``doc_id, tk, free, names``: anchors of the windows left open, at the last of ``levels``.
 
-    ``docs``: ``t, doc_id, k`` and one column ``told`` per level but the last.
-    A row whose text does not have the digest ``k`` (the id of another text) is
-    passed over; where ``k`` is null it is filled in.
+    ``docs``: ``t, doc_id, tk`` and one column ``told`` per level but the last.
     """
+    told = [f"told{i}" for i in range(len(levels) - 1)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHash(0)
         for rows in _chunks(batches):
-            keys = [_key(r[0]) for r in rows]
-            some = [(r, k) for r, k in zip(rows, keys, strict=True) if len(r[0]) >= window and r[2] in (None, k)]
-            if not some:
-                continue
-            c = Chunk([r[0] for r, _ in some], hashed, window, levels,
-                      [[r[3 + i] for r, _ in some] for i in range(len(levels) - 1)])
-            free = c.free()
+            c = Chunk([r[0] for r in rows], window, levels, [[r[3 + i] for r in rows] for i in range(len(told))])
             names = pa.ListArray.from_arrays(pa.array(c.cut, pa.int32()), pa.array(c.name.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[1] for r, _ in some], pa.int64()), pa.array([k for _, k in some], pa.binary()),
-                 pa.array(free), names], names=["doc_id", "k", "free", "names"])
+                [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()),
+                 pa.array(c.free()), names], names=["doc_id", "tk", "free", "names"])
 
-    return docs.mapInArrow(run, "doc_id long, k binary, free boolean, names array<long>")
+    return docs.select("t", "doc_id", "tk", *told).mapInArrow(
+        run, "doc_id long, tk binary, free boolean, names array<long>")
 
 
 def told_of(names: DataFrame) -> DataFrame:
@@ -328,7 +324,7 @@ def told_of(names: DataFrame) -> DataFrame:
                  pa.array(place[hit].astype(np.int32)), pa.array(name[hit])], names=["rid", "doc_id", "at", "name"])
 
     passed = names.select("rid", "doc_id", "names").mapInArrow(run, "rid long, doc_id long, at int, name long")
-    known = hot_join(passed, shared, ["name"], "copies").where("lo IS NOT NULL")
+    known = hot_join(passed, shared, ["name"], "copies", ["rid", "at"]).where("lo IS NOT NULL")
     return known.groupBy("rid").agg(F.sort_array(F.collect_list(
         F.col("at") * 2 + (F.col("lo") < F.col("doc_id")).cast("int"))).alias("told"))
 
@@ -336,48 +332,42 @@ def told_of(names: DataFrame) -> DataFrame:
 def open_windows(live: DataFrame, window: int, levels: list[int], lower_only: bool) -> DataFrame:
     """``x, y, doc_id, rid, at``: 128-bit name and place of every window left open.
 
-    ``live``: ``t, doc_id, k, rid`` and one column ``told`` per level. With
+    ``live``: ``t, doc_id, rid`` and one column ``told`` per level. With
     ``lower_only``, only windows that a smaller document may hold.
     """
+    told = [f"told{i}" for i in range(len(levels))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, second = WordHash(0), WordHash(1)
         for rows in _chunks(batches):
-            rows = [r for r in rows if len(r[0]) >= window and _key(r[0]) == r[2]]
-            if not rows:
-                continue
-            c = Chunk([r[0] for r in rows], hashed, window, levels,
-                      [[r[4 + i] for r in rows] for i in range(len(levels))])
+            c = Chunk([r[0] for r in rows], window, levels, [[r[3 + i] for r in rows] for i in range(len(told))])
             at = np.flatnonzero(c.lower if lower_only else c.open)
-            x = window_names(c.words, at, window)
-            y = window_names(second.of([w for r in rows for w in r[0]]), at, window)
-            doc = np.searchsorted(c.bounds, at, side="right") - 1
-            ids, rids = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 3))
+            x, y = (window_names(w, at, window) for w in (c.laid.words, c.laid.hashed(1)))
+            doc = np.searchsorted(c.laid.begin, at, side="right") - 1
+            ids, rids = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(ids[doc]), pa.array(rids[doc]),
-                 pa.array((at - c.bounds[doc]).astype(np.int32))], names=["x", "y", "doc_id", "rid", "at"])
+                 pa.array((at - c.laid.begin[doc]).astype(np.int32))], names=["x", "y", "doc_id", "rid", "at"])
 
-    return live.mapInArrow(run, "x long, y long, doc_id long, rid long, at int")
+    return live.select("t", "doc_id", "rid", *told).mapInArrow(run, "x long, y long, doc_id long, rid long, at int")
 
 
 def without(rows: DataFrame, window: int) -> DataFrame:
-    """``doc_id, k, n_removed, kept_sha256`` of documents (``t, doc_id, k, hits``) less their repeated windows."""
+    """``doc_id, tk, n_removed, kept_sha256`` of documents (``t, doc_id, tk, hits``) less their repeated windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t, i, k, hits in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                words = split(t.as_py())
-                if _key(words) != k:
-                    continue
-                at = np.array(hits, dtype=np.int64)
+            counts, digests = [], []
+            for t, hits in zip(batch.column(0), batch.column(3), strict=True):
+                words = t.as_py().encode().split()
+                at = hits.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 gone = _spread(len(words), at, at + window - 1) > 0
-                kept = b" ".join([words[j] for j in np.flatnonzero(~gone).tolist()])
-                out.append((i, k, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
+                counts.append(int(gone.sum()))
+                digests.append(hashlib.sha256(b" ".join([words[j] for j in np.flatnonzero(~gone).tolist()])).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.string()), strict=True)],
-                names=["doc_id", "k", "n_removed", "kept_sha256"])
+                [batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.string())],
+                names=["doc_id", "tk", "n_removed", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, k binary, n_removed long, kept_sha256 string")
+    return rows.select("t", "doc_id", "tk", "hits").mapInArrow(
+        run, "doc_id long, tk binary, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -394,42 +384,39 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     worked on whole; an empty table gives no row; other columns are ignored.
     """
     levels = levels_for(window) if levels is None else levels
-    docs = docs.select(F.col(text).alias("t"), F.col(key).cast("long").alias("doc_id"))
+    docs = docs.select(F.col(text).alias("t"), F.col(key).cast("long").alias("doc_id"),
+                       text_key(F.coalesce(text, F.lit(""))).alias("tk"))
     known = docs.where("doc_id IS NOT NULL AND t IS NOT NULL")
     meta = landed(word_counts(docs), "repeat-meta")
     copies = landed(meta.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("k").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeat-copies")
+    fate = landed(hot_join(meta, copies, ["k"], "copies", ["doc_id"]).select(
+        "doc_id", "tk", "k", "n_words", F.coalesce((F.col("rep") < F.col("doc_id")) & (F.col("n_words") >= window),
+                                                   F.lit(False)).alias("copy")), "repeat-fate")
 
-    live, names = None, anchor_names(known.withColumn("k", F.lit(None).cast("binary")), window, levels[:1])
-    names = hot_join(names, copies, ["k"], "copies").where("rep IS NULL OR rep = doc_id")
+    live, told = known, []
     for n in range(len(levels)):
-        if n:
-            names = anchor_names(live.drop("rid"), window, levels[:n + 1])
-        names = landed(names.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "k", "free", "names"),
-                       "repeat-names")
-        state = names.select("rid", "doc_id", "k", "free").join(told_of(names), "rid", "left") \
-            .where("free OR told IS NOT NULL").dropDuplicates(["doc_id", "k"])
-        state = landed(state.select("doc_id", "k", F.col("told").alias(f"told{n}")), "repeat-state")
-        old = known.select("t", "doc_id") if live is None else live.drop("rid")
-        live = old.join(state, ["doc_id"] if n == 0 else ["doc_id", "k"])
-        live = live.select("t", "doc_id", "k", *[f"told{i}" for i in range(n + 1)])
+        names = anchor_names(live, window, levels[:n + 1])
         if n == 0:
-            live = landed(live, "repeat-live", "zstd")
-    live = landed(live.withColumn("rid", F.monotonically_increasing_id()), "repeat-live", "zstd")
-    told = [f"told{i}" for i in range(len(levels))]
-    live = live.select("t", "doc_id", "k", "rid", *told)
+            names = names.join(fate.where("copy").select("doc_id", "tk").distinct(), ["doc_id", "tk"], "left_anti")
+        names = landed(names.where("free OR size(names) > 0").withColumn("rid", F.monotonically_increasing_id()),
+                       "repeat-names")
+        state = names.select("rid", "doc_id", "tk", "free").join(told_of(names), "rid", "left") \
+            .where("free OR told IS NOT NULL").dropDuplicates(["doc_id", "tk"])
+        state = landed(state.select("doc_id", "tk", F.col("told").alias(f"told{n}")), "repeat-state")
+        told = [f"told{i}" for i in range(n + 1)]
+        live = live.join(state, ["doc_id", "tk"]).select("t", "doc_id", "tk", *told)
+        live = landed(live.withColumn("rid", F.monotonically_increasing_id()), "repeat-live", "zstd")
 
     held = open_windows(live, window, levels, False).groupBy("x", "y").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("copies"))
     held = landed(held.where("lo < hi").drop("hi"), "repeat-held")
-    hits = hot_join(open_windows(live, window, levels, True), held, ["x", "y"], "copies").where("lo < doc_id") \
-        .groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("hits"))
-    cut = without(live.join(hits, "rid").select("t", "doc_id", "k", "hits"), window).dropDuplicates(["doc_id", "k"])
+    hits = hot_join(open_windows(live, window, levels, True), held, ["x", "y"], "copies", ["rid", "at"]) \
+        .where("lo < doc_id").groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("hits"))
+    cut = without(live.join(hits, "rid"), window).dropDuplicates(["doc_id", "tk"])
 
-    fate = hot_join(meta, copies, ["k"], "copies")
-    copy = F.coalesce((F.col("rep") < F.col("doc_id")) & (F.col("n_words") >= window), F.lit(False))
-    return fate.join(cut, ["doc_id", "k"], "left").select(
+    return fate.join(cut, ["doc_id", "tk"], "left").select(
         "doc_id", "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest()))
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest()))
         .otherwise(F.coalesce("kept_sha256", F.lower(F.hex("k")))).alias("kept_sha256"))

@@ -83,17 +83,20 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column
 HOT_SHARE = 2048
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], copies: str) -> DataFrame:
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], copies: str, spread: list[str]) -> DataFrame:
     """``rows`` left-joined to ``facts`` (one row per ``keys``), whatever share of the rows a key holds.
 
     ``copies`` counts a key's rows. The facts of keys with more than one row in
-    ``HOT_SHARE`` are at most that many and are broadcast; their rows stay where
-    they are. The rest is shuffled by key.
+    ``HOT_SHARE`` are at most that many and are broadcast. Their rows get a
+    salt from the ``spread`` columns, so the shuffle of the rest deals them to
+    all tasks. ``rows`` is computed once.
     """
     total = facts.agg(F.sum(copies)).first()[0] or 0
     is_hot = F.col(copies) * HOT_SHARE > total
-    hot, cold = facts.where(is_hot), facts.where(~is_hot)
-    flagged = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
-    near = flagged.where("_hot").drop("_hot").join(F.broadcast(hot), keys, "left")
-    far = flagged.where("_hot IS NULL").drop("_hot").join(cold, keys, "left")
-    return near.unionByName(far)
+    given = [c for c in facts.columns if c not in keys]
+    hot = facts.where(is_hot).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in given])
+    cold = facts.where(~is_hot).withColumn("_salt", F.lit(0))
+    salt = F.when(F.col(f"_hot_{copies}").isNotNull(), 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(0)
+    both = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("int")) \
+        .join(cold, [*keys, "_salt"], "left")
+    return both.select(*rows.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in given])

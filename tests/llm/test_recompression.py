@@ -76,10 +76,10 @@ def test_removal_agrees_with_a_scan_of_all_windows(spark, seed, window, vocabula
 def test_levels_and_hot_joins_change_the_work_only(spark, monkeypatch):
     rows = corpus(5)
     want = brute(rows, 12)
-    monkeypatch.setattr(R, "CHUNK_WORDS", 150)
+    monkeypatch.setattr(R, "CHUNK_BYTES", 400)
     assert found(R.remove_repeats(frame(spark, rows), window=12, levels=[1])) == want
     monkeypatch.setattr(util, "HOT_SHARE", 0)
-    assert found(R.remove_repeats(frame(spark, rows), window=12, levels=[1, 2, 4])) == want
+    assert found(R.remove_repeats(frame(spark, rows), window=12, levels=[4, 1, 2])) == want
 
 
 def test_one_very_long_document_and_an_empty_table(spark):
@@ -103,20 +103,26 @@ def test_anchors_stand_wherever_their_words_occur():
         starts = []
         for d in docs:
             starts.append(next(i for i in range(len(d) - 59) if (d[i:i + 60] == core).all()))
-        bounds = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
-        words = R.bloom.mixed(np.concatenate(docs).astype(np.uint64) + np.uint64(trial))
-        s = R.Symbols(words, bounds, 25)
+        laid = R.Laid([" ".join(f"{trial}.{x}" for x in d).encode() for d in docs])
+        s = R.Symbols(laid, 25)
         for _ in range(7):
             s.up()
-            seen = []
+            held, seen = [], []
             for k, at in enumerate(starts):
-                begin = bounds[k] + at
-                mine = (s.doc == k) & (s.low >= begin) & (s.high <= begin + 60)
-                seen.append(set(zip(s.name[mine].tolist(), (s.start[mine] - begin).tolist(),
-                                    (s.end[mine] - begin).tolist(), strict=True)))
-            held = [{(n, b, e) for n, b, e in zip(s.name[s.doc == k].tolist(),
-                                                  (s.start[s.doc == k] - bounds[k] - at).tolist(),
-                                                  (s.end[s.doc == k] - bounds[k] - at).tolist(), strict=True)}
-                    for k, at in enumerate(starts)]
+                begin = laid.begin[k] + at
+                mine = (s.start >= laid.begin[k]) & (s.end <= laid.end[k])
+                rows = list(zip(s.name[mine].tolist(), (s.start[mine] - begin).tolist(), (s.end[mine] - begin).tolist(),
+                                ((s.low[mine] >= begin) & (s.high[mine] <= begin + 60)).tolist(), strict=True))
+                held.append({r[:3] for r in rows})
+                seen.append({r[:3] for r in rows if r[3]})
             for anchors in seen:
                 assert all(anchors <= h for h in held)
+
+
+def test_words_are_runs_without_ascii_white_space():
+    texts = [b"", b"  a bb\tccc\x0b\x0c d\r\n", "\x1ce\u00a0f\u3000 \x85".encode(), b" ", b"a"]
+    laid = R.Laid(texts)
+    assert (laid.end - laid.begin).tolist() == [len(t.split()) for t in texts]
+    got = [laid.words[b:e].tolist() for b, e in zip(laid.begin, laid.end, strict=True)]
+    assert got[1][0] == got[4][0] and len({*got[1], *got[2]}) == 6 and (laid.words == 0).sum() == len(texts) + 1
+    assert not set(got[1]) & set(laid.hashed(1)[laid.begin[1]:laid.end[1]].tolist())
