@@ -19,7 +19,7 @@ BITS_PER_KEY = 16
 MAX_BYTES = 32 << 20
 LANES, BLOCK_BYTES = 8, 32
 #: Blocks that one task group builds.
-CHUNK_BLOCKS = 2048
+CHUNK_BLOCKS = 256
 
 _32, _27 = np.uint64(32), np.uint32(27)
 

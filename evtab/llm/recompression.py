@@ -63,9 +63,10 @@ def levels_for(window: int) -> list[int]:
     """Levels of the Spark rounds: long symbols first, then shorter ones.
 
     Symbols grow by a third a level, and one looks at three times its words. At
-    the first level, symbols have about a fifth of the window.
+    the first level, symbols have about 3 / 20 of the window and nearly all
+    windows hold an anchor; those without wait for the next level.
     """
-    first = max(1, round(float(np.log(max(window, 7) / 5) / np.log(4 / 3))))
+    first = max(1, round(float(np.log(max(window, 7) * 0.15) / np.log(4 / 3))))
     return sorted({first, max(1, first - 2)}, reverse=True)
 
 
@@ -329,26 +330,56 @@ def told_of(names: DataFrame) -> DataFrame:
         F.col("at") * 2 + (F.col("lo") < F.col("doc_id")).cast("int"))).alias("told"))
 
 
-def open_windows(live: DataFrame, window: int, levels: list[int], lower_only: bool) -> DataFrame:
-    """``x, y, doc_id, rid, at``: 128-bit name and place of every window left open.
+def _edges(mask: np.ndarray) -> list[int]:
+    """Begins and ends of the stretches that are set, in turn."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
 
-    ``live``: ``t, doc_id, rid`` and one column ``told`` per level. With
-    ``lower_only``, only windows that a smaller document may hold.
+
+def open_ranges(live: DataFrame, window: int, levels: list[int]) -> DataFrame:
+    """``t, doc_id, tk, open, lower`` of the documents with windows left open: stretches of those windows' first words.
+
+    ``live``: ``t, doc_id, tk`` and one column ``told`` per level.
     """
     told = [f"told{i}" for i in range(len(levels))]
+    ints = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _chunks(batches):
             c = Chunk([r[0] for r in rows], window, levels, [[r[3 + i] for r in rows] for i in range(len(told))])
-            at = np.flatnonzero(c.lower if lower_only else c.open)
-            x, y = (window_names(w, at, window) for w in (c.laid.words, c.laid.hashed(1)))
-            doc = np.searchsorted(c.laid.begin, at, side="right") - 1
+            out = []
+            for r, b, e in zip(rows, c.laid.begin.tolist(), c.laid.end.tolist(), strict=True):
+                if c.open[b:e].any():
+                    out.append((r[0], r[1], r[2], _edges(c.open[b:e]), _edges(c.lower[b:e])))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.binary()).cast(pa.string()), pa.array(cols[1], pa.int64()),
+                 pa.array(cols[2], pa.binary()), pa.array(cols[3], ints), pa.array(cols[4], ints)],
+                names=["t", "doc_id", "tk", "open", "lower"])
+
+    return live.select("t", "doc_id", "tk", *told).mapInArrow(
+        run, "t string, doc_id long, tk binary, open array<int>, lower array<int>")
+
+
+def windows(live: DataFrame, window: int, stretches: str) -> DataFrame:
+    """``x, y, doc_id, rid, at``: 128-bit name and place of the windows in ``open`` or ``lower`` stretches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _chunks(batches):
+            laid = Laid([r[0] for r in rows])
+            mask = np.zeros(len(laid.words) + 1, dtype=np.int64)
+            for r, b in zip(rows, laid.begin.tolist(), strict=True):
+                edges = np.array(r[3], dtype=np.int64) + b
+                mask[edges[0::2]] += 1
+                mask[edges[1::2]] -= 1
+            at = np.flatnonzero(np.cumsum(mask))
+            x, y = (window_names(w, at, window) for w in (laid.words, laid.hashed(1)))
+            doc = np.searchsorted(laid.begin, at, side="right") - 1
             ids, rids = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(ids[doc]), pa.array(rids[doc]),
-                 pa.array((at - c.laid.begin[doc]).astype(np.int32))], names=["x", "y", "doc_id", "rid", "at"])
+                 pa.array((at - laid.begin[doc]).astype(np.int32))], names=["x", "y", "doc_id", "rid", "at"])
 
-    return live.select("t", "doc_id", "rid", *told).mapInArrow(run, "x long, y long, doc_id long, rid long, at int")
+    return live.where(F.size(stretches) > 0).select("t", "doc_id", "rid", stretches).mapInArrow(
+        run, "x long, y long, doc_id long, rid long, at int")
 
 
 def without(rows: DataFrame, window: int) -> DataFrame:
@@ -406,12 +437,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         state = landed(state.select("doc_id", "tk", F.col("told").alias(f"told{n}")), "repeat-state")
         told = [f"told{i}" for i in range(n + 1)]
         live = live.join(state, ["doc_id", "tk"]).select("t", "doc_id", "tk", *told)
-        live = landed(live.withColumn("rid", F.monotonically_increasing_id()), "repeat-live", "zstd")
+        if n < len(levels) - 1:
+            live = landed(live, "repeat-live", "zstd")
+    live = landed(open_ranges(live, window, levels).withColumn("rid", F.monotonically_increasing_id()),
+                  "repeat-live", "zstd")
 
-    held = open_windows(live, window, levels, False).groupBy("x", "y").agg(
+    held = windows(live, window, "open").groupBy("x", "y").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("copies"))
     held = landed(held.where("lo < hi").drop("hi"), "repeat-held")
-    hits = hot_join(open_windows(live, window, levels, True), held, ["x", "y"], "copies", ["rid", "at"]) \
+    hits = hot_join(windows(live, window, "lower"), held, ["x", "y"], "copies", ["rid", "at"]) \
         .where("lo < doc_id").groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("hits"))
     cut = without(live.join(hits, "rid"), window).dropDuplicates(["doc_id", "tk"])
 
