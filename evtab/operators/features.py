@@ -13,20 +13,31 @@ Column numbers follow the alphabetical order of the kept terms.
 Feature blocks, in order: bow_before, bow_after (text vocabulary wide),
 word_-L..word_R (text), pos_-L..pos_R (POS). A word outside the vocabulary
 adds no cell (nor its POS cell); a POS tag never seen in training adds none.
+
+A vocabulary of the most frequent terms is found by thresholds (``top_terms``):
+the long tail of terms is counted where its rows are and never shuffled. Cells
+are built from one small record per (row, term): its count, its counts before
+and after the verb and the window positions it holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtab.functions.text import ws_tokens
 
 
+#: Different terms a task counts at a time, and candidates looked up in one pass.
+LOCAL_TERMS, CANDIDATES = 500_000, 200_000
+
+
 def sorted_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     """Exact 0-based position of every row in ``order``.
 
@@ -121,14 +132,123 @@ def term_counts(occ: DataFrame, pos: bool = False) -> DataFrame:
     return occ.groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _index_vocab(stats: DataFrame, n_rows: Column | int) -> DataFrame:
+    voc = sorted_index(stats, ["term"], "idx")
+    n = F.lit(n_rows) if isinstance(n_rows, int) else n_rows
+    return voc.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+
+
 def fit_vocab(tf: DataFrame, n_rows: Column | int, max_features: int | None = None) -> DataFrame:
     """(term, idx, df, cf, idf) from training term frequencies."""
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_features is not None:
         stats = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    voc = sorted_index(stats, ["term"], "idx")
-    n = F.lit(n_rows) if isinstance(n_rows, int) else n_rows
-    return voc.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+    return _index_vocab(stats, n_rows)
+
+
+def _terms(words: str, n_max: int) -> list[str]:
+    """Word n-grams of words joined by one space."""
+    unigrams = words.split(" ") if words else []
+    out = list(unigrams)
+    for n in range(2, n_max + 1):
+        out.extend(map(" ".join, zip(*(unigrams[k:] for k in range(n)))))
+    return out
+
+
+def _local_counts(batches: Iterator[pa.RecordBatch], n_max: int, terms: int) -> Iterator[Counter]:
+    """Term counts of a task's rows (one column of joined words), started anew after ``terms`` different ones."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for w in batch.column(0).to_pylist():
+            counts.update(_terms(w, n_max))
+            if len(counts) >= terms:
+                yield counts
+                counts = Counter()
+    if counts:
+        yield counts
+
+
+def _emitted(rows: DataFrame, n_max: int, pick: Callable[[Counter], list[tuple[str, int]]]) -> DataFrame:
+    """(term, n): what ``pick`` chooses of every local count, and a row without term for each of them."""
+    limit = LOCAL_TERMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for counts in _local_counts(batches, n_max, limit):
+            some = pick(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *(t for t, _ in some)], pa.string()),
+                                              pa.array([1, *(n for _, n in some)], pa.int64())], names=["term", "n"])
+    return rows.mapInArrow(run, "term string, n long")
+
+
+def term_stats(rows: DataFrame, n_max: int, terms: set[str] | None = None) -> DataFrame:
+    """(term, df, cf) of joined words (one string column); of the given terms only, or of all."""
+    limit = LOCAL_TERMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        cf: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cf.keys(), pa.string()),
+                                               pa.array([df[t] for t in cf], pa.int64()),
+                                               pa.array(cf.values(), pa.int64())], names=["term", "df", "cf"])
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                every = _terms(w, n_max)
+                counts = Counter(every if terms is None else filter(terms.__contains__, every))
+                df.update(counts.keys())
+                cf.update(counts)
+                if len(cf) >= limit:
+                    yield out()
+                    df.clear()
+                    cf.clear()
+        if cf:
+            yield out()
+    return rows.mapInArrow(run, "term string, df long, cf long").groupBy("term") \
+        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def top_terms(rows: DataFrame, n_max: int, limit: int) -> DataFrame:
+    """(term, df, cf) of the ``limit`` terms of highest count (ties: term ascending), exactly, by thresholds.
+
+    ``rows``: one string column, a row's words joined by one space. Rows are
+    counted where they are. First every local count names its ``limit`` highest
+    terms; the ``limit``-th highest sum of these, s, is below no top term. Of m
+    local counts, one at least holds s / m of each top term: every local count
+    names the terms it holds that often. Sums of these again bound what is
+    left, and the terms that can still be among the top are counted in full.
+    """
+    def nth(sums: DataFrame) -> tuple[int, int]:
+        """The ``limit``-th highest sum (0 where there are fewer) and the number of local counts."""
+        got = sums.where("term IS NOT NULL").orderBy(F.desc("s")).limit(limit) \
+            .agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("c")).first()
+        counts = sums.where("term IS NULL").agg(F.sum("s")).first()[0] or 0
+        return (got["s"] if got["c"] == limit else 0), counts
+
+    first = _emitted(rows, n_max, lambda c: c.most_common(limit)).groupBy("term").agg(F.sum("n").alias("s"))
+    least, parts = nth(first.checkpoint())
+    while True:
+        share = max(1, least // max(parts, 1))
+        named = _emitted(rows, n_max, lambda c, share=share: [(t, n) for t, n in c.items() if n >= share]) \
+            .groupBy("term").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("held")).checkpoint()
+        bound, now = nth(named)
+        if share == 1 or share * now <= least:       # cut into more local counts than before: a lower share
+            break
+        parts = now
+    # a local count that did not name a term holds fewer than ``share`` of it
+    able = named.where(F.col("term").isNotNull() & (
+        F.col("s") + (F.lit(now) - F.col("held")) * (share - 1) >= F.lit(max(bound, least)))).select("term")
+    n_able = able.count()
+    if share == 1:                                   # everything was named: sums are counts
+        able = named.where("term IS NOT NULL").orderBy(F.desc("s"), F.asc("term")).limit(limit).select("term")
+        n_able = min(limit, n_able)
+    passes = max(1, -(-n_able // CANDIDATES))
+    stats = None
+    for k in range(passes):                          # at most about CANDIDATES terms are sent to the tasks at a time
+        mine = able.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)
+        got = term_stats(rows, n_max, {r["term"] for r in mine.collect()})
+        stats = got if stats is None else stats.unionByName(got)
+    return stats.orderBy(F.desc("cf"), F.asc("term")).limit(limit)
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -149,12 +269,6 @@ class FittedFeatures:
     right: int
     include_bow: bool
     ngram_max: int
-    held: list = field(default_factory=list)   # tables persisted by fit_transform
-
-    def release(self) -> None:
-        """Free what ``fit_transform`` persisted, once its results are written."""
-        while self.held:
-            self.held.pop().unpersist()
 
     @property
     def block_offsets(self) -> dict[str, int]:
@@ -184,108 +298,150 @@ class FittedFeatures:
 class PositionalFeatures:
     """fit / transform / fit_transform over prepared rows (see ``prepare_rows``).
 
-    ``fit_transform`` shares one occurrence table between the fit and the
-    transform: rows are shuffled once, and per-row tf and norms stay inside
-    their partitions. Vocabulary joins carry no hint: the engine broadcasts a
-    vocabulary whose measured bytes are small and shuffles otherwise."""
+    The fit reads the words of the training rows, first for the vocabularies,
+    then for the columns that occur; no value is computed for it. The transform
+    keeps one record per (row, vocabulary term) and one per (row, tag), and
+    norms are sums over a row's records. Vocabulary joins carry no hint: the
+    engine broadcasts a vocabulary whose measured bytes are small and shuffles
+    otherwise."""
 
     def __init__(self, left: int = 2, right: int = 2, include_bow: bool = False,
                  max_features: int | None = 3000, ngram_range: tuple[int, int] = (1, 1)):
         if ngram_range[0] != 1:
             raise ValueError("ngram ranges must start at 1")
+        if left + right + 1 > 63:
+            raise ValueError("a window has at most 63 positions")
         self.left, self.right, self.include_bow = left, right, include_bow
         self.max_features, self.ngram_max = max_features, ngram_range[1]
 
     def occurrences(self, rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return occurrences(rows, self.ngram_max, carry)
 
-    def _fit_occ(self, occ: DataFrame, n_rows: int) -> FittedFeatures:
-        vocab = fit_vocab(term_counts(occ), n_rows, self.max_features)     # checkpointed by its index
-        pos_vocab = fit_vocab(term_counts(occ, pos=True), n_rows, None)
-        n_vocab, n_pos = vocab.count(), pos_vocab.count()
-        part = FittedFeatures(vocab, pos_vocab, None, n_vocab, n_pos, self.left, self.right,
-                              self.include_bow, self.ngram_max)
-        cells = self.raw_cells(occ, part)
-        part.kept = sorted_index(cells.filter(F.col("value") != 0).select("col").distinct(), ["col"], "fidx")
-        return part
-
-    def scored(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
-        """Occurrences of vocabulary terms with their tf-idf value ``wval``;
-        unigrams also carry their POS cell (``pidx``, ``pval``)."""
-        by_term = Window.partitionBy("row", "term")
-        by_tag = Window.partitionBy("row", "tag")
-        by_row = Window.partitionBy("row")
-        o = occ.withColumn("tf", F.count(F.lit(1)).over(by_term)) \
-               .withColumn("ptf", F.count("tag").over(by_tag))
-        pv = fitted.pos_vocab.select(F.col("term").alias("tag"), F.col("idx").alias("pidx"), F.col("idf").alias("pidf"))
-        o = o.join(pv, "tag", "left")
-        pw = F.col("ptf") * F.col("pidf")
-        # sum over occurrences of ptf * pidf^2 = sum over distinct tags of (ptf * pidf)^2
-        o = o.withColumn("pval", pw / F.sqrt(F.sum(F.when(F.col("uni"), pw * F.col("pidf"))).over(by_row)))
-        tv = fitted.vocab.select("term", F.col("idx").alias("widx"), "idf")
-        o = o.join(tv, "term")
-        tw = F.col("tf") * F.col("idf")
-        return o.withColumn("wval", tw / F.sqrt(F.sum(tw * F.col("idf")).over(by_row)))
-
-    def raw_cells(self, occ: DataFrame, fitted: FittedFeatures, carry: tuple[str, ...] = ()) -> DataFrame:
-        """(row, carry..., col, value) before column pruning; duplicate cells
-        summed. ``carry`` columns must be functions of the row."""
-        o = self.scored(occ, fitted).filter(F.col("uni"))
+    def vocabulary(self, train_rows: DataFrame, n_rows: int) -> DataFrame:
+        """(term, idx, df, cf, idf) of the text."""
+        words = train_rows.select(F.array_join("words", " "))
+        stats = term_stats(words, self.ngram_max) if self.max_features is None else \
+            top_terms(words, self.ngram_max, self.max_features)
+        return _index_vocab(stats, n_rows)
+
+    def fit(self, train_rows: DataFrame) -> FittedFeatures:
+        """Vocabularies and kept columns; ``train_rows`` are read several times."""
+        n_rows = train_rows.count()
+        vocab = self.vocabulary(train_rows, n_rows)                   # checkpointed by its index
+        pos_vocab = _index_vocab(term_stats(train_rows.select(F.array_join("tags", " ")), 1), n_rows)
+        fitted = FittedFeatures(vocab, pos_vocab, None, vocab.count(), pos_vocab.count(), self.left, self.right,
+                                self.include_bow, self.ngram_max)
+        fitted.kept = sorted_index(self._columns(train_rows, fitted), ["col"], "fidx")
+        return fitted
+
+    def _word_places(self, rows: DataFrame, carry: list[str]) -> DataFrame:
+        """(carry..., verb_idx, p, term, tag): the words of rows with their place."""
+        z = F.arrays_zip(F.col("words").alias("term"), F.col("tags").alias("tag"))
+        return rows.select(*carry, "verb_idx", F.posexplode(z).alias("p", "z")).select(
+            *carry, "verb_idx", "p", F.col("z.term").alias("term"), F.col("z.tag").alias("tag"))
+
+    def _window(self) -> Column:
+        """The bit of a word's window position; 0 outside the window."""
+        bits = F.array(*[F.lit(1 << k).cast("long") for k in range(self.left + self.right + 1)])
+        return F.coalesce(F.get(bits, F.col("p") - F.col("verb_idx") + self.left), F.lit(0).cast("long"))
+
+    def _positions(self, bits: Column) -> Column:
+        """Window positions (from 0) whose bit is set."""
+        every = F.sequence(F.lit(0), F.lit(self.left + self.right))
+        return F.filter(every, lambda k: F.getbit(bits, k) == 1)
+
+    def _columns(self, rows: DataFrame, fitted: FittedFeatures) -> DataFrame:
+        """(col): the unpruned columns that some row has a cell in. Presence only: every cell is above zero."""
         v, p, span = fitted.n_vocab, fitted.n_pos, self.left + self.right + 1
         d = F.col("p") - F.col("verb_idx")
-        k = d + self.left
-        in_win = d.between(-self.left, self.right)
-        null_cell = F.lit(None).cast("struct<col:long,value:double>")
-
-        def cell(cond, col, val):
-            return F.when(cond, F.struct(col.cast("long").alias("col"), val.cast("double").alias("value"))) \
-                .otherwise(null_cell)
-        cells = [
-            cell(in_win, 2 * v + k * v + F.col("widx"), F.col("wval")),
-            cell(in_win & F.col("pidx").isNotNull(), 2 * v + span * v + k * p + F.col("pidx"), F.col("pval")),
-        ]
+        words = self._word_places(rows, []).select(
+            "term", "tag", self._window().alias("bit"), (d < 0).alias("b"), (d > 0).alias("a"))
+        if not self.include_bow:
+            words = words.where("bit <> 0")
+        tv = fitted.vocab.select("term", F.col("idx").alias("widx"))
+        seen = words.join(tv, "term").groupBy("widx").agg(
+            F.bit_or("bit").alias("bits"), F.max("b").alias("b"), F.max("a").alias("a"))
+        none = F.array().cast("array<long>")
+        cols = F.transform(self._positions(F.col("bits")), lambda k: 2 * v + k * v + F.col("widx"))
         if self.include_bow:
-            cells += [cell(d < 0, F.col("widx"), F.col("wval")), cell(d > 0, v + F.col("widx"), F.col("wval"))]
-        c = o.select("row", *carry, F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
-        return c.groupBy("row", *carry, F.col("c.col").alias("col")).agg(F.sum("c.value").alias("value"))
+            cols = F.concat(cols, F.when(F.col("b"), F.array("widx")).otherwise(none),
+                            F.when(F.col("a"), F.array(v + F.col("widx"))).otherwise(none))
+        pv = fitted.pos_vocab.select(F.col("term").alias("tag"), F.col("idx").alias("pidx"))
+        tags = words.where("bit <> 0").join(tv.select("term"), "term").join(pv, "tag").groupBy("pidx").agg(
+            F.bit_or("bit").alias("bits"))
+        pos = F.transform(self._positions(F.col("bits")), lambda k: 2 * v + span * v + k * p + F.col("pidx"))
+        return seen.select(F.explode(cols.cast("array<long>")).alias("col")).unionByName(
+            tags.select(F.explode(pos.cast("array<long>")).alias("col")))
+
+    def term_values(self, rows: DataFrame, vocab: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+        """One record per (row, vocabulary term): ``idx``, tf-idf ``value``, and of the single word its counts
+        ``nb`` before and ``na`` after the verb and its window ``bits``; ``held``: bits of all terms of the row."""
+        carry = [c for c in carry if c in rows.columns]
+        z = ngrams(F.col("words"), self.ngram_max)
+        o = rows.select("row", *carry, "verb_idx", F.size("words").alias("_nw"), F.posexplode(z).alias("p", "term"))
+        single = F.col("p") < F.col("_nw")
+        d = F.col("p") - F.col("verb_idx")
+        t = o.join(vocab.select("term", "idx", "idf"), "term").groupBy("row", *carry, "term", "idx", "idf").agg(
+            F.count(F.lit(1)).alias("tf"), F.count_if(single & (d < 0)).alias("nb"),
+            F.count_if(single & (d > 0)).alias("na"),
+            F.bit_or(F.when(single, self._window()).otherwise(F.lit(0).cast("long"))).alias("bits"))
+        w = F.col("tf") * F.col("idf")
+        per_row = Window.partitionBy("row")
+        return t.withColumn("held", F.bit_or("bits").over(per_row)) \
+            .withColumn("value", w / F.sqrt(F.sum(w * w).over(per_row)))
+
+    def tag_values(self, rows: DataFrame, fitted: FittedFeatures) -> DataFrame:
+        """One record per (row, known tag): ``idx``, tf-idf ``value``, window ``bits``."""
+        words = self._word_places(rows, ["row"])
+        pv = fitted.pos_vocab.select(F.col("term").alias("tag"), "idx", "idf")
+        t = words.groupBy("row", "tag").agg(F.count(F.lit(1)).alias("tf"), F.bit_or(self._window()).alias("bits")) \
+            .join(pv, "tag")
+        w = F.col("tf") * F.col("idf")
+        return t.withColumn("value", w / F.sqrt(F.sum(w * w).over(Window.partitionBy("row"))))
+
+    def raw_cells(self, rows: DataFrame, fitted: FittedFeatures, carry: tuple[str, ...] = ()) -> DataFrame:
+        """(row, carry..., col, value) before column pruning. ``carry`` columns must be functions of the row."""
+        v, p, span = fitted.n_vocab, fitted.n_pos, self.left + self.right + 1
+        carry = [c for c in carry if c in rows.columns]
 
-    def text_tfidf(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
+        def cells(places: Column, col: Callable[[Column], Column]) -> Column:
+            return F.transform(places, lambda k: F.struct(col(k).cast("long").alias("col"), F.col("value")))
+        terms = self.term_values(rows, fitted.vocab, tuple(carry))
+        made = cells(self._positions(F.col("bits")), lambda k: 2 * v + k * v + F.col("idx"))
+        if self.include_bow:
+            none = F.array().cast("array<struct<col:bigint,value:double>>")
+            for n, start in (("nb", 0), ("na", v)):
+                one = F.array(F.struct((F.col("idx") + start).cast("long").alias("col"),
+                                       (F.col("value") * F.col(n)).alias("value")))
+                made = F.concat(made, F.when(F.col(n) > 0, one).otherwise(none))
+        words = terms.select("row", *carry, F.explode(made).alias("c"))
+        # a position has a POS cell where its word is in the vocabulary
+        held = terms.groupBy("row", *carry).agg(F.first("held").alias("held")).where("held <> 0")
+        tags = self.tag_values(rows, fitted).where("bits <> 0").join(held, "row").select("row", *carry, F.explode(cells(
+            self._positions(F.col("bits").bitwiseAND(F.col("held"))),
+            lambda k: 2 * v + span * v + k * p + F.col("idx"))).alias("c"))
+        return words.unionByName(tags).select("row", *carry, F.col("c.col").alias("col"), F.col("c.value").alias("value"))
+
+    def text_tfidf(self, rows: DataFrame, vocab: DataFrame) -> DataFrame:
         """(row, term, idx, value) per distinct vocabulary term of a row."""
-        s = self.scored(occ, fitted)
-        return s.groupBy("row", "term").agg(F.first("widx").alias("idx"), F.first("wval").alias("value"))
+        return self.term_values(rows, vocab).select("row", "term", "idx", "value")
 
-    def final_cells(self, occ: DataFrame, fitted: FittedFeatures) -> DataFrame:
-        cells = self.raw_cells(occ, fitted)
+    def transform(self, rows: DataFrame, fitted: FittedFeatures) -> DataFrame:
+        cells = self.raw_cells(rows, fitted)
         return cells.join(fitted.kept, "col").select("row", F.col("fidx").alias("col"), "value")
 
-    def fit(self, train_rows: DataFrame) -> FittedFeatures:
-        return self._fit_occ(self.occurrences(train_rows), train_rows.count())
-
-    def transform(self, rows: DataFrame, fitted: FittedFeatures) -> DataFrame:
-        return self.final_cells(self.occurrences(rows), fitted)
+    def landed(self, rows: DataFrame) -> DataFrame:
+        """Prepared rows written once to the checkpoint folder: fit and transform read them several times."""
+        from evtab.session import checkpoint_dir
+        checkpoint_dir(rows.sparkSession, fallback=_local_fallback(rows.sparkSession))
+        return rows.checkpoint(eager=True)
 
     def fit_transform(self, rows: DataFrame, is_train: Column) -> tuple[FittedFeatures, DataFrame, DataFrame]:
         """Fit on the rows where ``is_train`` holds, transform all rows.
-        Returns (fitted, cells, occurrences). Occurrences and unpruned cells are
-        persisted once and shared by fit and transform; ``fitted.release()``
-        frees them."""
-        from pyspark import StorageLevel
-        keep = StorageLevel.MEMORY_AND_DISK
-        r = rows.withColumn("_train", is_train)
-        n_train = r.filter(F.col("_train")).count()
-        occ = self.occurrences(r, carry=("_train",)).persist(keep)
-        train_occ = occ.filter(F.col("_train"))
-        vocab = fit_vocab(term_counts(train_occ), n_train, self.max_features)
-        pos_vocab = fit_vocab(term_counts(train_occ, pos=True), n_train, None)
-        fitted = FittedFeatures(vocab, pos_vocab, None, vocab.count(), pos_vocab.count(), self.left, self.right,
-                                self.include_bow, self.ngram_max)
-        fitted.held = [occ]
-        raw = self.raw_cells(occ, fitted, carry=("_train",)).persist(keep)
-        fitted.held.append(raw)
-        kept_cols = raw.filter(F.col("_train") & (F.col("value") != 0)).select("col").distinct()
-        fitted.kept = sorted_index(kept_cols, ["col"], "fidx")
-        cells = raw.join(fitted.kept, "col").select("row", F.col("fidx").alias("col"), "value")
-        return fitted, cells, occ
+        Returns (fitted, cells, rows as written to the checkpoint folder)."""
+        rows = self.landed(rows.withColumn("_train", is_train))
+        fitted = self.fit(rows.filter(F.col("_train")))
+        return fitted, self.transform(rows, fitted), rows
 
 
 def feature_shape(rows: DataFrame, fitted: FittedFeatures, by: str = "split") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Linear SVM with squared hinge loss (l1 or l2 penalty), trained by limited-memory BFGS.
+"""Linear SVM with squared hinge loss (l1 or l2 penalty), trained by proximal Newton steps.
 
 Objective (liblinear's primal, bias as a penalised constant feature):
     R(w) + sum_i c_i * max(0, 1 - y_i (w . x_i + b))^2
@@ -6,27 +6,42 @@ with R = ||w||_1 (l1) or ||w||^2 / 2 (l2), y in {-1, 1} and
 c_i = C * class_weight(y_i) * sample_weight_i.
 
 Spark ML's ``LinearSVC`` minimises plain hinge loss with an l2 penalty only,
-so it cannot reproduce this model. The training rows are grouped once into
-per-row sparse records and checkpointed (lineage cut, survives executor loss).
-Every evaluation is one Spark job: tasks compute their rows' margins and a
-partial gradient, the partials are summed by an aggregate on the feature, and
-the gradient (one number per feature) reaches the driver, which keeps the
-weights and the last few steps. The l1 penalty uses orthant-wise steps
-(pseudo-gradient, no step crosses zero).
+so it cannot reproduce this model. The training rows are packed once into
+blocks of sparse rows, one binary record each, and checkpointed (lineage cut,
+survives executor loss).
+
+The loss is quadratic between the margins where a row starts or stops to
+count, so a step solves the penalised quadratic of the current rows exactly. A
+step takes two jobs: the second derivatives of the working set (features that
+are in the model, or would enter it; at most ``working`` of them), then the
+losses along the step and the gradient at its end. Tasks return partial sums
+in slices that meet in an aggregate; the driver holds one number per feature
+and one small matrix. Features beyond the working set wait for a later step;
+with the l2 penalty, where every feature is in the model, a step beyond it
+is solved by conjugate gradients, one job per product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evtab.operators.features import class_weights
 from evtab.session import checkpoint_dir
 
+#: Rows and cells of a packed block, features of one working set, numbers of one slice of a partial sum.
+BLOCK_ROWS, BLOCK_CELLS = 2048, 2_000_000
+WORKING = 2048
+SLICE = 65536
+#: Step lengths tried in one job.
+STEPS = 0.5 ** np.arange(14)
+
 
 @dataclass
 class LinearModel:
@@ -35,6 +50,7 @@ class LinearModel:
     objective: float
     iterations: int
     converged: bool
+    jobs: int = 0         # passes over the training rows
 
     def weights_df(self, spark) -> DataFrame:
         nz = np.nonzero(self.weights)[0]
@@ -55,119 +71,256 @@ def training_records(cells: DataFrame, rows: DataFrame, C: float = 1.0, balanced
     return j.select("row", "y", "c", cv["col"].alias("cols"), cv["value"].alias("vals"))
 
 
-def _csr(pdf: pd.DataFrame):
-    lens = pdf["cols"].map(len).to_numpy()
-    if lens.sum():
-        cols = np.concatenate([np.asarray(c, dtype=np.int64) for c in pdf["cols"]])
-        vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["vals"]])
-    else:
-        cols, vals = np.zeros(0, dtype=np.int64), np.zeros(0)
-    return np.repeat(np.arange(len(pdf)), lens), cols, vals
-
-
-def gradient_parts(recs: DataFrame, w: np.ndarray, b: float) -> DataFrame:
-    """(col, g): gradient of the loss part at (w, b), summed over all records.
-
-    Column ``len(w)`` is the bias, ``len(w) + 1`` the loss itself. Partial sums
-    of a task are sparse and meet in an aggregate."""
-    n = len(w)
-    shared = recs.sparkSession.sparkContext.broadcast(np.append(w, b))
-
-    def grad(batches):
-        v = shared.value
-        g = np.zeros(n + 2)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            rid, cols, vals = _csr(pdf)
-            z = np.bincount(rid, weights=vals * v[cols], minlength=len(pdf)) + v[n]
-            y = pdf["y"].to_numpy()
-            c = pdf["c"].to_numpy()
-            h = np.maximum(0.0, 1.0 - y * z)
-            coef = -2.0 * c * h * y
-            if len(cols):
-                g[:n] += np.bincount(cols, weights=coef[rid] * vals, minlength=n)
-            g[n] += coef.sum()
-            g[n + 1] += np.sum(c * h * h)
-        nz = np.nonzero(g)[0]
-        yield pd.DataFrame({"col": nz.astype("int64"), "g": g[nz]})
-
-    return recs.mapInPandas(grad, "col long, g double").groupBy("col").agg(F.sum("g").alias("g"))
-
-
-def _two_loop(g: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Inverse-Hessian estimate times g from the last (step, gradient change) pairs."""
-    q, kept = g.copy(), []
-    for s, y in reversed(steps):
-        a = float(s @ q) / float(y @ s)
-        kept.append(a)
-        q -= a * y
-    if steps:
-        s, y = steps[-1]
-        q *= float(s @ y) / float(y @ y)
-    for (s, y), a in zip(steps, reversed(kept)):
-        q += s * (a - float(y @ q) / float(y @ s))
-    return q
-
-
-def minimise(evaluate, size: int, penalty: str, max_iter: int, tol: float, memory: int = 10):
+def packed_blocks(recs: DataFrame) -> DataFrame:
+    """(y, c, ends, cols, vals): blocks of rows as raw arrays, in the partitions the rows are in."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cols, vals = (t.column(k).combine_chunks() for k in ("cols", "vals"))
+            ends = np.cumsum(np.diff(cols.offsets.to_numpy()), dtype=np.int64)
+            arrays = [t.column("y").to_numpy().astype("<f8"), t.column("c").to_numpy().astype("<f8"), ends,
+                      cols.flatten().to_numpy(zero_copy_only=False).astype("<i8"),
+                      vals.flatten().to_numpy(zero_copy_only=False).astype("<f8")]
+            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays],
+                                              names=["y", "c", "ends", "cols", "vals"])
+
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                held.append(batch.slice(at, 256))
+                rows += len(held[-1])
+                size += len(held[-1].column(2).flatten())
+                if rows >= BLOCK_ROWS or size >= BLOCK_CELLS:
+                    yield out()
+                    held, rows, size = [], 0, 0
+        if held:
+            yield out()
+
+    return recs.select("y", "c", "cols", "vals").mapInArrow(
+        pack, "y binary, c binary, ends binary, cols binary, vals binary")
+
+
+@dataclass
+class Block:
+    """Sparse training rows: labels, weights, and (row, col, value) cells in row order."""
+    y: np.ndarray
+    c: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    val: np.ndarray
+
+    @classmethod
+    def of(cls, y: bytes, c: bytes, ends: bytes, cols: bytes, vals: bytes) -> Block:
+        n = np.diff(np.frombuffer(ends, "<i8"), prepend=0)
+        return cls(np.frombuffer(y, "<f8"), np.frombuffer(c, "<f8"), np.repeat(np.arange(len(n)), n),
+                   np.frombuffer(cols, "<i8"), np.frombuffer(vals, "<f8"))
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """Rows times ``x``, whose last entry is the bias."""
+        return np.bincount(self.row, weights=self.val * x[self.col], minlength=len(self.y)) + x[-1]
+
+    def times_rows(self, r: np.ndarray, size: int) -> np.ndarray:
+        """``r`` times the rows, the bias last."""
+        return np.append(np.bincount(self.col, weights=self.val * r[self.row], minlength=size - 1), r.sum())
+
+    def losses(self, z: np.ndarray, u: np.ndarray | None, steps: np.ndarray) -> np.ndarray:
+        out = []
+        for t in steps if u is not None else (0.0,):
+            h = np.maximum(0.0, 1.0 - self.y * (z if u is None else z + t * u))
+            out.append(float(np.sum(self.c * h * h)))
+        return np.array(out)
+
+    def gradient(self, z: np.ndarray, size: int) -> np.ndarray:
+        h = np.maximum(0.0, 1.0 - self.y * z)
+        return self.times_rows(-2.0 * self.c * h * self.y, size)
+
+    def counts(self, z: np.ndarray, other: np.ndarray | None) -> np.ndarray:
+        """Rows inside their margin at ``z``, or at ``other``."""
+        on = self.y * z < 1
+        return on if other is None else on | (self.y * other < 1)
+
+    def gram(self, on: np.ndarray, working: np.ndarray, size: int) -> np.ndarray:
+        place = np.full(size, -1, dtype=np.int64)
+        place[working] = np.arange(len(working))
+        a = np.zeros((len(self.y), len(working)))
+        at = place[self.col]
+        hit = at >= 0
+        a[self.row[hit], at[hit]] = self.val[hit]
+        if place[-1] >= 0:
+            a[:, place[-1]] = 1.0
+        a = a[on]
+        return (a * (2.0 * self.c[on])[:, None]).T @ a
+
+
+def summed(blocks: DataFrame, part) -> np.ndarray:
+    """Sum over all blocks of ``part(block)``, a vector of one length for all.
+
+    A task adds up its blocks and hands on slices of its sum; slices meet in an
+    aggregate, so the driver receives one vector however many tasks there are.
+    """
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for cells in zip(*batch.columns, strict=True):
+                got = part(Block.of(*(c.as_py() for c in cells)))
+                total = got if total is None else total + got
+        if total is not None:
+            for k, at in enumerate(range(0, len(total), SLICE)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int64()), pa.array([total[at:at + SLICE].tobytes()], pa.binary())],
+                    names=["slice", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s.as_py()) for s in table.column("sums"))
+        return pa.table({"slice": table.column("slice")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = blocks.mapInArrow(partial, "slice long, sums binary").groupBy("slice") \
+        .applyInArrow(add, "slice long, sums binary").collect()
+    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["slice"])] or [np.zeros(0)])
+
+
+class Problem:
+    """The loss over packed blocks; every method is one job. ``size``: features and the bias."""
+
+    def __init__(self, blocks: DataFrame, size: int) -> None:
+        self.blocks, self.size, self.jobs = blocks, size, 0
+
+    def _run(self, part, *vectors: np.ndarray | None) -> np.ndarray:
+        self.jobs += 1
+        sent = self.blocks.sparkSession.sparkContext.broadcast(vectors)
+        try:
+            return summed(self.blocks, lambda b: part(b, *sent.value))
+        finally:
+            sent.unpersist()
+
+    def along(self, x: np.ndarray, d: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Losses at ``x + t d`` for the ``STEPS`` t, and the gradient at the first of them (without ``d``: at x)."""
+        size, steps = self.size, STEPS
+
+        def part(b: Block, x: np.ndarray, d: np.ndarray | None) -> np.ndarray:
+            z, u = b.times(x), None if d is None else b.times(d)
+            return np.append(b.losses(z, u, steps), b.gradient(z if u is None else z + steps[0] * u, size))
+        out = self._run(part, x, d)
+        return out[:-size], out[-size:]
+
+    def gram(self, x: np.ndarray, other: np.ndarray | None, working: np.ndarray) -> np.ndarray:
+        """Second derivatives of the loss at ``x`` over the working set; rows that count at ``other`` count, too."""
+        size = self.size
+
+        def part(b: Block, x: np.ndarray, other: np.ndarray | None, working: np.ndarray) -> np.ndarray:
+            on = b.counts(b.times(x), None if other is None else b.times(other))
+            return b.gram(on, working, size).ravel()
+        return self._run(part, x, other, working).reshape(len(working), len(working))
+
+    def curved(self, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Second derivatives of the loss at ``x`` times ``v``."""
+        size = self.size
+
+        def part(b: Block, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+            on = b.counts(b.times(x), None)
+            return b.times_rows(np.where(on, 2.0 * b.c * b.times(v), 0.0), size)
+        return self._run(part, x, v)
+
+
+def _slope(x: np.ndarray, g: np.ndarray, penalty: str) -> np.ndarray:
+    """Gradient; with l1 the subgradient of smallest norm (``g``: gradient of the loss)."""
+    if penalty == "l2":
+        return g + x
+    return np.where(x != 0, g + np.sign(x), np.sign(g) * np.maximum(np.abs(g) - 1.0, 0.0))
+
+
+def _fine(x: np.ndarray, penalty: str) -> float:
+    return float(np.abs(x).sum()) if penalty == "l1" else 0.5 * float(x @ x)
+
+
+def solve_l1(g: np.ndarray, h: np.ndarray, x: np.ndarray, tol: float, rounds: int = 60) -> np.ndarray:
+    """Step d that minimises ``g.d + d.h.d / 2 + |x + d|_1``, by sweeps over the entries that are set or would be."""
+    w, r, diag = x.copy(), g.copy(), np.diag(h).copy()
+    for _ in range(rounds):
+        for j in np.flatnonzero((w != 0) | (np.abs(r) > 1)).tolist():
+            old, step = w[j], 1.0 / diag[j]
+            u = old - r[j] * step
+            new = u - step if u > step else u + step if u < -step else 0.0
+            if new != old:
+                w[j] = new
+                r += (new - old) * h[j]
+        if np.linalg.norm(_slope(w, r, "l1")) <= tol:
+            break
+    return w - x
+
+
+def _conjugate(product, b: np.ndarray, tol: float, steps: int) -> np.ndarray:
+    """Solves ``product(d) = b`` to ``tol``."""
+    d, r = np.zeros_like(b), b.copy()
+    p, rr = r.copy(), float(r @ r)
+    for _ in range(steps):
+        if rr <= tol * tol:
+            break
+        q = product(p)
+        a = rr / float(p @ q)
+        d += a * p
+        r -= a * q
+        rr, old = float(r @ r), rr
+        p = r + (rr / old) * p
+    return d
+
+
+def minimise(problem, penalty: str, max_iter: int, tol: float, working: int = WORKING):
     """(x, objective, iterations, converged) of ``loss + penalty`` from zero.
 
-    ``evaluate(x)`` gives the loss and its gradient. Stops when the
-    (pseudo-)gradient has shrunk to ``tol`` times its first norm."""
-    def full(x):
-        loss, g = evaluate(x)
-        if penalty == "l2":
-            return loss + 0.5 * float(x @ x), g + x
-        return loss + float(np.abs(x).sum()), g
-
-    def downhill(x, g):
-        """Gradient; with l1 the subgradient of smallest norm."""
-        if penalty == "l2":
-            return g
-        side = np.where(x != 0, g + np.sign(x), 0.0)
-        zero = x == 0
-        return side + np.where(zero & (g > 1), g - 1, 0.0) + np.where(zero & (g < -1), g + 1, 0.0)
-
-    x = np.zeros(size)
-    value, g = full(x)
-    pg = downhill(x, g)
-    first = float(np.linalg.norm(pg))
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    if first == 0.0:
-        return x, value, 0, True
-    for it in range(1, max_iter + 1):
-        d = -_two_loop(pg, steps)
-        if penalty == "l1":
-            d = np.where(d * pg < 0, d, 0.0)
-        slope = float(d @ pg)
-        if slope >= 0:
-            steps, d, slope = [], -pg, -float(pg @ pg)
-        orthant = np.where(x != 0, np.sign(x), -np.sign(pg))
-        t = 1.0 if steps else 1.0 / max(1.0, float(np.linalg.norm(pg)))
-        for _ in range(40):
-            new = x + t * d
-            if penalty == "l1":
-                new = np.where(np.sign(new) * orthant > 0, new, 0.0)
-            new_value, new_g = full(new)
-            if new_value <= value + 1e-4 * float(pg @ (new - x)):
-                break
-            t *= 0.5
-        else:
-            return x, value, it, False   # no step lowers the objective, and ``tol`` is not met
-        s, y = new - x, new_g - g
-        if float(s @ y) > 1e-12 * float(y @ y):
-            steps = [*steps[-(memory - 1):], (s, y)]
-        x, value, g = new, new_value, new_g
-        pg = downhill(x, g)
-        if float(np.linalg.norm(pg)) <= tol * first:
+    Stops when the (pseudo-)gradient has shrunk to ``tol`` times its first norm."""
+    x = np.zeros(problem.size)
+    losses, g = problem.along(x)
+    value = float(losses[0])
+    first = float(np.linalg.norm(_slope(x, g, penalty)))
+    ran = None                               # the last step that ran into rows its quadratic had left out
+    for it in range(max_iter + 1):
+        pg = _slope(x, g, penalty)
+        norm = float(np.linalg.norm(pg))
+        if norm <= tol * first:
             return x, value, it, True
+        if it == max_iter:
+            break
+        goal = min(0.1, norm / first) * norm
+        by_products = penalty == "l2" and problem.size > working
+        chosen = np.flatnonzero((x != 0) | (np.abs(g) > 0.9)) if penalty == "l1" else np.arange(problem.size)
+        if len(chosen) > working:
+            chosen = np.sort(chosen[np.argsort(-np.abs(pg[chosen]), kind="stable")[:working]])
+        other = None if ran is None else x + ran
+        for _ in range(4):
+            d = np.zeros_like(x)
+            if by_products:
+                d = _conjugate(lambda v, x=x: problem.curved(x, v) + v, -pg, goal, 50)
+            else:
+                h = problem.gram(x, other, chosen)
+                if penalty == "l2":
+                    d[chosen] = np.linalg.solve(h + np.eye(len(chosen)), -pg[chosen])
+                else:
+                    h[np.diag_indices(len(chosen))] += 1e-10 * max(1.0, float(np.trace(h)) / len(chosen))
+                    d[chosen] = solve_l1(g[chosen], h, x[chosen], goal)
+            fall = float(g @ d) + _fine(x + d, penalty) - _fine(x, penalty)
+            losses, g_full = problem.along(x, d)
+            values = losses + np.array([_fine(x + t * d, penalty) for t in STEPS])
+            good = np.flatnonzero(values <= value + 1e-4 * STEPS * fall) if fall < 0 else []
+            # far short of a whole step: it ran into rows the quadratic had left out, so count them and solve again
+            if by_products or (len(good) and good[0] <= 2):
+                break
+            ran, other = d, x + d
+        if not len(good):
+            return x, value, it, False       # no step lowers the objective, and ``tol`` is not met
+        at = int(good[0])
+        x = x + STEPS[at] * d
+        value = float(values[at])
+        g = g_full if at == 0 else problem.along(x)[1]
     return x, value, max_iter, False
 
 
 def fit_linear_svc(cells: DataFrame, rows: DataFrame, n_features: int, C: float = 1.0, penalty: str = "l2",
                    balanced: bool = True, sample_weight: str | None = None, max_iter: int = 1000,
-                   tol: float = 1e-4, label: str = "label", on_unconverged: str = "error") -> LinearModel:
+                   tol: float = 1e-4, label: str = "label", on_unconverged: str = "error",
+                   working: int = WORKING) -> LinearModel:
     """Squared-hinge linear SVM. ``cells`` (row, col, value) with
     0 <= col < n_features; ``rows`` (row, label 0/1[, sample weight]).
 
@@ -180,19 +333,19 @@ def fit_linear_svc(cells: DataFrame, rows: DataFrame, n_features: int, C: float
         raise ValueError("on_unconverged must be 'error' or 'report'")
     spark = rows.sparkSession
     checkpoint_dir(spark, fallback=_local_fallback(spark))
-    recs = training_records(cells, rows, C, balanced, sample_weight, label).checkpoint(eager=True).persist()
+    recs = training_records(cells, rows, C, balanced, sample_weight, label)
+    cores = spark.sparkContext.defaultParallelism
+    if recs.rdd.getNumPartitions() < cores:          # a step is bound by arithmetic, however small the rows are
+        recs = recs.repartition(cores)
+    blocks = packed_blocks(recs).checkpoint(eager=True).persist()
     try:
-        def evaluate(x):
-            g = np.zeros(n_features + 2)
-            for r in gradient_parts(recs, x[:-1], float(x[-1])).collect():     # at most one row per feature
-                g[r["col"]] = r["g"]
-            return float(g[-1]), g[:-1]
-        x, value, it, converged = minimise(evaluate, n_features + 1, penalty, max_iter, tol)
+        problem = Problem(blocks, n_features + 1)
+        x, value, it, converged = minimise(problem, penalty, max_iter, tol, working)
     finally:
-        recs.unpersist()
+        blocks.unpersist()
     if not converged and on_unconverged == "error":
         raise RuntimeError(f"no convergence within {max_iter} steps; raise max_iter or tol")
-    return LinearModel(x[:-1], float(x[-1]), value, it, converged)
+    return LinearModel(x[:-1], float(x[-1]), value, it, converged, problem.jobs)
 
 
 def _local_fallback(spark):

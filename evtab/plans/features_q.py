@@ -23,18 +23,29 @@ def feature_rows(spark, sf_dir):
     return FE.prepare_rows(s, pos_rule)
 
 
+def transformer():
+    return FE.PositionalFeatures(LEFT, RIGHT, BOW, MAX_FEATURES, NGRAM)
+
+
 def fitted(spark, sf_dir):
-    """(rows, transformer, fitted model, final cells of all rows, occurrences)."""
-    rows = feature_rows(spark, sf_dir)
-    pf = FE.PositionalFeatures(LEFT, RIGHT, BOW, MAX_FEATURES, NGRAM)
-    fit, cells, occ = pf.fit_transform(rows, F.col("split") == "train")
-    return rows, pf, fit, cells, occ
+    """(rows, transformer, fitted model, final cells of all rows)."""
+    pf = transformer()
+    fit, cells, rows = pf.fit_transform(feature_rows(spark, sf_dir), F.col("split") == "train")
+    return rows, pf, fit, cells
+
+
+def train_fit(spark, sf_dir):
+    """(rows, fitted model): no cells are built for it."""
+    pf = transformer()
+    rows = pf.landed(feature_rows(spark, sf_dir))
+    return rows, pf.fit(rows.filter(F.col("split") == "train"))
 
 
 def vocabulary(spark, sf_dir):
-    """The term vocabulary alone: no cells are built for it."""
-    train = feature_rows(spark, sf_dir).filter(F.col("split") == "train")
-    return FE.fit_vocab(FE.term_counts(FE.occurrences(train, NGRAM[1])), train.count(), MAX_FEATURES)
+    """The term vocabulary alone."""
+    pf = transformer()
+    train = pf.landed(feature_rows(spark, sf_dir).filter(F.col("split") == "train").select("words"))
+    return pf.vocabulary(train, train.count())
 
 
 def linear_weights(kept):
@@ -90,8 +101,7 @@ def oracle(sql: str) -> str:
 
 @register("term_frequency", oracle("SELECT eventid, term, tf FROM tf"))
 def q_term_frequency(spark, sf_dir):
-    pf = FE.PositionalFeatures(LEFT, RIGHT, BOW, MAX_FEATURES, NGRAM)
-    occ = pf.occurrences(feature_rows(spark, sf_dir))
+    occ = transformer().occurrences(feature_rows(spark, sf_dir))
     return FE.term_counts(occ).select(F.col("row.eventid"), "term", "tf")
 
 
@@ -107,8 +117,10 @@ def q_idf(spark, sf_dir):
 
 @register("tfidf", oracle("SELECT eventid, term, round(value, 6) AS value FROM tv"))
 def q_tfidf(spark, sf_dir):
-    _, pf, fit, _, occ = fitted(spark, sf_dir)
-    t = pf.text_tfidf(occ, fit)
+    pf = transformer()
+    rows = pf.landed(feature_rows(spark, sf_dir))
+    train = rows.filter(F.col("split") == "train")
+    t = pf.text_tfidf(rows, pf.vocabulary(train, train.count()))
     return t.select(F.col("row.eventid"), "term", F.round("value", 6).alias("value"))
 
 
@@ -120,14 +132,14 @@ def q_positional_features(spark, sf_dir):
 
 @register("kept_columns", oracle("SELECT col, fidx FROM kept"))
 def q_kept_columns(spark, sf_dir):
-    fit = fitted(spark, sf_dir)[2]
+    fit = train_fit(spark, sf_dir)[1]
     return fit.kept.select("col", "fidx")
 
 
 @register("feature_shape", oracle(
     "SELECT split, count(*) AS n_rows, (SELECT count(*) FROM kept) AS n_cols FROM fs GROUP BY split"))
 def q_feature_shape(spark, sf_dir):
-    rows, _, fit, _, _ = fitted(spark, sf_dir)
+    rows, fit = train_fit(spark, sf_dir)
     return FE.feature_shape(rows, fit)
 
 
@@ -147,7 +159,7 @@ SELECT f.eventid, f.split, round(coalesce(s.score, 0) + {BIAS}, 6) AS score,
        CAST(coalesce(s.score, 0) + {BIAS} > 0 AS INTEGER) AS pred
 FROM fs f LEFT JOIN (SELECT eventid, sum(value * ((col % 7) - 3) / 10.0) AS score FROM feat GROUP BY 1) s USING (eventid)"""))
 def q_predict_linear(spark, sf_dir):
-    rows, _, fit, cells, _ = fitted(spark, sf_dir)
+    rows, _, fit, cells = fitted(spark, sf_dir)
     p = FE.predict_linear(rows.select("row", "split"), cells, linear_weights(fit.kept), BIAS)
     return p.select(F.col("row.eventid"), "split", F.round("score", 6).alias("score"), "pred")
 
@@ -160,7 +172,7 @@ def q_fit_linear_svc(spark, sf_dir):
     """Squared-hinge l1 SVM with balanced, confidence-weighted classes (the
     documented run), fitted once on train and scored on dev and test."""
     from evtab.operators.svm import fit_linear_svc
-    rows, _, fit, cells, _ = fitted(spark, sf_dir)
+    rows, _, fit, cells = fitted(spark, sf_dir)
     train = rows.filter(F.col("split") == "train").select("row", "label", "label_confidence")
     n_cols = fit.kept.count()
     model = fit_linear_svc(cells.join(train.select("row"), "row", "left_semi"), train, n_cols, SVM_C,

@@ -40,11 +40,18 @@ def np_fista(X, y, c, penalty, iters=20000):
 
 
 def test_a_failed_line_search_is_not_convergence():
-    def evaluate(x):                                  # the gradient at 1 is 5 % of the first, no step from there helps
-        at = {0.0: (10.0, -1.0), 1.0: (0.0, -0.95)}.get(float(x[0]), (1e6, 0.0))
-        return at[0], np.array([at[1]])
-    x, _, it, converged = svm.minimise(evaluate, 1, "l2", 50, 1e-2)
-    assert x[0] == 1.0 and it == 2 and not converged
+    class Wall:                                        # the loss rises wherever the gradient points down
+        size, jobs = 1, 0
+
+        def along(self, x, d=None):
+            steps = np.full(len(svm.STEPS), 10.0 if d is None else 1e6)
+            return steps, np.array([-5.0])
+
+        def gram(self, x, other, working):
+            return np.eye(len(working))
+    for penalty in ("l1", "l2"):
+        x, _, it, converged = svm.minimise(Wall(), penalty, 50, 1e-2)
+        assert x[0] == 0.0 and it == 0 and not converged
 
 
 def test_registered_svm_uses_the_tolerance_of_the_reference():

@@ -128,7 +128,6 @@ def test_positional_features_by_hand(spark):
     for r in cells.collect():
         got.setdefault(r.row.eventid, {})[r.col] = round(r.value, 4)
     assert got == {"e0": {0: 0.5797, 1: 0.8148, 3: 1.0, 4: 1.0}, "e1": {0: 0.5797, 2: 0.8148, 3: 1.0, 4: 1.0}}
-    fit.release()
     # the event id repeats in another document: rows stay apart
     both = FE.term_frequency(FE.prepare_rows(df, lambda t: F.lit("NOUN")))
     assert both.filter("row.eventid = 'e1' AND term = 'a'").count() == 2
@@ -137,10 +136,10 @@ def test_positional_features_by_hand(spark):
 def test_bigrams_only_in_norm_and_vocab(spark):  # C12
     rows = rows_df(spark)
     pf = FE.PositionalFeatures(1, 1, False, None, (1, 2))
-    fit, cells, occ = pf.fit_transform(rows, F.col("split") == "train")
+    fit, cells, landed = pf.fit_transform(rows, F.col("split") == "train")
     terms = {r.term for r in fit.vocab.collect()}
     assert "the cats" in terms
-    t = {(r.row, r.term): r.value for r in pf.text_tfidf(occ, fit).collect()}
+    t = {(r.row, r.term): r.value for r in pf.text_tfidf(landed, fit.vocab).collect()}
     r0 = [v for (row, _), v in t.items() if row == "r0"]
     assert math.isclose(sum(v * v for v in r0), 1.0)
     assert fit.n_vocab == len(terms) and fit.block_offsets["pos_-1"] == 2 * fit.n_vocab + 3 * fit.n_vocab
