@@ -80,10 +80,26 @@ def attach_matrix(main: DataFrame, matrix: DataFrame, keys: Sequence[str] = EVEN
     return main.join(matrix, list(keys), "left")
 
 
+def positional_join(a: DataFrame, b: DataFrame, order_a: Sequence[str] = ("row_pos",),
+                    order_b: Sequence[str] = ("row_pos",)) -> DataFrame:
+    """Rows of ``a`` beside the rows of ``b`` at the same place in their order (two files without keys, written in one
+    order); ``row_pos`` counts from 0. Tables of different lengths fail the job. A column of both keeps ``a``'s cells."""
+    from evtab.operators.features import sorted_index
+    left, right = sorted_index(a, list(order_a), "_at"), sorted_index(b, list(order_b), "_at")
+    left = left.withColumn("_l", F.lit(1))
+    right = right.select("_at", F.lit(1).alias("_r"), *[c for c in b.columns if c not in a.columns])
+    whole = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.lit("tables of different lengths"))) \
+        .otherwise(F.col("_at"))
+    return left.join(right, "_at", "full").select(
+        *[c for c in left.columns if c not in ("_at", "_l", "row_pos")],
+        *[c for c in right.columns if c not in ("_at", "_r", "row_pos")], whole.alias("row_pos"))
+
+
 def review_sheets(df: DataFrame, preds: DataFrame, n: int, seed: int = 42, key=("docid", "eventid"),
-                  by: Sequence[str] = ("lang", "split"), on_short: str = "error"):
-    """(all rows with predictions, sample with predictions, blind sample)."""
-    with_preds = attach_predictions(df, preds).withColumn("annotation", F.lit(""))
+                  by: Sequence[str] = ("lang", "split"), on_short: str = "error",
+                  keys: Sequence[str] = EVENT_KEY):
+    """(all rows with predictions, sample with predictions, blind sample). ``keys`` line rows and predictions up."""
+    with_preds = attach_predictions(df, preds, keys).withColumn("annotation", F.lit(""))
     with_preds = with_preds.drop(*[c for c in ("label", "label_confidence") if c in with_preds.columns])
     sample = seeded_sample(with_preds, n, key, seed, by, on_short)
     blind = sample.drop("pred", "prob")
@@ -91,9 +107,13 @@ def review_sheets(df: DataFrame, preds: DataFrame, n: int, seed: int = 42, key=(
 
 
 def review_eval(sample: DataFrame, annotated: DataFrame, keys: Sequence[str] = EVENT_KEY,
-                by: Sequence[str] = ("lang", "split"), pos_subset: str = "VERB") -> DataFrame:
+                by: Sequence[str] = ("lang", "split"), pos_subset: str = "VERB", nulls: str = "error") -> DataFrame:
     """Human labels beside predictions (by key), then macro-F1 and Cohen's
-    kappa per group, over all rows and over ``pos == pos_subset``."""
+    kappa per group, over all rows and over ``pos == pos_subset``. An annotated
+    row without a prediction fails the job, or with ``nulls='drop'`` is counted
+    in ``n_missing`` and left out of the rest."""
+    if nulls not in ("error", "drop"):
+        raise ValueError("nulls must be 'error' or 'drop'")
     keys, by = list(keys), list(by)
     j = sample.drop("annotation").join(annotated.select(*keys, "annotation"), keys, "inner") \
         .withColumn("is_pred_correct", metrics.is_correct("pred", "annotation"))
@@ -101,9 +121,12 @@ def review_eval(sample: DataFrame, annotated: DataFrame, keys: Sequence[str] = E
                                                    F.array(F.lit("all"), F.lit(pos_subset)))
                                             .otherwise(F.array(F.lit("all")))))
     g = [*by, "subset"]
-    f1 = metrics.macro_f1(both, "annotation", "pred", g)
-    kap = metrics.cohen_kappa(both, "annotation", "pred", g)
-    cnt = both.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.sum("is_pred_correct").alias("n_correct"))
+    there = both.filter(F.col("pred").isNotNull()) if nulls == "drop" else both
+    f1 = metrics.macro_f1(there, "annotation", "pred", g)
+    kap = metrics.cohen_kappa(there, "annotation", "pred", g)
+    cnt = both.groupBy(*g).agg(F.count("pred" if nulls == "drop" else F.lit(1)).alias("n"),
+                               F.count_if(F.col("pred").isNull()).alias("n_missing"),
+                               F.sum("is_pred_correct").alias("n_correct"))
     return cnt.join(f1, g, "left").join(kap, g, "left")
 
 

@@ -151,11 +151,12 @@ class Block:
         if place[-1] >= 0:
             a[:, place[-1]] = 1.0
         a = a[on]
-        return (a * (2.0 * self.c[on])[:, None]).T @ a
+        full = (a * (2.0 * self.c[on])[:, None]).T @ a
+        return full[np.triu_indices(len(working))].astype("<f4")
 
 
 def summed(blocks: DataFrame, part) -> np.ndarray:
-    """Sum over all blocks of ``part(block)``, a vector of one length for all.
+    """Sum over all blocks of ``part(block)``, a vector of one length and type for all.
 
     A task adds up its blocks and hands on slices of its sum; slices meet in an
     aggregate, so the driver receives one vector however many tasks there are.
@@ -169,14 +170,14 @@ def summed(blocks: DataFrame, part) -> np.ndarray:
         if total is not None:
             for k, at in enumerate(range(0, len(total), SLICE)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int64()), pa.array([total[at:at + SLICE].tobytes()], pa.binary())],
-                    names=["slice", "sums"])
+                    [pa.array([k], pa.int64()), pa.array([total.dtype.str]),
+                     pa.array([total[at:at + SLICE].tobytes()], pa.binary())], names=["slice", "kind", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(s.as_py()) for s in table.column("sums"))
+        total = sum(np.frombuffer(s.as_py(), table.column("kind")[0].as_py()).astype("<f8") for s in table.column("sums"))
         return pa.table({"slice": table.column("slice")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    rows = blocks.mapInArrow(partial, "slice long, sums binary").groupBy("slice") \
+    rows = blocks.mapInArrow(partial, "slice long, kind string, sums binary").groupBy("slice") \
         .applyInArrow(add, "slice long, sums binary").collect()
     return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["slice"])] or [np.zeros(0)])
 
@@ -206,13 +207,18 @@ class Problem:
         return out[:-size], out[-size:]
 
     def gram(self, x: np.ndarray, other: np.ndarray | None, working: np.ndarray) -> np.ndarray:
-        """Second derivatives of the loss at ``x`` over the working set; rows that count at ``other`` count, too."""
+        """Second derivatives of the loss at ``x`` over the working set; rows that count at ``other`` count, too.
+
+        They only direct a step, so half of them in single precision travel.
+        """
         size = self.size
 
         def part(b: Block, x: np.ndarray, other: np.ndarray | None, working: np.ndarray) -> np.ndarray:
             on = b.counts(b.times(x), None if other is None else b.times(other))
             return b.gram(on, working, size).ravel()
-        return self._run(part, x, other, working).reshape(len(working), len(working))
+        upper = np.zeros((len(working), len(working)))
+        upper[np.triu_indices(len(working))] = self._run(part, x, other, working)
+        return upper + np.triu(upper, 1).T
 
     def curved(self, x: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Second derivatives of the loss at ``x`` times ``v``."""

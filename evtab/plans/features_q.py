@@ -173,6 +173,7 @@ def q_fit_linear_svc(spark, sf_dir):
     documented run), fitted once on train and scored on dev and test."""
     from evtab.operators.svm import fit_linear_svc
     rows, _, fit, cells = fitted(spark, sf_dir)
+    cells = cells.checkpoint(eager=True)             # read for the fit and for the scores
     train = rows.filter(F.col("split") == "train").select("row", "label", "label_confidence")
     n_cols = fit.kept.count()
     model = fit_linear_svc(cells.join(train.select("row"), "row", "left_semi"), train, n_cols, SVM_C,

@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     # importing the modules registers their queries
     from evtab.plans import (cleaning, compare_q, corpus_q, features_q, metrics_q,  # noqa: F401
-                             scoring_q, splits_q, text_q, vectors_q)
+                             scoring_q, splits_q, tagging_q, text_q, vectors_q)

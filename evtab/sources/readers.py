@@ -1,10 +1,10 @@
 """File sources: annotation CSVs, id lists, prediction and review tables,
 word-vector tables.
 
-Rows carry an explicit order: ``file_priority`` (position of the file in the
-call) and ``row_pos`` (line order inside the file, from the row's byte offset
-via ``monotonically_increasing_id``, which is increasing within a file split
-and splits of one file are numbered in file order).
+CSV rows carry an explicit order: ``file_priority`` (position of the file in
+the call) and ``row_pos`` (by file name and place in the file, see
+``records``). Cells are read as text and only named columns are cast, so an id
+such as ``007`` stays what it is.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evtab.sources.records import read_table
+
 # ---- fixed values ------------------------------------------------------------
 # Strings pandas' CSV reader turns into missing values by default.
 PANDAS_NULL_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -21,12 +23,6 @@ PANDAS_NULL_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-Na
 # ------------------------------------------------------------------------------
 
 
-def with_row_pos(df: DataFrame, priority: int = 0) -> DataFrame:
-    """file_priority + row_pos: input order without a global numbering."""
-    return df.withColumn("file_priority", F.lit(priority)) \
-             .withColumn("row_pos", F.monotonically_increasing_id())
-
-
 def null_as_pandas(df: DataFrame, null_values: Sequence[str] = PANDAS_NULL_VALUES) -> DataFrame:
     """String cells equal to one of ``null_values`` become null (pandas'
     default CSV behaviour, so a verb 'NA' is missing, later '')."""
@@ -59,13 +55,13 @@ def read_annotations(spark: SparkSession, paths: Sequence[str] | str, sources: S
     sources = list(sources) if sources is not None else [None] * len(paths)
     out = None
     for prio, (p, src) in enumerate(zip(paths, sources)):
-        r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        df = (r.schema(schema) if schema is not None else r).csv(p)     # one read: no type is guessed from values
+        df = read_table(spark, p)
         if null_values:
             df = null_as_pandas(df, null_values)
-        if schema is None:
-            df = typed(df)
-        df = with_row_pos(df, prio)
+        df = typed(df) if schema is None else df.select(*[
+            F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], "row_pos")
+        df = df.withColumn("file_priority", F.lit(prio))
         if src is not None:
             df = df.withColumn("source", F.lit(src))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
@@ -85,16 +81,23 @@ def read_id_list(spark: SparkSession, path: str, fmt: str = "tsv", col: str = "d
     raise ValueError("fmt must be 'tsv' or 'words'")
 
 
+def _numbers(df: DataFrame) -> DataFrame:
+    """``pred``, ``label`` and ``annotation`` as whole numbers, ``prob`` as a double; all else stays text."""
+    df = null_as_pandas(df)
+    for c in df.columns:
+        if c in ("pred", "label", "annotation"):
+            df = df.withColumn(c, F.col(c).cast("double").cast("int"))
+        elif c == "prob":
+            df = df.withColumn(c, F.col(c).cast("double"))
+    return df
+
+
 def read_predictions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """One CSV per model name -> long table with ``model``; files without a
     ``prob`` column get nulls. A leading unnamed index column is dropped."""
     out = None
     for prio, (model, path) in enumerate(paths.items()):
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
-            .option("inferSchema", True).csv(path)
-        unnamed = [c for c in df.columns if c.startswith("_c")]
-        df = df.drop(*unnamed)
-        df = with_row_pos(df, prio).withColumn("model", F.lit(model))
+        df = _numbers(read_table(spark, path)).withColumn("file_priority", F.lit(prio)).withColumn("model", F.lit(model))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if "prob" not in out.columns:
         out = out.withColumn("prob", F.lit(None).cast("double"))
@@ -103,9 +106,7 @@ def read_predictions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 def read_review(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     """Human review sheet (semicolon CSV by default) with ``row_pos``."""
-    df = spark.read.option("header", True).option("sep", sep).option("multiLine", True) \
-        .option("escape", '"').option("inferSchema", True).csv(path)
-    return with_row_pos(df)
+    return _numbers(read_table(spark, path, sep))
 
 
 def read_vectors(spark: SparkSession, path: str, word: str = "word", vector: str = "vector") -> DataFrame:
