@@ -7,10 +7,10 @@ chosen, and the choice is rejected when the runner-up needs hardly more.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ LEVEL, FINE_LEVEL = 5, 19
 #: MIN_MARGIN is too narrow to decide.
 FINE_MARGIN, MIN_MARGIN = 0.01, 0.001
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_NO_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str | None) -> bytes:
@@ -45,7 +45,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     The MAX_LANGUAGES most frequent labels are learned, each from the
     SAMPLE_DOCS rows with the smallest key hash (SAMPLE_CHARS characters of
-    each). Rows without label or text teach nothing; no labelled row gives {}.
+    each, joined and cut to DICTIONARY_BYTES at a word). Rows without label or
+    text teach nothing; no labelled row gives {}.
     """
     rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")) \
         .where("l IS NOT NULL AND t IS NOT NULL")
@@ -64,7 +65,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         got = letters(row["t"])
         if got:
             out[row["l"]] = (out[row["l"]] + b" " + got) if row["l"] in out else got
-    return {k: v[:DICTIONARY_BYTES] for k, v in out.items()}
+    return {k: v if len(v) <= DICTIONARY_BYTES else v[:DICTIONARY_BYTES].rpartition(b" ")[0] or v[:DICTIONARY_BYTES]
+            for k, v in out.items()}
 
 
 class Encoder:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evtab.llm.components import components
-from evtab.llm.util import landed
+from evtab.llm.util import hot_join, landed
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -234,7 +234,9 @@ def compared(members: DataFrame, similarity: float = SIMILARITY, weights: str =
     least = similarity * K - SLACK * float(np.sqrt(K * similarity * (1 - similarity)))
     sizes = members.groupBy("grp", "main").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum(F.length("t")) / PART_CHARS)).alias("parts"))
-    dealt = members.join(sizes, ["grp", "main"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    # the join leaves all rows of (grp, main) in one partition: deal the parts anew
+    dealt = members.join(sizes, ["grp", "main"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))) \
+        .repartition("grp", "main", "part")
 
     def pack(t: pa.Table) -> pa.Table:
         texts = [x.encode() for x in t.column("t").to_pylist()]
@@ -304,12 +306,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     A null text links with nothing, a null id with nothing (its class and
     component are null, it is kept); texts without words link with equal texts
-    only; repeated rows (id and text) stay and share their fate; an empty table
-    gives no row; other columns are ignored.
+    only; repeated rows (id and text) stay and share their fate; an id with
+    several texts links with the partners of each; an empty table gives no row;
+    other columns are ignored.
     """
     sigs = landed(signed(docs, key, text, weights), "dup-signed")
+    # a class has a number of its own: one doc_id may have several texts
     classes = landed(sigs.groupBy("k").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-                     .select("k", "m.*").withColumnRenamed("doc_id", "id"), "dup-classes")
+                     .select("k", F.col("m.doc_id").alias("first"), "m.sig")
+                     .withColumn("id", F.monotonically_increasing_id()), "dup-classes")
     reps = classes.where("sig IS NOT NULL").select("id", "sig")
     cuts = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                        lambda i: F.xxhash64(i, F.col("sig").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -317,10 +322,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     buckets = bands.groupBy("bk").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")) \
         .where("n > 1").select("bk", "lead")
     members = landed(bands.join(buckets, "bk"), "dup-members")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")) \
-        .where("id IS NOT NULL AND t IS NOT NULL")
-    touched = members.select("id").distinct().join(classes.select("id", "k"), "id")
-    texts = landed(texts.join(touched, "id").where(F.unhex(F.md5(F.encode("t", "UTF-8"))) == F.col("k"))
+    texts = docs.select(F.col(key).cast("long").alias("first"), F.col(text).alias("t")) \
+        .where("first IS NOT NULL AND t IS NOT NULL")
+    touched = members.select("id").distinct().join(classes.select("id", "first", "k"), "id")
+    texts = landed(texts.join(touched, "first").where(F.unhex(F.md5(F.encode("t", "UTF-8"))) == F.col("k"))
                    .dropDuplicates(["id"]).select("id", "t"), "dup-texts", "snappy")
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = landed(checked(stars, texts, similarity, weights), "dup-links")
@@ -340,9 +345,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         links = links.unionByName(landed(compared(rest, similarity, weights), "dup-links"))
         named = components(links)
 
-    group = classes.join(named, "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
+    group = landed(classes.join(named, "id", "left").select("k", "first", F.coalesce("component", "id").alias("c")),
+                   "dup-named")
+    lowest = group.groupBy("c").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("copies"))
+    group = hot_join(group, lowest, ["c"], "copies", ["k"])
     back = sigs.select("doc_id", "k").distinct().join(group, "k")
-    fate = back.groupBy("doc_id").agg(F.min("id").alias("class_id"), F.min("component").alias("component_id"))
+    fate = back.groupBy("doc_id").agg(F.min("first").alias("class_id"), F.min("component").alias("component_id"))
     ids = docs.select(F.col(key).cast("long").alias("doc_id"))
     out = ids.join(fate, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),

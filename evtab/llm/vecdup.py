@@ -152,7 +152,9 @@ def links(vectors: DataFrame, width: int, cosine: float, part_rows: int = PART_R
     dealt = placed.mapInArrow(deal, "block int, strip long, at double, id long, copies long, v binary")
     # a strip that holds more (many equal coordinates) is cut into parts by a hash of the id
     sizes = dealt.groupBy("block", "strip").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
-    cut = dealt.join(sizes, ["block", "strip"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    # the join leaves all of a strip in one partition: deal the parts anew
+    cut = dealt.join(sizes, ["block", "strip"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))) \
+        .repartition("block", "strip", "part")
 
     def pack(t: pa.Table) -> pa.Table:
         at, ids = t.column("at").to_numpy(), t.column("id").to_numpy()
