@@ -23,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,16 +45,31 @@ LARGE_HOSTS = 50_000
 #: Parts of a host whose substring lists are summed in one task's group (whole lists, or ranges of more of them).
 LIST_PARTS = 8
 
-#: Elements without text of the page, elements that are not part
-#: of an article, containers, elements that end a block, void elements.
-SILENT = frozenset("script style noscript template svg math iframe object head title textarea select button option "
-                   "canvas audio video datalist".split())
+#: Elements whose text is not the page's, elements whose content is text up to their end tag, elements
+#: that are not part of an article, containers, elements that end a block, elements that end an open paragraph, void
+#: elements, elements of a head.
+SILENT = frozenset("noscript template svg math object head select button option datalist canvas audio video".split())
+RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
 APART = frozenset("nav header footer aside form menu dialog".split())
 CONTAINERS = frozenset("body div section article main nav header footer aside form table figure details".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd tr td th thead tbody tfoot caption blockquote "
-                                "pre address figcaption summary fieldset legend hr hgroup".split())
+                                "pre address figcaption summary fieldset legend hr hgroup dialog menu center".split())
+ENDS_P = BLOCKS - frozenset("li dt dd tr td th thead tbody tfoot caption legend body summary".split())
+SCOPES = CONTAINERS | SILENT
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
 MAIN = frozenset(("article", "main"))
+#: What an element's start ends (while one is open, up to an element of the second list).
+IMPLIED = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"),
+    "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+    "thead": ("thead tbody tfoot caption", "table"), "tbody": ("thead tbody tfoot caption", "table"),
+    "tfoot": ("thead tbody tfoot caption", "table")}
+IMPLIED = {k: (frozenset(x.split()), frozenset(y.split()) | SILENT) for k, (x, y) in IMPLIED.items()}
+PLAIN_ENDS = BLOCKS | SILENT           # end tags that end an open element of their name
+UNSCOPED = CONTAINERS | SILENT         # those that end it wherever it is
+NOWHERE: frozenset[str] = frozenset()
+MARKED = BLOCKS | SILENT | RAW | frozenset(("br",))
 #: Words of a class, id or role that name something other than the article.
 ROLES = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie "
@@ -62,15 +79,20 @@ ROLES = frozenset(
     "search toolbar copyright form dialog".split())
 
 COMMENTS = frozenset("comment comments disqus respond replies".split())
-
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|title|select|canvas|audio|video)\b[^>]*>"
-    r".*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Words that say how such a thing is laid out, not what it is: the word before them counts.
+LAYOUT = frozenset("area bar block body bottom box button buttons container content group holder icons inner item items "
+                   "large left link links list module outer panel posts right row section size slot small thread top "
+                   "unit wrap wrapper x zone".split())
+#: Open elements, and marked inline elements in one of them, that are told apart; what is nested deeper belongs to
+#: the innermost of them (as in browsers), with its text.
+NESTED = 512
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"([^\s/>=]?[^\s/>=]*)\s*(=\s*)?")
+_GAP = re.compile(r"[\s/]*")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_COMPOUND = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 @dataclass
@@ -87,73 +109,238 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def other_role(attributes: str) -> int:
-    """2 if class, id or role name reader comments, 1 if another role than the article's, else 0."""
-    found = 0
-    if attributes and "=" in attributes:
-        for m in _NAMES.finditer(attributes):
-            names = _SPLIT.split((m[1] or m[2] or m[3] or "").lower())
-            found = max(found, 0 if ROLES.isdisjoint(names) else 1, 0 if COMMENTS.isdisjoint(names) else 2)
-    return found
+def role_of(name: str) -> int:
+    """2 if a class, id or role names reader comments, 1 if another role than the article's, else 0.
+
+    In a compound the last word says what the thing is (``site-footer`` is a
+    footer, ``share-price`` a price), words of layout and numbers aside.
+    """
+    parts = [w.lower() for w in _COMPOUND.findall(name)]
+    while len(parts) > 1 and (parts[-1] in LAYOUT or parts[-1].isdigit()):
+        parts.pop()
+    last = parts[-1] if parts else ""
+    return 2 if last in COMMENTS else int(last in ROLES)
+
+
+def other_role(names: list[str]) -> int:
+    """The strongest role that the values of class, id and role name."""
+    return max((role_of(n) for value in names for n in value.split()), default=0)
+
+
+class Source:
+    """A page's markup, read once from start to end. Broken markup never fails and is never read twice."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.last_quote = {q: text.rfind(q) for q in "\"'"}
+        self.tags: dict[str, tuple[list[int], list[int]]] = {}
+
+    def tag(self, at: int) -> tuple[list[str], int]:
+        """Values of class, id and role of the tag whose name ends at ``at``, and the place after it (-1: no end)."""
+        text, names = self.text, []
+        while True:
+            at = _GAP.match(text, at).end()
+            if at >= len(text):
+                return names, -1
+            if text[at] == ">":
+                return names, at + 1
+            m = _ATTRIBUTE.match(text, at)
+            at, value = max(m.end(), at + 1), ""
+            if m[2]:
+                quote = text[at:at + 1]
+                if quote in ("\"", "'"):
+                    if at < self.last_quote[quote]:
+                        end = text.index(quote, at + 1)
+                        value, at = text[at + 1:end], end + 1
+                    else:                            # a quote that nothing closes: the tag ends at its >
+                        end = text.find(">", at)
+                        return names, end + 1 if end >= 0 else -1
+                else:
+                    u = _UNQUOTED.match(text, at)
+                    value, at = u[0], u.end()
+            if value and m[1].lower() in ("class", "id", "role"):
+                names.append(value)
+
+    def _places(self, name: str) -> tuple[list[int], list[int]]:
+        if name not in self.tags:
+            starts, ends = [], []
+            for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", self.text, re.I):
+                (ends if m[1] else starts).append(m.start())
+            self.tags[name] = starts, ends
+        return self.tags[name]
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the next end tag of ``name`` begins, -1 if there is none."""
+        if name not in self.tags:
+            near = self.text.find(f"</{name}>", at, at + 2000)
+            if near >= 0 and self.text.find("</", at, near) < 0:
+                return near
+        ends = self._places(name)[1]
+        k = bisect_left(ends, at)
+        return ends[k] if k < len(ends) else -1
+
+    def is_closed(self, name: str, at: int) -> bool:
+        """Whether an end tag of ``name`` comes before the next start of one."""
+        starts, end = self._places(name)[0], self.end_of(name, at)
+        k = bisect_left(starts, at)
+        return end >= 0 and (k == len(starts) or end < starts[k])
+
+
+@dataclass(slots=True)
+class Frame:
+    """An open element that bounds blocks, with the marked inline elements open inside it."""
+    tag: str
+    apart: int = 0         # 1: another role, 2: for good
+    main: bool = False
+    container: int = 0
+    nested: bool = False
+    silent: bool = False
+    inline: list[tuple[str, int]] | None = None          # tag, and ``apart`` before it
 
 
 def parse(source: str | None) -> Page:
-    """Blocks of text of a page, in order; broken markup never fails."""
+    """Blocks of text of a page, in order, in time linear in its length.
+
+    Elements nest as HTML says: a start may imply the end of an open paragraph,
+    list item, cell or option; an end tag that fits no open element is passed
+    over. An element without text of its own (a button, a list of options, an
+    object) that is never closed counts as empty, so it hides nothing.
+    """
     page, words = Page(), []
-    stack: list[tuple[str, int, bool, int, bool]] = [("body", 0, False, 0, False)]  # apart: 0, 1 or 2 (for good)
-    containers, at, silent = 1, 0, 0
+    stack, opened = [Frame("body")], Counter(["body"])
+    containers, at = 1, 0
+    source = source or ""
+    read = Source(source)
 
     def flush() -> None:
-        if words:
-            text = " ".join(html.unescape("".join(words)).split())
+        if words and not stack[-1].silent:           # a silent element does not end the block around it
+            text = " ".join("".join(words).split())
             words.clear()
             if text:
-                _, apart, main, container, nested = stack[-1]
-                page.blocks.append(Block(text, apart > 0, main, container, nested))
-
-    source = source or ""
-    for m in _MARKUP.finditer(source):
-        if m.start() > at and not silent:
-            words.append(source[at:m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+                top = stack[-1]
+                page.blocks.append(Block(text, top.apart > 0, top.main, top.container, top.nested))
+
+    def say(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip():
+            close(len(stack) - 1)
+        if text and not stack[-1].silent:
+            words.append(html.unescape(text) if "&" in text else text)
+
+    def close(depth: int) -> None:
+        flush()
+        for f in stack[depth:]:
+            opened[f.tag] -= 1
+        del stack[depth:]
+
+    def close_open(tags: frozenset[str], bounds: frozenset[str]) -> None:
+        """End the innermost open element of ``tags`` that no element of ``bounds`` separates."""
+        for depth in range(len(stack) - 1, 0, -1):
+            tag = stack[depth].tag
+            if tag in tags:
+                close(depth)
+                return
+            if tag in bounds:
+                return
+
+    size, find, name_at = len(source), source.find, _NAME.match
+    while at < size:
+        lt = find("<", at)
+        if lt < 0:
+            break
+        if lt > at:
+            say(source[at:lt])
+        m = name_at(source, lt + 1)
+        ending = m is None
+        if ending:
+            nxt = source[lt + 1:lt + 2]
+            if nxt == "/":
+                m = name_at(source, lt + 2)
+            if m is None:
+                if nxt in ("!", "?", "/"):           # a comment, or a remark up to the next >
+                    mark = "-->" if source.startswith("<!--", lt) else ">"
+                    end = find(mark, lt + 2)
+                    at = end + len(mark) if end >= 0 else size
+                else:
+                    say("<")
+                    at = lt + 1
+                continue
+        tag, at = m[0].lower(), m.end()
+        names: list[str] = []
+        if source.startswith(">", at):
+            at += 1
+        else:
+            names, at = read.tag(at)
+            if at < 0:
+                at = size                            # the page ends inside a tag
+                break
+        top = stack[-1]
+        if ending:
+            if tag in PLAIN_ENDS:
+                if opened[tag] and tag != "body":    # a stray end inside another container closes nothing
+                    close_open(frozenset((tag,)), NOWHERE if tag in UNSCOPED else SCOPES)
+                elif tag == "p":
+                    flush()
+            elif top.inline and any(t == tag for t, _ in top.inline):
+                flush()
+                while True:
+                    t, before = top.inline.pop()
+                    top.apart = before
+                    if t == tag:
+                        break
             continue
-        tag = tag.lower()
-        if tag == "br":
-            words.append(" ")
-            continue
-        if tag in SILENT:                # head, button, option, datalist: up to their end
-            if m[2]:
-                silent = max(0, silent - 1)
-            elif tag != "head" or "<body" in source[at:].lower() or "</head" in source[at:].lower():
-                silent += 1
+        if tag not in MARKED and not names:          # emphasis, links and the like say nothing about blocks
+            if top.tag != "head":
+                continue
+        if top.tag == "head" and tag not in HEAD:
+            close(len(stack) - 1)
+        if tag in RAW:
+            end = read.end_of(tag, at)
+            if end >= 0:
+                at = read.tag(end + 2 + len(tag))[1]
+                at = size if at < 0 else at
+            elif tag in ("script", "style"):
+                at = size                            # code up to the page's end
             continue
-        if silent and tag == "body":
-            silent = 0
+        if tag == "br":
+            say(" ")
+        if tag in ENDS_P and opened["p"]:
+            close_open(frozenset(["p"]), SCOPES)
+        if tag in IMPLIED and any(opened[t] for t in IMPLIED[tag][0]):
+            close_open(*IMPLIED[tag])
         if tag in BLOCKS:
             flush()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in CONTAINERS and tag not in CONTAINERS:
-                    break                # a stray end inside another container closes nothing
-        elif tag not in VOID and tag not in ("html", "body"):
-            _, apart, main, container, nested = stack[-1]
-            other = 2 if tag in APART else other_role(m[4])
-            if tag in MAIN and not other and apart < 2 and not main:
-                apart, main = 0, True    # an article frees itself from a wrapper's class
-            else:
-                apart, main = max(apart, other), main or tag in MAIN
-            if tag in CONTAINERS:
-                container, nested, containers = containers, tag not in MAIN, containers + 1
-            if tag in ("p", "li") and stack[-1][0] == tag:
-                stack.pop()
-            stack.append((tag, apart, main, container, nested))
-    if at < len(source) and not silent:
-        words.append(source[at:])
+        if tag in VOID or tag in ("html", "body"):
+            continue
+        if tag in SILENT:
+            if tag == "option" and stack[-1].tag not in ("select", "datalist", "optgroup"):
+                continue
+            if (tag in ("head", "option") or read.is_closed(tag, at)) and len(stack) < NESTED:
+                top = stack[-1]
+                stack.append(Frame(tag, top.apart, top.main, top.container, top.nested, True))
+                opened[tag] += 1
+            continue
+        top = stack[-1]
+        role = other_role(names)
+        if tag not in BLOCKS:
+            if role and top.apart < role and len(top.inline or ()) < NESTED:   # only marked inline elements matter
+                flush()
+                top.inline = [*(top.inline or ()), (tag, top.apart)]
+                top.apart = role
+            continue
+        if len(stack) >= NESTED:
+            continue
+        other = max(role, 1) if tag == "form" else 2 if tag in APART else role   # a form may wrap a whole page
+        if tag in MAIN and not other and top.apart < 2 and not top.main:
+            apart, main = 0, True                    # an article frees itself from a wrapper's class
+        else:
+            apart, main = max(top.apart, other), top.main or tag in MAIN
+        frame = Frame(tag, apart, main, top.container, top.nested, top.silent)
+        if tag in CONTAINERS:
+            frame.container, frame.nested, containers = containers, tag not in MAIN, containers + 1
+        stack.append(frame)
+        opened[tag] += 1
+    if at < size:
+        say(source[at:])
     flush()
     return page
 

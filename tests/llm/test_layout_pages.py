@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -218,6 +219,46 @@ def test_page_text(source, want):
     assert htmltext.extract_part([source])[0][0] == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<article><datalist><option value=a><option value=b></datalist><p>main text here</p></article>", "main text here"),
+    ("<article><button>Buy<p>one</p><p>two</p></article>", "Buy\none\ntwo"),
+    ("<article><p>see <button>Buy</button> this</p></article>", "see this"),
+    ("<article><p>a<button><div>Buy</div></button>b</p></article>", "ab"),
+    ('<article class="post comments-open"><p>all of it</p></article>', "all of it"),
+    ('<article><div class="share-price">12 Euro</div><div class="notice-board">news</div><p>x</p></article>',
+     "12 Euro\nnews\nx"),
+    ('<article><div class="share-buttons">Tweet</div><div class="ad-slot-2">Buy</div><div id=siteFooter>c</div><p>x</p>'
+     '<div class="comments-list">nice</div></article>', "x"),
+    ("<p data-x=it's>one</p><p>two's three</p>", "one\ntwo's three"),
+    ('<p title="a>hello</p><p>there</p>', "hello\nthere"),
+    ("<p>one<p>two<ul><li>three<li>four</ul>five<table><tr><td>six<td>seven<tr><td>eight</table>",
+     "one\ntwo\nthree\nfour\nfive\nsix\nseven\neight"),
+    ("<p>a < b &amp; c &lt;d&gt; <3</p></div></span><p>e", "a < b & c <d> <3\ne"),
+    ("<head><title>t<p>no title end</p>", "t\nno title end"),
+    ("<title>gone</title><p>kept</p><script>var a = '<p>no</p>'</script><p>more</p><textarea>t</textarea>", "kept\nmore"),
+    ("<!-- <p>no</p> --><p>yes<!----> it is</p><?php x ?><![CDATA[ y ]]><p>end", "yes it is\nend"),
+    ("<form><article><p>whole page in a form</p></article></form>", "whole page in a form"),
+    ("<P CLASS=x/>Up<BR/>down</P>", "Up down"),
+    ('<article><p>one <span class="ad">Buy</span> two</p></article>', "one\ntwo"),
+    ("<p a='1' b = \"2>3\" c=4>x</p><p =x>y</p><p / >z", "x\ny\nz"),
+])
+def test_markup_as_browsers_read_it(source, want):
+    assert htmltext.extract_part([source])[0][0] == want
+
+
+@pytest.mark.parametrize("source", ["<script ", '<p a="x ', "<div>", "<span class=ad>", "</div>", "<b><div></b>", "<!--", "<p>",
+                                    "<td><div><ul><li>", "<button>", "</td>", "<li>", "<title>", "<select><option>", "&amp",
+                                    "<a b='", "<form><nav>", "<", "</", "<textarea></title>", "<x y=z"])
+def test_broken_markup_is_read_in_linear_time(source):
+    times = []
+    for n in (50_000, 500_000):
+        text = "<p>begin</p>" + source * (n // len(source)) + "<p>end"
+        start = time.perf_counter()
+        htmltext.parse(text)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 2.0
+
+
 def site(n, own="own"):
     return [page(f"<div><p>Home About Contact today now here</p></div><div><p>{own}{i} "
                  + " ".join(f"w{i}x{j}" for j in range(30))
