@@ -65,6 +65,14 @@ def _cell(cells: Column, layout: Column, which: int) -> Column:
     return F.when(layout == "shrinked", F.get(cells, shr)).otherwise(F.get(cells, full))
 
 
+def cells_of(line: Column, layout: Column) -> dict[str, Column]:
+    """The cells of a token line by name."""
+    cells = F.split(line, "\t")
+    raw = _cell(cells, layout, 0)
+    return {"token": py_strip(raw), "raw_token": raw, "tokenid": _cell(cells, layout, 1),
+            "sentid": _cell(cells, layout, 2), "eventid": _cell(cells, layout, 3)}
+
+
 def parse_col(df: DataFrame, text: str = "text", lang: str = "lang",
               layouts: dict[str, str] = LAYOUTS, keep: tuple[str, ...] = ("docid", "lang", "split")) -> DataFrame:
     """File text -> one row per token line:
@@ -75,10 +83,6 @@ def parse_col(df: DataFrame, text: str = "text", lang: str = "lang",
                   layout_of(F.col(lang), layouts).alias("_layout"))
     t = s.select(*keep, "_layout", F.col("sent_pos").cast("int").alias("sent_pos"),
                  F.posexplode(F.split("sent", "\n")).alias("tok_pos", "line")).filter(F.col("line") != "")
-    cells = F.split(F.col("line"), "\t")
-    raw_tok = _cell(cells, F.col("_layout"), 0)
+    cells = cells_of(F.col("line"), F.col("_layout"))
     return t.select(*keep, "sent_pos", F.col("tok_pos").cast("int").alias("tok_pos"),
-                    py_strip(raw_tok).alias("token"), raw_tok.alias("raw_token"),
-                    _cell(cells, F.col("_layout"), 1).alias("tokenid"),
-                    _cell(cells, F.col("_layout"), 2).alias("sentid"),
-                    _cell(cells, F.col("_layout"), 3).alias("eventid"))
+                    *[c.alias(n) for n, c in cells.items()])
