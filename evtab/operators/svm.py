@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evtab.operators.features import class_weights
+from evtab.operators.sums import summed
 from evtab.session import checkpoint_dir
 
-#: Rows and cells of a packed block, features of one working set, numbers of one slice of a partial sum.
+#: Rows and cells of a packed block, features of one working set.
 BLOCK_ROWS, BLOCK_CELLS = 2048, 2_000_000
 WORKING = 2048
-SLICE = 65536
 #: Step lengths tried in one job.
 STEPS = 0.5 ** np.arange(14)
 
@@ -155,33 +155,6 @@ class Block:
         return full[np.triu_indices(len(working))].astype("<f4")
 
 
-def summed(blocks: DataFrame, part) -> np.ndarray:
-    """Sum over all blocks of ``part(block)``, a vector of one length and type for all.
-
-    A task adds up its blocks and hands on slices of its sum; slices meet in an
-    aggregate, so the driver receives one vector however many tasks there are.
-    """
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for cells in zip(*batch.columns, strict=True):
-                got = part(Block.of(*(c.as_py() for c in cells)))
-                total = got if total is None else total + got
-        if total is not None:
-            for k, at in enumerate(range(0, len(total), SLICE)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int64()), pa.array([total.dtype.str]),
-                     pa.array([total[at:at + SLICE].tobytes()], pa.binary())], names=["slice", "kind", "sums"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(s.as_py(), table.column("kind")[0].as_py()).astype("<f8") for s in table.column("sums"))
-        return pa.table({"slice": table.column("slice")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    rows = blocks.mapInArrow(partial, "slice long, kind string, sums binary").groupBy("slice") \
-        .applyInArrow(add, "slice long, sums binary").collect()
-    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["slice"])] or [np.zeros(0)])
-
-
 class Problem:
     """The loss over packed blocks; every method is one job. ``size``: features and the bias."""
 
@@ -192,7 +165,7 @@ class Problem:
         self.jobs += 1
         sent = self.blocks.sparkSession.sparkContext.broadcast(vectors)
         try:
-            return summed(self.blocks, lambda b: part(b, *sent.value))
+            return summed(self.blocks, lambda *cells: part(Block.of(*cells), *sent.value))
         finally:
             sent.unpersist()
 

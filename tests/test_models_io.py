@@ -217,4 +217,4 @@ def test_driver_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
     own = {k for k in q if k != "pipeline" and not k.startswith("op")}   # without the corpus queries, if present
-    assert own - set(o) == {"score_head", "fit_linear_svc"}
+    assert own - set(o) == {"score_head", "fit_linear_svc", "fit_head"}
