@@ -70,8 +70,9 @@ def sorted_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame
 
 
 def _local_fallback(spark) -> str | None:
-    """A scratch checkpoint folder, only for local-mode sessions."""
-    if not spark.sparkContext.master.startswith("local"):
+    """A scratch checkpoint folder, only for sessions of one process."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         return None
     import tempfile
     return tempfile.mkdtemp(prefix="evtab-ckpt-")

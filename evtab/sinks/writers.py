@@ -39,8 +39,8 @@ def prediction_table(df: DataFrame, with_prob: bool = True) -> DataFrame:
 def write_predictions(df: DataFrame, path: str, with_prob: bool = True, fmt: str = "parquet") -> None:
     t = prediction_table(df, with_prob)
     parts = [c for c in ("model", "lang", "split") if c in t.columns]
-    # only the partitions in ``df`` are replaced; rows are clustered so each partition is written by few tasks
-    w = t.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
+    # only the partitions in ``df`` are replaced; rows are clustered, and a large partition is cut into several tasks
+    w = t.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
