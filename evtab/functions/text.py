@@ -26,8 +26,8 @@ WS_SPLIT = r"(?U)" + WS_CLASS + "+"
 TAG_PATTERN = "<[^\n]+?>"
 # One leading date line: optional whitespace, 'DCT', rest of the line.
 DCT_PATTERN = r"(?U)\A" + WS_CLASS + "*DCT[^\n]*?\n"
-# Both ends of a string, Python str.strip() whitespace.
-STRIP_PATTERN = r"(?U)\A" + WS_CLASS + "+|" + WS_CLASS + r"+\z"
+# The characters of Python's str.strip().
+STRIP_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # ---------------------------------------------------------------------------
 
 
@@ -42,7 +42,7 @@ def ws_tokens(c) -> Column:
 
 def py_strip(c) -> Column:
     """Python ``s.strip()`` (Unicode whitespace, both ends)."""
-    return F.regexp_replace(_c(c), STRIP_PATTERN, "")
+    return F.trim(_c(c), F.lit(STRIP_CHARS))
 
 
 def normalize_quotes(c) -> Column:
@@ -63,7 +63,8 @@ def remove_spaces(c) -> Column:
 
 def strip_header(c) -> Column:
     """strip, drop one leading ``DCT...`` line, strip again."""
-    return py_strip(F.regexp_replace(py_strip(_c(c)), DCT_PATTERN, ""))
+    text = py_strip(_c(c))
+    return F.when(text.startswith("DCT"), py_strip(F.regexp_replace(text, DCT_PATTERN, ""))).otherwise(text)
 
 
 def mark_target(before, verb, after) -> Column:
