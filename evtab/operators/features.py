@@ -22,20 +22,24 @@ and after the verb and the window positions it holds.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from evtab.functions.text import ws_tokens
 
 
 #: Different terms a task counts at a time, and candidates looked up in one pass.
-LOCAL_TERMS, CANDIDATES = 500_000, 200_000
+LOCAL_TERMS, CANDIDATES = 150_000, 200_000
 
 
 def sorted_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
@@ -120,10 +124,49 @@ def occurrences(rows: DataFrame, n_max: int = 1, carry: tuple[str, ...] = ()) ->
                     F.when(uni, F.col("z.tag")).alias("tag"), uni.alias("uni")).filter(F.col("term").isNotNull())
 
 
+def _by_row(rows: DataFrame, *columns: Column) -> DataFrame:
+    """(row, columns..., _h): rows of one key next to each other in one partition; ``_h`` is the key's hash."""
+    return rows.select("row", *columns, F.xxhash64("row").alias("_h")).repartition("_h").sortWithinPartitions("_h", "row")
+
+
+def _row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[list[tuple]]]]:
+    """Keys and records (without key and hash) of the rows of ``_by_row``, some hundreds of keys at a time."""
+    keys: list[pa.Array] = []
+    groups: list[list[tuple]] = []
+    last = None
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            hashes = part.column(len(part.columns) - 1).to_pylist()
+            key = part.column(0)
+            for i, (h, record) in enumerate(zip(hashes, zip(*(c.to_pylist() for c in part.columns[1:-1]), strict=True),
+                                                strict=True)):
+                if last == h and keys[-1][0].as_py() == key[i].as_py():
+                    groups[-1].append(record)
+                    continue
+                if len(groups) >= 256:
+                    yield pa.concat_arrays(keys), groups
+                    keys, groups = [], []
+                keys.append(key.slice(i, 1))
+                groups.append([record])
+                last = h
+    if groups:
+        yield pa.concat_arrays(keys), groups
+
+
 def term_frequency(rows: DataFrame, tokens: str = "words", n_max: int = 1) -> DataFrame:
-    """(row, term, tf) from prepared rows (``tokens`` array column)."""
-    t = rows.select("row", F.explode(ngrams(F.col(tokens), n_max)).alias("term"))
-    return t.groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(row, term, tf) from prepared rows (``tokens`` array column).
+
+    Rows are shuffled whole, and the terms of a key are counted together where they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, groups in _row_groups(batches):
+            counts = [Counter(t for (words,) in g for t in _terms(words, n_max)) for g in groups]
+            at = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array((t for c in counts for t in c), pa.string()),
+                                              pa.array((n for c in counts for n in c.values()), pa.int64())],
+                                             names=["row", "term", "tf"])
+    schema = StructType([rows.schema["row"], StructField("term", StringType()), StructField("tf", LongType())])
+    return _by_row(rows, F.coalesce(F.array_join(tokens, " "), F.lit(""))).mapInArrow(run, schema)
 
 
 def term_counts(occ: DataFrame, pos: bool = False) -> DataFrame:
@@ -259,6 +302,15 @@ def tfidf(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     return w.select("row", "term", "idx", (F.col("w") / norm).alias("value"))
 
 
+def _held_terms(vocab: DataFrame) -> dict[str, tuple[int, float]] | None:
+    """term -> (idx, idf) of a vocabulary that every task can hold, else None."""
+    found = vocab.select("term", "idx", "idf").limit(CANDIDATES + 1).toArrow()
+    if found.num_rows > CANDIDATES:
+        return None
+    terms, idx, idf = (found.column(c).to_pylist() for c in ("term", "idx", "idf"))
+    return dict(zip(terms, zip(idx, idf, strict=True), strict=True))
+
+
 @dataclass
 class FittedFeatures:
     vocab: DataFrame        # term, idx, df, cf, idf
@@ -351,8 +403,78 @@ class PositionalFeatures:
         every = F.sequence(F.lit(0), F.lit(self.left + self.right))
         return F.filter(every, lambda k: F.getbit(bits, k) == 1)
 
+    def _text_counts(self, records: list[tuple], known: dict[str, tuple[int, float]]) -> tuple[list[tuple], int]:
+        """(term, idx, value, nb, na, bits) of the known terms of a row, and the window bits of all its words."""
+        left, span, n_max = self.left, self.left + self.right + 1, self.ngram_max
+        acc: dict[str, list[int]] = {}
+        for words, verb, *_ in records:
+            every = _terms(words, n_max)
+            single = words.count(" ") + 1 if words else 0
+            for p, t in enumerate(every):
+                if t in known:
+                    a = acc.setdefault(t, [0, 0, 0, 0])
+                    a[0] += 1
+                    if p < single and verb is not None:
+                        a[1] += p < verb
+                        a[2] += p > verb
+                        if 0 <= p - verb + left < span:
+                            a[3] |= 1 << p - verb + left
+        weights = [a[0] * known[t][1] for t, a in acc.items()]
+        norm = math.sqrt(math.fsum(w * w for w in weights))
+        held = 0
+        for a in acc.values():
+            held |= a[3]
+        return [(t, known[t][0], w / norm, *a[1:]) for (t, a), w in zip(acc.items(), weights, strict=True)], held
+
+    def _tag_counts(self, records: list[tuple], known: dict[str, tuple[int, float]]) -> list[tuple]:
+        """(idx, value, bits) of the known tags of a row."""
+        left, span = self.left, self.left + self.right + 1
+        counts: Counter = Counter()
+        bits: Counter = Counter()
+        for _, verb, tags in records:
+            counts.update(tags or ())
+            for k in range(span if verb is not None else 0):
+                if 0 <= verb - left + k < len(tags or ()):
+                    bits[tags[verb - left + k]] |= 1 << k
+        mine = [(t, n * known[t][1]) for t, n in counts.items() if t in known]
+        norm = math.sqrt(math.fsum(w * w for _, w in mine))
+        return [(known[t][0], w / norm, bits[t]) for t, w in mine]
+
+    def _present(self, rows: DataFrame, fitted: FittedFeatures, terms: dict, tags: dict) -> DataFrame:
+        """``_columns`` with vocabularies that tasks hold: every task tells its columns once."""
+        v, p, left, span, bow = fitted.n_vocab, fitted.n_pos, self.left, self.left + self.right + 1, self.include_bow
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before: set[str] = set()
+            after: set[str] = set()
+            near: set[int] = set()
+            for batch in batches:
+                for words, verb, tagged in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if verb is None:
+                        continue
+                    words = words.split(" ") if words else []
+                    if bow:
+                        before.update(words[:max(verb, 0)])
+                        after.update(words[max(verb + 1, 0):])
+                        if len(before) + len(after) > LOCAL_TERMS:
+                            before, after = before & terms.keys(), after & terms.keys()
+                    for k in range(span):
+                        at = verb - left + k
+                        if 0 <= at < len(words) and words[at] in terms:
+                            near.add(2 * v + k * v + terms[words[at]][0])
+                            tag = (tagged or ())[at] if at < len(tagged or ()) else None
+                            if tag in tags:
+                                near.add(2 * v + span * v + k * p + tags[tag][0])
+            near.update(terms[t][0] for t in before & terms.keys())
+            near.update(v + terms[t][0] for t in after & terms.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], names=["col"])
+        return rows.select(F.array_join("words", " "), "verb_idx", "tags").mapInArrow(run, "col long").distinct()
+
     def _columns(self, rows: DataFrame, fitted: FittedFeatures) -> DataFrame:
         """(col): the unpruned columns that some row has a cell in. Presence only: every cell is above zero."""
+        terms, known_tags = _held_terms(fitted.vocab), _held_terms(fitted.pos_vocab)
+        if terms is not None and known_tags is not None:
+            return self._present(rows, fitted, terms, known_tags)
         v, p, span = fitted.n_vocab, fitted.n_pos, self.left + self.right + 1
         d = F.col("p") - F.col("verb_idx")
         words = self._word_places(rows, []).select(
@@ -378,6 +500,9 @@ class PositionalFeatures:
         """One record per (row, vocabulary term): ``idx``, tf-idf ``value``, and of the single word its counts
         ``nb`` before and ``na`` after the verb and its window ``bits``; ``held``: bits of all terms of the row."""
         carry = [c for c in carry if c in rows.columns]
+        known = None if carry else _held_terms(vocab)
+        if known is not None:
+            return self._held_values(rows, known)
         z = ngrams(F.col("words"), self.ngram_max)
         o = rows.select("row", *carry, "verb_idx", F.size("words").alias("_nw"), F.posexplode(z).alias("p", "term"))
         single = F.col("p") < F.col("_nw")
@@ -391,6 +516,52 @@ class PositionalFeatures:
         return t.withColumn("held", F.bit_or("bits").over(per_row)) \
             .withColumn("value", w / F.sqrt(F.sum(w * w).over(per_row)))
 
+    def _held_values(self, rows: DataFrame, known: dict[str, tuple[int, float]]) -> DataFrame:
+        """``term_values`` with a vocabulary that tasks hold: rows are shuffled whole, not their terms."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, groups in _row_groups(batches):
+                made = [self._text_counts(g, known) for g in groups]
+                at = np.repeat(np.arange(len(made)), [len(m) for m, _ in made])
+                cells = list(zip(*(x for m, _ in made for x in m), strict=True)) or [()] * 6
+                kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(at)), *[pa.array(c, k) for c, k in zip(cells, kinds, strict=True)],
+                     pa.array([held for m, held in made for _ in m], pa.int64())], names=schema.names)
+        schema = StructType([rows.schema["row"], StructField("term", StringType()), StructField("idx", LongType()),
+                             StructField("value", DoubleType()), *[StructField(n, LongType()) for n in (
+                                 "nb", "na", "bits", "held")]])
+        return _by_row(rows, F.coalesce(F.array_join("words", " "), F.lit("")), F.col("verb_idx")).mapInArrow(run, schema)
+
+    def _held_cells(self, rows: DataFrame, fitted: FittedFeatures, terms: dict, tags: dict) -> DataFrame:
+        """``raw_cells`` with vocabularies that tasks hold."""
+        v, p, span, bow = fitted.n_vocab, fitted.n_pos, self.left + self.right + 1, self.include_bow
+
+        def cells(records: list[tuple]) -> Iterator[tuple[int, float]]:
+            found, held = self._text_counts(records, terms)
+            for _, idx, value, nb, na, bits in found:
+                if bow and nb:
+                    yield idx, value * nb
+                if bow and na:
+                    yield v + idx, value * na
+                for k in range(span if bits else 0):
+                    if bits >> k & 1:
+                        yield 2 * v + k * v + idx, value
+            for idx, value, bits in self._tag_counts(records, tags) if held else ():
+                for k in range(span):
+                    if bits & held & 1 << k:
+                        yield 2 * v + span * v + k * p + idx, value
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, groups in _row_groups(batches):
+                made = [list(cells(g)) for g in groups]
+                at = np.repeat(np.arange(len(made)), [len(m) for m in made])
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(at)), pa.array([c for m in made for c, _ in m], pa.int64()),
+                     pa.array([x for m in made for _, x in m], pa.float64())], names=schema.names)
+        schema = StructType([rows.schema["row"], StructField("col", LongType()), StructField("value", DoubleType())])
+        return _by_row(rows, F.coalesce(F.array_join("words", " "), F.lit("")), F.col("verb_idx"), F.col("tags")) \
+            .mapInArrow(run, schema)
+
     def tag_values(self, rows: DataFrame, fitted: FittedFeatures) -> DataFrame:
         """One record per (row, known tag): ``idx``, tf-idf ``value``, window ``bits``."""
         words = self._word_places(rows, ["row"])
@@ -404,6 +575,9 @@ class PositionalFeatures:
         """(row, carry..., col, value) before column pruning. ``carry`` columns must be functions of the row."""
         v, p, span = fitted.n_vocab, fitted.n_pos, self.left + self.right + 1
         carry = [c for c in carry if c in rows.columns]
+        held = (None, None) if carry else (_held_terms(fitted.vocab), _held_terms(fitted.pos_vocab))
+        if None not in held:
+            return self._held_cells(rows, fitted, *held)
 
         def cells(places: Column, col: Callable[[Column], Column]) -> Column:
             return F.transform(places, lambda k: F.struct(col(k).cast("long").alias("col"), F.col("value")))
@@ -434,8 +608,10 @@ class PositionalFeatures:
     def landed(self, rows: DataFrame) -> DataFrame:
         """Prepared rows written once to the checkpoint folder: fit and transform read them several times."""
         from evtab.session import checkpoint_dir
-        checkpoint_dir(rows.sparkSession, fallback=_local_fallback(rows.sparkSession))
-        return rows.checkpoint(eager=True)
+        at = checkpoint_dir(rows.sparkSession, fallback=_local_fallback(rows.sparkSession)).rstrip("/")
+        path = f"{at}/evtab-rows-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
     def fit_transform(self, rows: DataFrame, is_train: Column) -> tuple[FittedFeatures, DataFrame, DataFrame]:
         """Fit on the rows where ``is_train`` holds, transform all rows.

@@ -101,8 +101,8 @@ def oracle(sql: str) -> str:
 
 @register("term_frequency", oracle("SELECT eventid, term, tf FROM tf"))
 def q_term_frequency(spark, sf_dir):
-    occ = transformer().occurrences(feature_rows(spark, sf_dir))
-    return FE.term_counts(occ).select(F.col("row.eventid"), "term", "tf")
+    tf = FE.term_frequency(feature_rows(spark, sf_dir), n_max=NGRAM[1])
+    return tf.select(F.col("row.eventid"), "term", "tf")
 
 
 @register("build_vocab", oracle("SELECT term, idx, df, CAST(cf AS BIGINT) AS cf FROM vocab"))
