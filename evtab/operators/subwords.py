@@ -9,6 +9,7 @@ the token sequences, which are truncated like a model's input.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ UNKNOWN_ID = 0        # piece id of a word that cannot be cut; vocabulary ids st
 
 #: Pieces a vocabulary may have: it is held by every worker.
 MAX_PIECES = 1_000_000
+#: Different pieces a task counts at a time.
+LOCAL_PIECES = 300_000
 
 
 class Trie:
@@ -62,11 +65,27 @@ def piece_vocabulary(words: DataFrame, word: str = "word", longest: int = 6, lea
     distinct words hold at some place; ids from 1 in order of (first, piece). Words are counted once each."""
     from evtab.operators.features import sorted_index
     w = words.select(F.col(word).alias("w")).where("w <> ''").distinct()
-    at = w.select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("s"))
-    sub = at.select("w", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - F.col("s") + 1)))
-                    .alias("n"))
-    held = sub.select("w", (F.col("s") == 1).alias("first"), F.expr("substring(w, s, n)").alias("piece")).distinct()
-    often = held.groupBy("first", "piece").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: Counter = Counter()
+        rest: Counter = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for side, counts in ((True, first), (False, rest)):
+                yield pa.RecordBatch.from_arrays([pa.array([side] * len(counts), pa.bool_()),
+                                                  pa.array(counts.keys(), pa.string()),
+                                                  pa.array(counts.values(), pa.int64())], names=["first", "piece", "n"])
+                counts.clear()
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                for n in range(1, min(longest, len(w)) + 1):     # a word counts once for a piece, and for each length apart
+                    first[w[:n]] += 1
+                    rest.update({w[i:i + n] for i in range(1, len(w) - n + 1)})
+                if len(first) + len(rest) >= LOCAL_PIECES:
+                    yield from out()
+        yield from out()
+    often = w.mapInArrow(run, "first boolean, piece string, n long").groupBy("first", "piece") \
+        .agg(F.sum("n").alias("c")).where(F.col("c") >= least)
     return sorted_index(often.select("first", "piece"), ["first", "piece"], "_i") \
         .select("piece", "first", (F.col("_i") + 1).cast("int").alias("id"))
 

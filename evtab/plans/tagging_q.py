@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evtab.operators import subwords, tagger, tasks
+from evtab.operators.features import _local_fallback
 from evtab.plans import fixtures as fx
 from evtab.plans.registry import register
 from evtab.plans.text_q import duck_quotes, duck_tokens
+from evtab.session import landed
 
 MAX_LEN, LONGEST, LEAST = 64, 6, 20
 
@@ -42,7 +44,7 @@ def q_subword_pieces(spark, sf_dir):
     """Model input of every sample in pieces: all counted, the first ones kept, the target's place among them."""
     s = tasks.seq_clf_verbtok(fx.samples(spark, sf_dir).withColumn("label", F.lit(None).cast("int")),
                               include_brackets=True)
-    s = s.select("docid", "eventid", "input", "target_token_id")
+    s = landed(s.select("docid", "eventid", "input", "target_token_id"), "inputs", _local_fallback(spark))
     words = s.select(F.explode("input").alias("word")).distinct().checkpoint(eager=True)
     table = subwords.word_pieces(words, subwords.piece_vocabulary(words, "word", LONGEST, LEAST))
     p = subwords.with_pieces(s, table, ["docid", "eventid"], max_len=MAX_LEN)
