@@ -14,13 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evtab.operators.corpus import SENTENCE_KEY
+from evtab.operators.features import _local_fallback
+from evtab.session import landed
 
 #: Tags a model may have: the driver holds a number per pair of tags.
 MAX_TAGS = 512
+#: Scores of steps (sentences times pairs of tags) decoded at a time.
+PATHS = 2_000_000
 
 
 def millionths(p: Column) -> Column:
@@ -44,22 +48,27 @@ def fit_tagger(tokens: DataFrame, key: Sequence[str] = SENTENCE_KEY, order: str
     key = list(key)
     rows = tokens.select(*key, F.col(order).alias("_o"), F.col(token).alias("token"), F.col(tag).alias("tag")) \
         .where("token IS NOT NULL AND tag IS NOT NULL")
-    by_tag = {r["tag"]: r["n"] for r in rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    # one row per (token, tag): all but the pairs of tags is counted from it
+    seen = landed(rows.groupBy("token", "tag").agg(F.count(F.lit(1)).alias("n")), "tags", _local_fallback(rows.sparkSession))
+    by_tag = {r["tag"]: r["n"] for r in seen.groupBy("tag").agg(F.sum("n").alias("n"))
               .orderBy("tag").limit(MAX_TAGS + 1).collect()}
     if not by_tag or len(by_tag) > MAX_TAGS:
         raise ValueError(f"training needs 1 to {MAX_TAGS} tags, got {len(by_tag)}")
     tags = sorted(by_tag)
     number = {t: i for i, t in enumerate(tags)}
-    before = F.lag("tag").over(Window.partitionBy(*key).orderBy("_o"))
-    pairs = rows.select(before.alias("prev"), "tag").groupBy("prev", "tag").agg(F.count(F.lit(1)).alias("n")).collect()
+    sents = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_o", "tag"))).alias("_s"))
+    steps = F.transform("_s", lambda x, i: F.struct(F.get(F.col("_s"), i - 1)["tag"].alias("prev"), x["tag"].alias("tag")))
+    pairs = sents.select(F.explode(steps).alias("z")).groupBy(F.col("z.prev").alias("prev"), F.col("z.tag").alias("tag")) \
+        .agg(F.count(F.lit(1)).alias("n")).collect()
     first, follow = np.ones(len(tags)), np.ones((len(tags), len(tags)))
     for r in pairs:
         if r["prev"] is None:
             first[number[r["tag"]]] += r["n"]
         else:
             follow[number[r["prev"]], number[r["tag"]]] += r["n"]
-    counts = rows.groupBy("token").agg(*[F.count_if(F.col("tag") == t).alias(f"_{i}") for i, t in enumerate(tags)])
-    size = rows.select("token").distinct().count()
+    counts = seen.groupBy("token").agg(*[F.sum(F.when(F.col("tag") == t, F.col("n")).otherwise(0)).alias(f"_{i}")
+                                         for i, t in enumerate(tags)])
+    size = seen.select("token").distinct().count()
     room = [float(by_tag[t] + size + 1) for t in tags]
     emission = counts.select("token", F.array(*[millionths((F.col(f"_{i}") + 1) / F.lit(r))
                                                 for i, r in enumerate(room)]).alias("scores"))
@@ -85,6 +94,34 @@ def best_path(first: np.ndarray, follow: np.ndarray, emission: np.ndarray) -> li
     return path[::-1]
 
 
+def best_paths(first: np.ndarray, follow: np.ndarray, emission: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``best_path`` of many sentences at once: sentence i has the tokens from ``ends[i]`` to ``ends[i + 1]``.
+
+    Sentences go by falling length, so those that still have a token at a step come first."""
+    k, out = len(first), np.zeros(len(emission), dtype=np.int32)
+    sizes = np.diff(ends)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    room = max(1, PATHS // (k * k))                  # bounds the scores held at a time, whatever the number of tags
+    for at in range(0, len(order), room):
+        mine = order[at:at + room]
+        start, n = ends[mine], sizes[mine]
+        score, back = first + emission[start], []
+        for step in range(1, int(n[0])):
+            live = int(np.searchsorted(-n, -step, side="left"))      # sentences longer than ``step``
+            reach = score[:live, :, None] + follow
+            best = np.argmax(reach, axis=1)          # the first of equal ones
+            score[:live] = np.take_along_axis(reach, best[:, None, :], axis=1)[:, 0] + emission[start[:live] + step]
+            back.append(best.astype(np.int16))
+        tag = np.argmax(score, axis=1)
+        for step in range(int(n[0]) - 1, -1, -1):
+            live = int(np.searchsorted(-n, -step, side="left"))
+            out[start[:live] + step] = tag[:live]
+            if step:
+                tag[:live] = back[step - 1][np.arange(live), tag[:live]]
+    return out
+
+
 def tag_tokens(tokens: DataFrame, model: TagModel, key: Sequence[str] = SENTENCE_KEY, order: str = "tok_pos",
                token: str = "token", out: str = "pos") -> DataFrame:
     """(key..., order, ``out``): the best tag sequence of every sentence (a group of ``key``).
@@ -101,11 +138,11 @@ def tag_tokens(tokens: DataFrame, model: TagModel, key: Sequence[str] = SENTENCE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = batch.column(len(key) + 1)
-            paths = [best_path(first, follow, c.values.to_numpy(zero_copy_only=False).reshape(-1, k)) for c in cells]
-            ends = pa.array(np.cumsum([0, *map(len, paths)]), pa.int32())
-            flat = pa.array([t for p in paths for t in p], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, flat)],
-                                             names=[*key, "_o", "_t"])
+            ends = (cells.offsets.to_numpy() - cells.offsets[0].as_py()) // k
+            scores = cells.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            tags = pa.array(best_paths(first, follow, scores, ends.astype(np.int64)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tags)], names=[*key, "_o", "_t"])
 
     keys = ", ".join(f"`{c}` {sents.schema[c].dataType.simpleString()}" for c in key)
     place = sents.schema["_o"].dataType.simpleString()
