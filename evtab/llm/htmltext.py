@@ -13,9 +13,15 @@ once, the blocks of an ``article`` or ``main`` are judged container by
 container below it and never sentence by sentence, and a page that would lose
 most of its text to repetition is taken for a copy and keeps it.
 
-A host too large for one suffix array has several. Each lists the hashes of its
-long substrings with their pages, the lists of a host are summed, and every
-array is told which of its substrings the host's pages hold often enough.
+Pages are parsed where they are read; what travels is the text of their blocks,
+compressed, the pages of a task that belong together in one record.
+
+A host too large for one suffix array has several. Each lists its long
+substrings with their pages, the lists of a host are summed, and every array is
+told which of its substrings the host's pages hold often enough. This takes two
+rounds: the first lists so many leading bits of the hashes as the host's size
+asks for and names what may be frequent (equal leading bits add up, so nothing
+frequent is missed), the second lists and sums whole hashes of these alone.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +51,8 @@ PART_PAGES, PART_CHARS = 512, 6_000_000
 LARGE_HOSTS = 50_000
 #: Parts of a host whose substring lists are summed in one task's group (whole lists, or ranges of more of them).
 LIST_PARTS = 8
+#: Leading bits of a hash that a first list holds, besides those that number the host's parts.
+LIST_BITS = 24
 
 #: Elements whose text is not the page's, elements whose content is text up to their end tag, elements
 #: that are not part of an article, containers, elements that end a block, elements that end an open paragraph, void
@@ -402,13 +411,14 @@ def hashes(tokens: np.ndarray, words: list[str], at: np.ndarray, long: int = LON
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as the byte planes of their steps (the high ones are zero and compress)."""
-    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending 64-bit numbers as the byte planes of their steps, compressed (planes of zeros vanish)."""
+    planes = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpacked(cell: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def main_text(page: Page, covered: list[float], sizes: list[int]) -> tuple[str, int]:
@@ -449,8 +459,7 @@ class Part:
     words: list[str]
 
 
-def read_part(sources: list[str | None]) -> Part:
-    pages = [parse(s) for s in sources]
+def read_part(pages: list[Page]) -> Part:
     known: dict[str, int] = {}
     stream: list[int] = []
     spans: list[list[tuple[int, int]]] = []
@@ -468,15 +477,21 @@ def read_part(sources: list[str | None]) -> Part:
     return Part(pages, np.array(stream, dtype=np.int64), np.repeat(np.arange(len(pages)), owner), spans, list(known))
 
 
-def held(part: Part) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a part's long substrings, ascending, and how many of its pages hold each."""
+def starts(part: Part) -> tuple[np.ndarray, np.ndarray]:
+    """Where a part's long substrings begin, and their hashes."""
     at = begins(part.page)
-    h, page = hashes(part.tokens, part.words, at), part.page[at]
-    order = np.lexsort((page, h))
+    return at, hashes(part.tokens, part.words, at)
+
+
+def held(h: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of ``h``, ascending, and how many pages hold each (``page`` ascends)."""
+    order = np.argsort(h, kind="stable")
     h, page = h[order], page[order]
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (page[1:] != page[:-1])
-    return np.unique(h[first], return_counts=True)
+    h = h[first]
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1])))
+    return h[at], np.diff(np.append(at, len(h)))
 
 
 def extract_part(sources: list[str | None], often: np.ndarray | None = None) -> list[tuple[str, int]]:
@@ -484,12 +499,15 @@ def extract_part(sources: list[str | None], often: np.ndarray | None = None) ->
 
     ``often``: hashes of substrings that enough pages of the host's other parts hold.
     """
-    part = read_part(sources)
+    return part_texts(read_part([parse(s) for s in sources]), often)
+
+
+def part_texts(part: Part, often: np.ndarray | None = None) -> list[tuple[str, int]]:
     known = None
     if often is not None and len(often):
-        at = begins(part.page)
+        at, h = starts(part)
         known = np.zeros(len(part.tokens), dtype=bool)
-        known[at] = np.isin(hashes(part.tokens, part.words, at), often)
+        known[at] = np.isin(h, often)
     hit = np.concatenate(([0], np.cumsum(repeated(part.tokens, part.page, known=known))))
     out = []
     for p, mine in zip(part.pages, part.spans, strict=True):
@@ -498,39 +516,102 @@ def extract_part(sources: list[str | None], often: np.ndarray | None = None) ->
     return out
 
 
+RECORDS = "host string, part long, parts long, page_id array<long>, url array<string>, texts binary, marks binary"
+#: Between the pages of a record; neither it nor a line feed is ever inside the text of a block.
+PAGE_END = "\x1e"
+
+
+def parsed_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as the blocks of their text: those of a batch that share host and part in one record."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        groups: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in ("host", "part", "parts")), strict=True)):
+            groups.setdefault(key, []).append(i)
+        source = batch.column("html")
+        for (host, part, parts), at in groups.items():
+            texts, marks = [], []
+            for i in at:
+                blocks = parse(source[i].as_py()).blocks
+                texts.append("\n".join(b.text for b in blocks))
+                marks += [b.container * 8 + b.apart + 2 * b.main + 4 * b.nested for b in blocks]
+            chosen = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([host], pa.string()), pa.array([part], pa.int64()), pa.array([parts], pa.int64()),
+                 pa.array([batch.column("page_id").take(chosen).to_pylist()], pa.list_(pa.int64())),
+                 pa.array([batch.column("url").take(chosen).to_pylist()], pa.list_(pa.string())),
+                 pa.array([squeeze.compress(PAGE_END.join(texts).encode("utf-8", "surrogatepass"))], pa.binary()),
+                 pa.array([squeeze.compress(np.array(marks, dtype="<i4").tobytes())], pa.binary())],
+                names=["host", "part", "parts", "page_id", "url", "texts", "marks"])
+
+
+def recorded_part(table: pa.Table) -> Part:
+    """The pages of one part from its records, in the records' order."""
+    pages, expand = [], zstandard.ZstdDecompressor()
+    for texts, marks in zip(table.column("texts"), table.column("marks"), strict=True):
+        mark = iter(np.frombuffer(expand.decompress(marks.as_py()), "<i4").tolist())
+        for text in expand.decompress(texts.as_py()).decode("utf-8", "surrogatepass").split(PAGE_END):
+            pages.append(Page([Block(t, bool((m := next(mark)) & 1), bool(m & 2), m >> 3, bool(m & 4))
+                               for t in (text.split("\n") if text else [])]))
+    return read_part(pages)
+
+
+def leading(h: np.ndarray, parts: int) -> np.ndarray:
+    """``h`` without the bits that first lists of a host of so many parts do without."""
+    return h & ~np.uint64((1 << max(0, 64 - LIST_BITS - (parts - 1).bit_length())) - 1)
+
+
 LISTS = "host string, part long, range long, hashes binary, pages binary"
 
 
-def list_part(table: pa.Table) -> pa.Table:
-    """The substrings of a part in ranges of their hashes; nothing for a host of one part."""
+def list_part(table: pa.Table, often: pa.Table | None = None) -> pa.Table:
+    """The substrings of a part in ranges of their hashes; nothing for a host of one part.
+
+    First the leading bits of all hashes; with ``often``, the whole hashes whose leading bits it names.
+    """
     parts = table.column("parts")[0].as_py()
     schema = pa.schema([("host", pa.string()), ("part", pa.int64()), ("range", pa.int64()),
                         ("hashes", pa.binary()), ("pages", pa.binary())])
-    if parts is None:
+    if parts is None or often is not None and not len(often):
         return schema.empty_table()
-    h, n = held(read_part(table.column("html").to_pylist()))
+    part = recorded_part(table)
+    at, h = starts(part)
+    page = part.page[at]
+    if often is None:
+        h = leading(h, parts)
+    else:
+        hit = np.isin(leading(h, parts), np.concatenate([unpacked(c.as_py()) for c in often.column("hashes")]))
+        h, page = h[hit], page[hit]
+    h, n = held(h, page)
     ranges = -(-parts // LIST_PARTS)
     where = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
     cut = np.searchsorted(where, np.arange(ranges + 1, dtype=np.uint64))
     few = np.minimum(n, PAGES).astype(np.uint8)      # a sum reaches PAGES with or without the rest
-    host, part = table.column("host")[0].as_py(), table.column("part")[0].as_py()
-    rows = [{"host": host, "part": part, "range": k, "hashes": packed(h[a:b]), "pages": few[a:b].tobytes()}
-            for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+    host, name = table.column("host")[0].as_py(), table.column("part")[0].as_py()
+    squeeze = zstandard.ZstdCompressor(level=1)
+    rows = [{"host": host, "part": name, "range": k, "hashes": packed(h[a:b]),
+             "pages": squeeze.compress(few[a:b].tobytes())} for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-def sum_lists(table: pa.Table) -> pa.Table:
-    """Per part, the substrings of a range that PAGES pages of the host hold, but not that many of the part."""
-    table = table.sort_by("part")
-    lists = [unpacked(c.as_py()) for c in table.column("hashes")]
+TOLD = "host string, part long, hashes binary"
+
+
+def sum_lists(table: pa.Table, first: bool = False) -> pa.Table:
+    """Per part, the substrings of a range that PAGES pages of the host hold, but not that many of the part.
+
+    ``first``: those that other parts hold, too, and PAGES pages in all.
+    """
+    lists, expand = [unpacked(c.as_py()) for c in table.column("hashes")], zstandard.ZstdDecompressor()
     h = np.concatenate(lists)
-    n = np.concatenate([np.frombuffer(c.as_py(), np.uint8) for c in table.column("pages")])
+    n = np.concatenate([np.frombuffer(expand.decompress(c.as_py()), np.uint8) for c in table.column("pages")])
     of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     order = np.argsort(h, kind="stable")
     h, n, of = h[order], n[order].astype(np.int64), of[order]
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(h))))
-    hit = (total >= PAGES) & (n < PAGES)
+    size = np.diff(np.append(start, len(h)))
+    total = np.repeat(np.add.reduceat(n, start), size)
+    hit = (total >= PAGES) & (np.repeat(size, size) > 1 if first else n < PAGES)
     h, of = h[hit], of[hit]
     told = [(i, h[of == i]) for i in np.unique(of)]
     return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(told), pa.string()),
@@ -556,7 +637,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     A host's pages are dealt by hash to parts of bounded size, each with its
     own suffix array, so a host with any share of all pages splits. Pages that
     hold a substring are counted over all parts of the host: how a host is
-    split changes nothing. Texts go straight to the result.
+    split changes nothing. Markup is not shuffled: pages travel as the text of
+    their blocks. Texts go straight to the result.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                         F.col(source).alias("html"), host_of(F.col(url)).alias("host"))
@@ -568,22 +650,25 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     dealt = rows.join(F.broadcast(large) if few else large, "host", "left").withColumn(
         "part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))))
     if not few:
-        dealt = dealt.repartition("host", "part")    # else a host's parts would stay in the join's partition
+        dealt = dealt.repartition("host", "part")    # else a host's pages would be parsed in the join's partition
 
     def run(table: pa.Table, lists: pa.Table | None = None) -> pa.Table:
         often = None if lists is None else np.concatenate(
             [np.zeros(0, dtype=np.uint64), *(unpacked(c.as_py()) for c in lists.column("hashes"))])
-        table = table.sort_by([("page_id", "ascending"), ("url", "ascending")])
-        got = extract_part(table.column("html").to_pylist(), often)
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"),
+        got = part_texts(recorded_part(table), often)
+        return pa.table({"page_id": table.column("page_id").combine_chunks().flatten(),
+                         "url": table.column("url").combine_chunks().flatten(),
                          "text": pa.array([t for t, _ in got], pa.string()),
                          "n_chars": pa.array([len(t) for t, _ in got], pa.int64()),
                          "repeated_chars": pa.array([n for _, n in got], pa.int64())})
 
     schema = "page_id long, url string, text string, n_chars long, repeated_chars long"
-    grouped = dealt.select("host", "part", "parts", "page_id", "url", "html").groupBy("host", "part")
+    records = dealt.select("host", "part", "parts", "page_id", "url", "html").mapInArrow(parsed_records, RECORDS)
+    grouped = records.groupBy("host", "part")
     if not n_large:
         return grouped.applyInArrow(lambda table: run(table), schema)
-    told = grouped.applyInArrow(list_part, LISTS).groupBy("host", "range").applyInArrow(
-        sum_lists, "host string, part long, hashes binary")
+    maybe = grouped.applyInArrow(lambda table: list_part(table), LISTS).groupBy("host", "range").applyInArrow(
+        lambda table: sum_lists(table, True), TOLD)
+    told = grouped.cogroup(maybe.groupBy("host", "part")).applyInArrow(lambda a, b: list_part(a, b), LISTS) \
+        .groupBy("host", "range").applyInArrow(lambda table: sum_lists(table), TOLD)
     return grouped.cogroup(told.groupBy("host", "part")).applyInArrow(lambda a, b: run(a, b), schema)

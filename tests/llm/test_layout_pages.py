@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,6 +327,33 @@ def test_a_split_host_gives_what_one_array_gives(spark, monkeypatch):
         assert {r.page_id: (r.text, r.repeated_chars) for r in htmltext.extract(df).collect()} == want
 
 
+def test_first_lists_that_confuse_all_substrings_change_nothing(spark, monkeypatch):
+    note = " ".join(f"n{j}" for j in range(9))
+    rows = [(i, "http://a.example/x", page(f"<div><p>own{i} " + " ".join(f"w{i}x{j}" for j in range(40)) + "</p></div>"
+                                           + f"<div>{note}</div>" * (i in (3, 30, 31)) + "<div>two of a</div>" * (i < 2)))
+            for i in range(40)]
+    want = {i: r for (i, _, _), r in zip(rows, htmltext.extract_part([r[2] for r in rows]), strict=True)}
+    assert not any(note in t for t, _ in want.values()) and sum(n > 0 for _, n in want.values()) == 3
+    monkeypatch.setattr(htmltext, "PART_PAGES", 5)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bits in (24, 1, -8):                         # -8: all substrings look equal
+        monkeypatch.setattr(htmltext, "LIST_BITS", bits)
+        assert {r.page_id: (r.text, r.repeated_chars) for r in htmltext.extract(df).collect()} == want
+
+
+def test_what_a_split_host_shuffles_is_small():
+    pages = [(i, "http://a.example/x", page("<nav class='a b c'>" + "<a href='/x/y/z'>home</a>" * 20 + "</nav><div><p>"
+              + " ".join(f"w{i * 7919 % 1000}x{j}" for j in range(300)) + "</p></div>")) for i in range(512)]
+    batch = pa.table({"host": ["a"] * 512, "part": [0] * 512, "parts": [26] * 512, "page_id": [p[0] for p in pages],
+                      "url": [p[1] for p in pages], "html": [p[2] for p in pages]}).to_batches()
+    records = pa.Table.from_batches(htmltext.parsed_records(iter(batch)))
+    part = htmltext.recorded_part(records)
+    assert [b.text for p in part.pages for b in p.blocks] == [b.text for p in pages for b in htmltext.parse(p[2]).blocks]
+    lists = htmltext.list_part(records)
+    n = len(set(htmltext.starts(part)[1].tolist()))
+    assert n > 100_000 and sum(len(c.as_py()) for k in ("hashes", "pages") for c in lists.column(k)) < 2.5 * n
+
+
 def test_articles_of_the_test_pages(spark):
     import html
     df = spark.read.parquet(f"{SF}/pages.parquet")
