@@ -41,6 +41,8 @@ BLOCK_ROWS, BLOCK_CELLS = 2048, 2_000_000
 WORKING = 2048
 #: Step lengths tried in one job.
 STEPS = 0.5 ** np.arange(14)
+#: Times a step is solved, at most, each with the rows it ran into.
+TRIES = 6
 
 
 @dataclass
@@ -136,10 +138,12 @@ class Block:
         h = np.maximum(0.0, 1.0 - self.y * z)
         return self.times_rows(-2.0 * self.c * h * self.y, size)
 
-    def counts(self, z: np.ndarray, other: np.ndarray | None) -> np.ndarray:
-        """Rows inside their margin at ``z``, or at ``other``."""
-        on = self.y * z < 1
-        return on if other is None else on | (self.y * other < 1)
+    def counts(self, *at: np.ndarray) -> np.ndarray:
+        """Rows inside their margin at one of the points (rows times each) or more."""
+        on = self.y * at[0] < 1
+        for z in at[1:]:
+            on |= self.y * z < 1
+        return on
 
     def gram(self, on: np.ndarray, working: np.ndarray, size: int) -> np.ndarray:
         place = np.full(size, -1, dtype=np.int64)
@@ -161,7 +165,7 @@ class Problem:
     def __init__(self, blocks: DataFrame, size: int) -> None:
         self.blocks, self.size, self.jobs = blocks, size, 0
 
-    def _run(self, part, *vectors: np.ndarray | None) -> np.ndarray:
+    def _run(self, part, *vectors: np.ndarray | list[np.ndarray] | None) -> np.ndarray:
         self.jobs += 1
         sent = self.blocks.sparkSession.sparkContext.broadcast(vectors)
         try:
@@ -179,18 +183,18 @@ class Problem:
         out = self._run(part, x, d)
         return out[:-size], out[-size:]
 
-    def gram(self, x: np.ndarray, other: np.ndarray | None, working: np.ndarray) -> np.ndarray:
-        """Second derivatives of the loss at ``x`` over the working set; rows that count at ``other`` count, too.
+    def gram(self, x: np.ndarray, others: list[np.ndarray], working: np.ndarray) -> np.ndarray:
+        """Second derivatives of the loss at ``x`` over the working set; rows that count at one of ``others`` count, too.
 
         They only direct a step, so half of them in single precision travel.
         """
         size = self.size
 
-        def part(b: Block, x: np.ndarray, other: np.ndarray | None, working: np.ndarray) -> np.ndarray:
-            on = b.counts(b.times(x), None if other is None else b.times(other))
+        def part(b: Block, x: np.ndarray, others: list[np.ndarray], working: np.ndarray) -> np.ndarray:
+            on = b.counts(b.times(x), *(b.times(o) for o in others))
             return b.gram(on, working, size).ravel()
         upper = np.zeros((len(working), len(working)))
-        upper[np.triu_indices(len(working))] = self._run(part, x, other, working)
+        upper[np.triu_indices(len(working))] = self._run(part, x, others, working)
         return upper + np.triu(upper, 1).T
 
     def curved(self, x: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -198,7 +202,7 @@ class Problem:
         size = self.size
 
         def part(b: Block, x: np.ndarray, v: np.ndarray) -> np.ndarray:
-            on = b.counts(b.times(x), None)
+            on = b.counts(b.times(x))
             return b.times_rows(np.where(on, 2.0 * b.c * b.times(v), 0.0), size)
         return self._run(part, x, v)
 
@@ -267,13 +271,13 @@ def minimise(problem, penalty: str, max_iter: int, tol: float, working: int = WO
         chosen = np.flatnonzero((x != 0) | (np.abs(g) > 0.9)) if penalty == "l1" else np.arange(problem.size)
         if len(chosen) > working:
             chosen = np.sort(chosen[np.argsort(-np.abs(pg[chosen]), kind="stable")[:working]])
-        other = None if ran is None else x + ran
-        for _ in range(4):
+        others = [] if ran is None else [x + ran]
+        for _ in range(TRIES):
             d = np.zeros_like(x)
             if by_products:
                 d = _conjugate(lambda v, x=x: problem.curved(x, v) + v, -pg, goal, 50)
             else:
-                h = problem.gram(x, other, chosen)
+                h = problem.gram(x, others, chosen)
                 if penalty == "l2":
                     d[chosen] = np.linalg.solve(h + np.eye(len(chosen)), -pg[chosen])
                 else:
@@ -283,10 +287,12 @@ def minimise(problem, penalty: str, max_iter: int, tol: float, working: int = WO
             losses, g_full = problem.along(x, d)
             values = losses + np.array([_fine(x + t * d, penalty) for t in STEPS])
             good = np.flatnonzero(values <= value + 1e-4 * STEPS * fall) if fall < 0 else []
-            # far short of a whole step: it ran into rows the quadratic had left out, so count them and solve again
+            # far short of a whole step: it ran into rows the quadratic had left out, so count them and solve again;
+            # those of earlier trials still count, else the step swings between two sets of rows
             if by_products or (len(good) and good[0] <= 2):
                 break
-            ran, other = d, x + d
+            ran = d
+            others.append(x + d)
         if not len(good):
             return x, value, it, False       # no step lowers the objective, and ``tol`` is not met
         at = int(good[0])

@@ -54,6 +54,24 @@ def test_a_failed_line_search_is_not_convergence():
         assert x[0] == 0.0 and it == 0 and not converged
 
 
+def test_a_step_counts_the_rows_of_all_its_trials():
+    asked = []
+
+    class Swinging:                                    # two whole steps run into rows, the third falls
+        size, jobs = 1, 0
+
+        def along(self, x, d=None):
+            if d is None:
+                return np.array([10.0]), np.array([-5.0])
+            return np.full(len(svm.STEPS), 1e6 if len(asked) < 3 else 0.0), np.array([0.0])
+
+        def gram(self, x, others, working):
+            asked.append([float(o[0]) for o in others])
+            return np.eye(len(working)) * len(asked)
+    svm.minimise(Swinging(), "l2", 50, 1e-2)
+    assert [len(a) for a in asked[:3]] == [0, 1, 2] and asked[2] == [2.5, 5 / 3]
+
+
 def test_registered_svm_uses_the_tolerance_of_the_reference():
     from evtab.plans import features_q
     assert features_q.SVM_TOL == 1e-4
