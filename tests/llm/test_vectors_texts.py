@@ -101,6 +101,31 @@ def test_tree_prunes_and_keeps_ties():
     assert [(float(a), int(b)) for a, b in got] == want
 
 
+@pytest.mark.parametrize("kind", [np.float64, np.int64])
+def test_queries_of_a_block_walk_a_tree_together(kind):
+    rng = np.random.default_rng(6)
+    rows = np.floor(rng.standard_normal((1500, 4)) * 9).astype(kind)       # many ties
+    ids = rng.permutation(3000)[:1500]
+    tree = topk.Tree(ids, rows)
+    q, own = rows[:300], ids[:300].copy()
+    reach = np.where(np.arange(300) % 3 == 0, -np.inf, np.arange(300) - 100.0)
+    visits = []
+
+    class Counted(type(rows)):                                             # numpy rows that count the products over them
+        def __getitem__(self, at):
+            visits.append(at)
+            return super().__getitem__(at)
+    tree.rows = tree.rows.view(Counted)
+    at, found, scores = (np.asarray(c) for c in tree.search_block(q, tree.bounds(q), own, 6, reach))
+    got = set(zip(at.tolist(), found.tolist(), scores.tolist(), strict=True))
+    want = set()
+    for i in range(300):
+        best = sorted((-int(rows[j] @ q[i]), int(ids[j])) for j in range(1500) if ids[j] != own[i])
+        want |= {(i, j, -x) for x, j in best[:6] if -x >= reach[i]}
+    assert got == want and 0 < len(visits) < 300                           # far fewer than one for a query and leaf
+    assert all(len(c) == 0 for c in tree.search_block(q[:0], tree.bounds(q[:0]), own[:0], 6, reach[:0]))
+
+
 @pytest.mark.parametrize("kind,part_rows", [("double", 60), ("float", 8192)])
 def test_vector_near_duplicates(spark, kind, part_rows):
     rng = np.random.default_rng(3)
