@@ -50,6 +50,34 @@ def test_contexts_of_sentences_in_many_packs(spark):
     assert "Aggregate" not in plan(got) and corpus.event_contexts(df.limit(0), key=["lang", "docid"]).count() == 0
 
 
+def test_token_metrics_reads_its_input_once(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), [rng.choice([-100, 0, 1, 2, None]) for _ in range(9)],
+             [rng.choice([0, 1, 2, 2, None]) for _ in range(9)]) for _ in range(80)]
+    rows.append(("o", [2, 2, -100], [2, 0, 1]))
+    rows.append(("none", [-100, None], [2, 0]))
+    df = spark.createDataFrame(rows, "k string, label_ids array<int>, pred_ids array<int>")
+    for by in ([], ["k"]):
+        m = tasks.token_metrics(df, by=by)
+        assert plan(m).count("Scan ") == 1
+        cells = {}
+        for k, ls, ps in rows:
+            for x, p in zip(ls, ps, strict=True):
+                if x is not None and x != -100:
+                    cells.setdefault(k if by else 0, Counter())[x, p] += 1
+        got = {r.k if by else 0: (r.fps, r.macro_f1, r.n_true) for r in m.collect()}
+        assert got.keys() == cells.keys()
+        for key, c in cells.items():
+            picked = sum(n for (x, p), n in c.items() if p in (0, 1))
+            false = sum(n for (x, p), n in c.items() if p in (0, 1) and x == 2)
+            true = {xp: n for xp, n in c.items() if xp[0] != 2}
+            f1 = [2 * true.get((q, q), 0) / sum(n * ((x == q) + (p == q)) for (x, p), n in true.items())
+                  for q in {q for xp in true for q in xp}]
+            want = false / picked if picked else 0.0, 0.0 if key is None or not f1 else sum(f1) / len(f1), sum(true.values())
+            assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got[key], want, strict=True)), (key, got[key], want)
+    assert tasks.token_metrics(df.limit(0)).count() == 0
+
+
 def test_first_mention_does_not_shuffle_the_sides_of_an_event(spark):
     import __spark_entry__ as E
     shuffled = [x for x in plan(E.queries()["first_mention"](spark, "/root/testdata/sf0.001")).splitlines()
