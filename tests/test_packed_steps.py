@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,50 @@ def test_contexts_of_sentences_in_many_packs(spark):
     assert "Aggregate" not in plan(got) and corpus.event_contexts(df.limit(0), key=["lang", "docid"]).count() == 0
 
 
+def test_whole_sentences_are_cut_together():
+    """The packs that need no merging give, all at once, what the merge gives for each."""
+    rng = random.Random(11)
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("f0", pa.string()), ("f1", pa.string()), ("v", pa.bool_())]))
+    text, first, marks = [], [], []
+    for _ in range(60):
+        toks = [rng.choice(["a", "", "bé", "c d", "日本", "😀x"]) for _ in range(rng.randint(1, 12))]
+        text.append("\0".join(toks))
+        first.append(rng.randint(0, 5))
+        marks.append([{"i": i, "f0": f"e{i}", "f1": rng.choice(["VERB", None]), "v": rng.random() < 0.5}
+                      for i in range(len(toks)) if rng.random() < 0.4])
+    rows = np.array([r for r in range(60) if r % 3])
+    at, whole, fields, sizes = corpus._plain_sentences(rows, pa.array(text), pa.array(first, pa.int64()),
+                                                       pa.array(marks, kind), pa.int32())
+    events, got = list(zip(*(f.to_pylist() for f in fields), strict=True)), []
+    for n, text_ in zip(sizes, whole.to_pylist(), strict=True):
+        got.append((text_, events[:n]))
+        events = events[n:]
+    want = [corpus._whole_sentence([(text[r], first[r], None, marks[r])]) for r in rows]
+    kept = [r for r, (_, found) in zip(rows, want, strict=True) if found]
+    assert at.tolist() == kept and not events
+    assert got == [(t, [tuple(x[n] for n in ("f0", "f1", "o", "t", "s", "e")) for x in found]) for t, found in want if found]
+
+
+def test_tokens_before_the_target_are_cut_once(spark):
+    sides = [("a ``b'' -LRB- c", "''d''"), (None, ""), ("", " `` "), ("x`", "`y"), ("  p\u00a0q\x1c", "r\ns"), ("'", "'")]
+    rows = [(b, v, a, 1, 1.0, "d", f"e{i}") for i, (b, a) in enumerate(sides) for v in ("v", "", None, "`", "v w")]
+    df = spark.createDataFrame(rows, "before string, verb string, after string, label int, label_confidence double, "
+                                     "docid string, eventid string")
+
+    def norm(x):
+        for old, new in T.QUOTE_REPLACEMENTS:
+            x = (x or "").replace(old, new)
+        return x
+    for brackets, frame in ((True, tasks.seq_clf_verbtok(df, include_brackets=True)), (False, tasks.seq_clf_verbtok(df)),
+                            (None, tasks.tok_clf(df))):
+        assert "size(filter(" not in plan(frame)
+        names = ("sentence", "tgt_idx") if brackets is None else ("input", "target_token_id")
+        for (b, v, a, *_), r in zip(rows, frame.collect(), strict=True):
+            mid = ["["] * bool(brackets) + (norm(v) if brackets is None else v or "").split() + ["]"] * bool(brackets)
+            assert r[names[0]] == norm(b).split() + mid + norm(a).split()
+            assert r[names[1]] == len((b or "").split()) + bool(brackets)
+
+
 def test_token_metrics_reads_its_input_once(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "b", None]), [rng.choice([-100, 0, 1, 2, None]) for _ in range(9)],
